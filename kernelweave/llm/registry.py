@@ -1,7 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from kernelweave.llm import op04_warc, op06_decontaminate
+from kernelweave.llm import op02_jaccard, op04_warc, op06_decontaminate
 from kernelweave.llm.op01_pii import op1_pii
+from kernelweave.llm.op02_jaccard import op2_jaccard
 from kernelweave.llm.op03_bpe import op3_bpe
 from kernelweave.llm.op04_warc import op4_warc
 from kernelweave.llm.op05_classifier import op5_classifier
@@ -9,5 +10,5 @@ from kernelweave.llm.op06_decontaminate import op6_decontaminate
 from kernelweave.llm.op08_urls import op8_urls
 from kernelweave.llm.op10_quality import op10_quality
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_bpe, op4_warc, op5_classifier, op6_decontaminate, op8_urls, op10_quality)}
-ORACLES = {"op4_warc": op04_warc.SQL, "op6_decontaminate": op06_decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_bpe, op4_warc, op5_classifier, op6_decontaminate, op8_urls, op10_quality)}
+ORACLES = {"op2_jaccard": op02_jaccard.SQL, "op4_warc": op04_warc.SQL, "op6_decontaminate": op06_decontaminate.SQL}
