@@ -37,9 +37,10 @@ from kernelweave.llm.text import Words, chunks, column_bytes, grams
 from kernelweave.session import prepare, stored, table
 
 WIDTH = 5
-PER_BUCKET = 3_000_000  # shingles that one task counts
+PER_BUCKET = 2_000_000  # shingles that one task counts
 HEAVY = 200
 MAPS = 8  # 64-bit words of a bitmap
+OWNER = np.dtype([("cid", "<i8"), ("n", "<u4"), ("k", "<u4")])  # class, size of its set, shingles of it that follow
 HIT = np.dtype([("h", "<i8"), ("df", "<i4")])
 
 
@@ -98,7 +99,7 @@ def sized(documents: DataFrame) -> DataFrame:
 
 
 def shared(documents: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """cid, hits (packed HIT): the shingles of each class that another class has too, in blocks by bucket."""
+    """part, owners, hits (packed): the shingles of each class that another class has too, in blocks by part of classes."""
     spark = documents.sparkSession
     frequent = spark.sparkContext.broadcast(heavy)  # two columns: sorted hash, frequency
 
@@ -133,7 +134,8 @@ def shared(documents: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
             hot = keys[at] == h
             packed = np.zeros(int(hot.sum()), HIT)
             packed["h"], packed["df"] = identity(h[hot], buckets), counts[at[hot]]
-            yield rows_of(np.full(1, -1), cid, doc[hot], packed)
+            n = np.bincount(doc[hot], minlength=len(cid))
+            yield block_of([-1 - int(abs(cid[0]) % buckets)], [owners(cid[n > 0], size[n > 0], n[n > 0])], [packed.tobytes()])
             h, doc = h[~hot], doc[~hot]
         bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket * max(1, len(cid)) + doc, kind="stable")
@@ -141,64 +143,58 @@ def shared(documents: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
         six = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
         key = bucket * max(1, len(cid)) + doc
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        runs = np.diff(np.concatenate((first, [len(key)]))).astype("<u4")
-        owner = cid[doc[first]].astype("<i8")
+        runs, own = np.diff(np.concatenate((first, [len(key)]))), doc[first]
         cut = np.flatnonzero(np.concatenate(([True], bucket[first][1:] != bucket[first][:-1]))) if len(first) else np.zeros(0, np.int64)
         stop = np.concatenate((cut[1:], [len(first)]))
         begin, end = first[cut] if len(cut) else cut, np.concatenate((first[cut[1:]], [len(key)])) if len(cut) else cut
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[begin]),
-                pa.array([owner[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary()),
-                pa.array([runs[a:z].tobytes() for a, z in zip(cut, stop)], pa.binary()),
-                pa.array([six[a:z].tobytes() for a, z in zip(begin, end)], pa.binary()),
-            ],
-            names=["bucket", "cids", "runs", "hashes"],
-        )
-
-    def rows_of(bucket, cid, doc, packed):
-        """Blocks that already are hits: bucket below 0, spread by class, one row a class."""
-        n = np.bincount(doc, minlength=len(cid))
-        own = np.flatnonzero(n)
-        stop = np.cumsum(n[own])
-        raw = packed.tobytes()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(-1 - np.abs(cid[own] % buckets)), pa.array([cid[i : i + 1].astype("<i8").tobytes() for i in own], pa.binary()), pa.nulls(len(own), pa.binary()), pa.array([raw[12 * (e - k) : 12 * e] for e, k in zip(stop.tolist(), n[own].tolist())], pa.binary())],
-            names=["bucket", "cids", "runs", "hashes"],
-        )
+        yield block_of(bucket[begin], [owners(cid[own[a:z]], size[own[a:z]], runs[a:z]) for a, z in zip(cut, stop)], [six[a:z].tobytes() for a, z in zip(begin, end)])
+
+    def owners(cid, n, k) -> bytes:
+        out = np.zeros(len(cid), OWNER)
+        out["cid"], out["n"], out["k"] = cid, n, k
+        return out.tobytes()
+
+    def block_of(bucket, own, shingles):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(own, pa.binary()), pa.array(shingles, pa.binary())], names=["bucket", "owners", "shingles"])
 
     def gather(key, found):
-        bucket = key[0].as_py()
-        out = pa.schema([("cid", pa.int64()), ("hits", pa.binary())])
+        bucket, own = key[0].as_py(), np.frombuffer(b"".join(found["owners"].to_pylist()), OWNER)
+        raw = b"".join(found["shingles"].to_pylist())
         if bucket < 0:
-            cids = np.frombuffer(b"".join(found["cids"].to_pylist()), "<i8")
-            return pa.table([pa.array(cids), found["hashes"].combine_chunks()], schema=out)
-        cid = np.repeat(np.frombuffer(b"".join(found["cids"].to_pylist()), "<i8"), np.frombuffer(b"".join(found["runs"].to_pylist()), "<u4"))
-        six = np.frombuffer(b"".join(found["hashes"].to_pylist()), np.uint8).reshape(-1, 6)
+            return by_part(np.repeat(own["cid"], own["k"]), np.repeat(own["n"], own["k"]), np.frombuffer(raw, HIT))
+        six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
         h = np.zeros((len(six), 8), np.uint8)
         h[:, :6] = six
         h = h.reshape(-1).view("<u8")
+        cid, n = np.repeat(own["cid"], own["k"]), np.repeat(own["n"], own["k"])
         order = np.lexsort((cid, h))
-        h, cid = h[order], cid[order]
+        h, cid, n = h[order], cid[order], n[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])  # copies in other tasks
-        h, cid = h[new], cid[new]
+        h, cid, n = h[new], cid[new], n[new]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate((start, [len(h)])))
-        df = np.repeat(n, n)
+        times = np.diff(np.concatenate((start, [len(h)])))
+        df = np.repeat(times, times)
         both = df > 1
         hits = np.zeros(int(both.sum()), HIT)
         hits["h"], hits["df"] = (h[both] ^ (np.uint64(bucket) << np.uint64(48))).view(np.int64), df[both]
-        cid = cid[both]
-        order = np.argsort(cid, kind="stable")
-        hits, cid = hits[order], cid[order]
-        start = np.flatnonzero(np.concatenate(([True], cid[1:] != cid[:-1]))) if len(cid) else np.zeros(0, np.int64)
-        offsets = (np.concatenate((start, [len(cid)])) * HIT.itemsize).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hits.tobytes())])
-        return pa.table([pa.array(cid[start]), packed], schema=out)
+        return by_part(cid[both], n[both], hits)
+
+    def by_part(cid, n, hits):
+        part = np.abs(cid % buckets)
+        order = np.lexsort((cid, part))
+        part, cid, n, hits = part[order], cid[order], n[order], hits[order]
+        out: dict[str, list] = {"part": [], "owners": [], "hits": []}
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        for a, z in zip(cut, np.concatenate((cut[1:], [len(part)]))):
+            first = a + np.flatnonzero(np.concatenate(([True], cid[a + 1 : z] != cid[a : z - 1])))
+            out["part"].append(int(part[a]))
+            out["owners"].append(owners(cid[first], n[first], np.diff(np.concatenate((first, [z])))))
+            out["hits"].append(hits[a:z].tobytes())
+        return pa.table({"part": pa.array(out["part"], pa.int64()), "owners": pa.array(out["owners"], pa.binary()), "hits": pa.array(out["hits"], pa.binary())})
 
-    blocked = documents.select("doc_id", "text").mapInArrow(scatter, "bucket long, cids binary, runs binary, hashes binary")
-    return blocked.groupBy("bucket").applyInArrow(gather, "cid long, hits binary")
+    blocked = documents.select("doc_id", "text").mapInArrow(scatter, "bucket long, owners binary, shingles binary")
+    return blocked.groupBy("bucket").applyInArrow(gather, "part long, owners binary, hits binary")
 
 
 def identity(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -207,26 +203,31 @@ def identity(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64((1 << 48) - 1)) ^ (bucket << np.uint64(48))).view(np.int64)
 
 
-def candidates(hits: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def candidates(hits: DataFrame, percent: int) -> DataFrame:
     """cid, n, m (shared), ids (shared shingles, rare first) and bitmaps of classes that share enough to link at all."""
-
-    def run(batches):
-        for b in batches:
-            out = {k: [] for k in ("cid", "n", "m", "ids", "maps")}
-            for cid, n, blobs in zip(*(c.to_pylist() for c in b.columns)):
-                x = np.frombuffer(b"".join(blobs), HIT)
-                if 100 * len(x) < percent * n:
-                    continue
-                x = x[np.lexsort((x["h"], x["df"]))]["h"]
-                maps, at = np.zeros(MAPS, np.uint64), (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+    kinds = {"cid": pa.int64(), "n": pa.int64(), "m": pa.int64(), "ids": pa.list_(pa.int64()), "maps": pa.list_(pa.int64())}
+
+    def collect(key, found):
+        own = np.frombuffer(b"".join(found["owners"].to_pylist()), OWNER)
+        x = np.frombuffer(b"".join(found["hits"].to_pylist()), HIT)
+        cid, n = np.repeat(own["cid"], own["k"]), np.repeat(own["n"], own["k"])
+        order = np.lexsort((x["h"], x["df"], cid))
+        x, cid, n = x[order], cid[order], n[order]
+        new = np.ones(len(x), bool)  # a class whose copies lie in several tasks tells its hot shingles several times
+        new[1:] = (cid[1:] != cid[:-1]) | (x["h"][1:] != x["h"][:-1])
+        x, cid, n = x["h"][new], cid[new], n[new]
+        start = np.flatnonzero(np.concatenate(([True], cid[1:] != cid[:-1]))) if len(cid) else np.zeros(0, np.int64)
+        out: dict[str, list] = {k: [] for k in kinds}
+        for a, z in zip(start.tolist(), [*start[1:].tolist(), len(cid)]):
+            if 100 * (z - a) >= percent * int(n[a]):
+                ids = x[a:z]
+                maps, at = np.zeros(MAPS, np.uint64), (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
                 np.bitwise_or.at(maps, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
-                for k, v in (("cid", cid), ("n", n), ("m", len(x)), ("ids", x), ("maps", maps.view(np.int64))):
+                for k, v in zip(out, (int(cid[a]), int(n[a]), z - a, ids, maps.view(np.int64))):
                     out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, kinds)], names=list(out))
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    grouped = hits.groupBy("cid").agg(F.collect_set("hits").alias("hits")).join(classes, "cid").select("cid", "n", "hits")
-    return grouped.mapInArrow(run, "cid long, n long, m long, ids array<bigint>, maps array<bigint>")
+    return hits.groupBy("part").applyInArrow(collect, "cid long, n long, m long, ids array<bigint>, maps array<bigint>")
 
 
 def _filters(percent: int) -> F.Column:
@@ -252,13 +253,13 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     spark = prepare(documents.sparkSession)
     first = stored(sized(documents), "sized")
     rows = first.filter("is_row").select("doc_id", "n", "cid")
-    classes = stored(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = stored(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     n_rows, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = first.filter("NOT is_row").groupBy("hash").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HEAVY >= n_rows).toPandas()
     often = often.assign(hash=often.hash.to_numpy(np.int64).view(np.uint64)).sort_values("hash")
     heavy = (often.hash.to_numpy(np.uint64), often.seen.to_numpy(np.int64))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_all / PER_BUCKET))
-    sets = stored(candidates(shared(documents, heavy, buckets), classes.select("cid", "n"), percent), "sets")
+    sets = stored(candidates(shared(documents, heavy, buckets), percent), "sets")
     prefix = F.col("m") - F.ceil(percent * F.col("n") / 100) + 1
     posting = sets.select("cid", "n", "m", *(F.col("maps")[k].alias(f"b{k}") for k in range(MAPS)), F.posexplode(F.slice("ids", F.lit(1), prefix.cast("int"))).alias("j", "h")).withColumn("pos", F.col("n") - F.col("m") + F.col("j")).drop("j")
     posting = stored(posting, "postings")
