@@ -72,7 +72,7 @@ def class_ids(h: np.ndarray, size: np.ndarray) -> list[int | None]:
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, n, cid of each row, and rows (hash, seen) of shingles that are frequent within a part of a task."""
+    """doc_id, t (hash of the text), n, cid of each row, and rows (hash, seen) of shingles frequent in a part of a task."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -87,15 +87,15 @@ def sized(documents: DataFrame) -> DataFrame:
                 held.append(h[np.repeat(own, size)])
                 docs += len(part)
                 none = pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(size.astype(np.int64)), pa.array(ids, pa.int64()), none, none, pa.array(np.ones(len(part), bool))], names=["doc_id", "n", "cid", "hash", "seen", "is_row"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), b.column(1).slice(i, len(part)), pa.array(size.astype(np.int64)), pa.array(ids, pa.int64()), none, none, pa.array(np.ones(len(part), bool))], names=["doc_id", "t", "n", "cid", "hash", "seen", "is_row"])
             if held:
                 u, n = np.unique(np.concatenate(held), return_counts=True)
                 often = n >= max(16, docs / (2 * HEAVY))
                 m = int(often.sum())
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, b.column(0).type), none, none, pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(m, bool))], names=["doc_id", "n", "cid", "hash", "seen", "is_row"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, b.column(0).type), none, none, none, pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.zeros(m, bool))], names=["doc_id", "t", "n", "cid", "hash", "seen", "is_row"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, hash long, seen long, is_row boolean")
+    return documents.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, n long, cid long, hash long, seen long, is_row boolean")
 
 
 def shared(documents: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -249,10 +249,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of each row."""
+    """doc_id, t (hash of the text), n_shingles, component_id, class_id, part (names the component itself) of each row."""
     spark = prepare(documents.sparkSession)
     first = stored(sized(documents), "sized")
-    rows = first.filter("is_row").select("doc_id", "n", "cid")
+    rows = first.filter("is_row").select("doc_id", "t", "n", "cid")
     classes = stored(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
     n_rows, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     often = first.filter("NOT is_row").groupBy("hash").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HEAVY >= n_rows).toPandas()
@@ -279,8 +279,23 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     parts = components(linked).withColumnRenamed("node", "cid")
     named = classes.join(parts, "cid", "left").withColumn("part", F.coalesce("component", "cid")).select("cid", "part", "rep")
     low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    known = stored(named.join(low, "part").select("cid", "component_id"), "parts")
-    return rows.join(known, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cid").alias("class_id"))
+    known = stored(named.join(low, "part").select("cid", "component_id", "part"), "parts")
+    return rows.join(known, "cid", "left").select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cid").alias("class_id"), "part")
+
+
+def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest doc_id (null last) stays.
+
+    Texts without words are in no component and stay; rows that repeat both id and text are one document.
+    """
+    rows = link(documents, percent)
+    first = rows.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t")).alias("k"))
+    keep = first.select("k.doc_id", "k.t").union(rows.filter("part IS NULL").select("doc_id", "t").distinct())
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.isnull("doc_id"), F.col("t")]
+    keep = keep.select(*(c.alias(f"_key{i}") for i, c in enumerate(key)))
+    own = documents.withColumns({f"_key{i}": c for i, c in enumerate([key[0], key[1], F.xxhash64("text")])})
+    # the join leaves rows dealt and sorted by the key, so telling repeated rows apart costs no further shuffle
+    return own.join(keep, ["_key0", "_key1", "_key2"], "left_semi").dropDuplicates(["_key0", "_key1", "_key2"]).select(*documents.columns)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
