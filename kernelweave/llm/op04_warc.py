@@ -33,8 +33,8 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 1000) -> None:
-    """Write one record per row of (page_id, url, html) below ``path``."""
+def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 1000, compression: str = "gzip") -> None:
+    """Write one record per row of (page_id, url, html) below ``path``; offsets are those of the uncompressed files."""
     prepare(pages.sparkSession)
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     ids = full.filter(F.octet_length("html") >= min_bytes).groupBy("page_id", "digest").agg(F.lit(1).alias("one"))
@@ -58,7 +58,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int
         ("Content-Length: ", F.octet_length(block).cast("string")),
     ]
     lines = F.concat_ws("", *(F.concat(F.lit(k), v, F.lit(EOL)) for k, v in head))
-    rows.select(F.concat(F.lit(MAGIC), lines, F.lit(EOL), block).alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(F.concat(F.lit(MAGIC), lines, F.lit(EOL), block).alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def _field(head: Column, name: str) -> Column:

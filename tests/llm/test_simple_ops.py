@@ -108,13 +108,14 @@ def warc_expected(pages):
     return sorted((p, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first[h or ""] == p else "revisit", None if first[h or ""] == p else first[h or ""]) for p, h in pages)
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc(spark, compression):
     fake = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
     html = [None, "", "a", "a", fake, fake, "é" * 1000, "WARC/1.1\r\n" * 5, "z" * 300_000, "tail\r\n\r\n"] + [f"<p>{i % 7}</p>" for i in range(60)]
     rows = [(i, f"http://x/{i}\n" if i % 3 else None, h) for i, h in enumerate(html)]
     path = op04_warc.scratch(spark, "t")
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    op04_warc.write(df, path, records_per_file=9)
+    op04_warc.write(df, path, records_per_file=9, compression=compression)
     got = op04_warc.read(spark, path, payloads=True).collect()
     key = lambda r: (r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
     assert sorted(map(key, got)) == warc_expected([(i, h) for i, _, h in rows])
