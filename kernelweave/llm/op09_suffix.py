@@ -35,7 +35,7 @@ from kernelweave.session import prepare, release, stored, table
 SPAN, GRAM = 100, 50
 SHIFT = SPAN - GRAM  # an anchor lies at most so far behind the start of its window
 GROUP = 50_000
-PER_BUCKET = 2_500_000
+PER_BUCKET = 1_000_000
 PLACE = np.dtype([("d", "<i8"), ("t", "<i8"), ("i", "<u4")])  # document, text hash, index of the anchor in its text
 SENT = np.dtype([("fp", "S6"), ("ctx", "S6"), ("place", PLACE)])
 
@@ -161,6 +161,16 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
         return answer(place[keep], ~kind[keep])
 
     def answer(place, copy):
+        part = np.abs(place["t"] % buckets)
+        order = np.argsort(part, kind="stable")
+        place, copy, part = place[order], copy[order], part[order]
+        first, end = _runs(part) if len(part) else (np.zeros(0, np.int64),) * 2
+        cut = [(place[a:z].tobytes(), copy[a:z].tobytes()) for a, z in zip(first, end)]
+        return pa.table([pa.array(part[first], pa.int64()), pa.array([x[0] for x in cut], pa.binary()), pa.array([x[1] for x in cut], pa.binary())], names=["part", "places", "flags"])
+
+    def collect(key, found):
+        place = np.frombuffer(b"".join(found["places"].to_pylist()), PLACE)
+        copy = np.frombuffer(b"".join(found["flags"].to_pylist()), bool)
         order = np.lexsort((place["t"], place["d"]))
         place, copy = place[order], copy[order]
         first, end = _runs(place[["d", "t"]]) if len(place) else (np.zeros(0, np.int64),) * 2
@@ -171,7 +181,8 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
             out["asked"].append(own[~c].tobytes())
         return pa.table([pa.array(place["d"][first]), pa.array(place["t"][first]), pa.array(out["copies"], pa.binary()), pa.array(out["asked"], pa.binary())], names=["d", "t", "copies", "asked"])
 
-    return keyed.mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "d long, t long, copies binary, asked binary")
+    met = keyed.mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "part long, places binary, flags binary")
+    return met.groupBy("part").applyInArrow(collect, "d long, t long, copies binary, asked binary")
 
 
 # --- suffix runs -------------------------------------------------------------------------------------------------
@@ -383,11 +394,11 @@ def repeated_windows(runs: DataFrame, group: int = GROUP) -> DataFrame:
 # --- cutting -----------------------------------------------------------------------------------------------------
 
 
-def _covered(a: Anchors, k: int, copies: list[bytes], masks: list) -> np.ndarray:
+def _covered(a: Anchors, k: int, copies: bytes, masks: list) -> np.ndarray:
     """Flags of the removed bytes of text k of a chunk."""
     edge = np.zeros(int(a.size[k]) + 1, np.int32)
     base, first = int(a.start[k]), int(a.first[k])
-    own = np.frombuffer(b"".join(copies), "<u4").astype(np.int64) + first
+    own = np.frombuffer(copies, "<u4").astype(np.int64) + first
     np.add.at(edge, a.lo[own] - base, 1)
     np.add.at(edge, a.hi[own] - base + SPAN, -1)
     for x in masks:
@@ -400,9 +411,8 @@ def _covered(a: Anchors, k: int, copies: list[bytes], masks: list) -> np.ndarray
 
 def _cut(documents: DataFrame, found: DataFrame, masks: DataFrame, out, schema: str) -> DataFrame:
     """Join the ranges with the texts and apply ``out(text, flags)``; other columns of ``documents`` go along."""
-    by_doc = found.groupBy("d", "t").agg(F.collect_list("copies").alias("copies"))
     masks = masks.groupBy("d", "t").agg(F.collect_list(F.struct("i", "mask")).alias("masks"))
-    ranges = by_doc.join(masks, ["d", "t"], "full_outer").hint("shuffle_hash")
+    ranges = found.select("d", "t", "copies").join(masks, ["d", "t"], "full_outer").hint("shuffle_hash")
     whole = F.struct(*documents.columns).alias("row")
     joined = documents.select(whole).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("row.text").alias("t")).join(ranges, ["d", "t"], "left")
     names = [x.split(" ")[0] for x in schema.split(", ")]
@@ -414,7 +424,7 @@ def _cut(documents: DataFrame, found: DataFrame, masks: DataFrame, out, schema:
                 a, rows = Anchors(part), []
                 for k, text in enumerate(part):
                     c, m = copies[i + k], masks[i + k]
-                    rows.append(out(text, _covered(a, k, c or [], m or []) if c or m else None))
+                    rows.append(out(text, _covered(a, k, c or b"", m or []) if c or m else None))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), *(pa.array([r[j] for r in rows]) for j in range(len(names)))], names=["row", *names])
 
     lean = joined.select("row", F.col("row.text").alias("text"), "copies", "masks")
@@ -426,10 +436,10 @@ def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = prepare(documents.sparkSession)
     keyed = _keyed(documents)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // 5, math.ceil(size / 26 / PER_BUCKET), 1)
+    buckets = max(math.ceil(size / (SHIFT + 2) * 2 / PER_BUCKET), 8)  # anchors make about 2 / (SHIFT + 2) of the bytes
     found = stored(repeats(keyed, buckets), "repeats")
     release(spark)
-    asked = found.filter(F.octet_length("asked") > 0).groupBy("d", "t").agg(F.array_join(F.collect_list(F.hex("asked")), "").alias("asked")).select("d", "t", F.unhex("asked").alias("asked")).hint("shuffle_hash")
+    asked = found.filter(F.octet_length("asked") > 0).select("d", "t", "asked").hint("shuffle_hash")
     texts = keyed.join(asked, ["d", "t"]).select("d", "t", "text", "asked")
     runs = suffix_runs(texts, buckets)
     masks = stored(repeated_windows(runs).groupBy("d", "t", "i").agg(F.bit_or("mask").alias("mask")), "masks")
