@@ -39,6 +39,7 @@ STEP = 64
 ORDERS = 3
 GATES = 6
 BINS = 24
+UNIT = 15.0  # a byte holds logistics from -8 to 8, so that the tables stay in the cache
 END = 256  # hash of the end; 0 to 255 stand for the bytes in the table of counts
 PIECE = 1 << 18  # bytes of text at a time: what numpy works on stays in the cache
 
@@ -179,7 +180,7 @@ def _bits(code, length, contexts, text, step, gate, scoring):
 
 
 def count_bits(training: DataFrame, codes) -> DataFrame:
-    """slice, stretch (packed float32): the logistic of how often bit 1 came in each slot of a slice."""
+    """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice."""
     width = ORDERS * TABLE // SLICES
 
     def run(batches):
@@ -197,13 +198,13 @@ def count_bits(training: DataFrame, codes) -> DataFrame:
         out = np.zeros(2 * width, np.float64)
         for x in found["counts"]:
             out += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        stretch = np.log((out[1::2] + 0.4) / (out[0::2] + 0.4)).astype("<f4")
+        stretch = np.rint(np.clip(np.log((out[1::2] + 0.4) / (out[0::2] + 0.4)), -8, 8) * UNIT).astype(np.int8)
         return pa.table([pa.array([key[0].as_py()]), pa.array([stretch.tobytes()], pa.binary())], names=["slice", "stretch"])
 
     return training.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(total, "slice long, stretch binary")
 
 
-def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002, start: float = 0.5) -> np.ndarray:
+def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002 / UNIT / UNIT, start: float = 0.5 / UNIT) -> np.ndarray:
     """log10 probability of each text of a chunk."""
     weights = [np.full(n_texts * GATES, start, np.float32) for _ in range(ORDERS)]
     centres = np.linspace(-8, 8, BINS, dtype=np.float32)
@@ -215,11 +216,12 @@ def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002
                 continue
             own = slice(cuts[i], cuts[i + 1])
             g, y, t = gate[own], bit[own], text[own]
-            xs = [stretch[k].take(slots[k][own]) for k in range(ORDERS)]
+            xs = [stretch[k].take(slots[k][own]).astype(np.float32) for k in range(ORDERS)]
             dot = weights[0].take(g) * xs[0]
             for k in range(1, ORDERS):
                 dot += weights[k].take(g) * xs[k]
-            np.clip(dot, -8, 8, out=dot)
+            np.maximum(dot, np.float32(-8), out=dot)
+            np.minimum(dot, np.float32(8), out=dot)
             p = 1 / (1 + np.exp(-dot))
             dot += np.float32(8)
             dot *= np.float32((BINS - 1) / 16)
@@ -228,14 +230,19 @@ def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002
             q = refined.take(cell)
             q += p
             q *= np.float32(0.5)
-            np.clip(q, 1 / 4096, 1 - 1 / 4096, out=q)
-            q = np.where(y, q, 1 - q)
+            np.maximum(q, np.float32(1 / 4096), out=q)
+            np.minimum(q, np.float32(1 - 1 / 4096), out=q)
+            q -= 1 - y
+            np.abs(q, out=q)  # q where the bit is 1, 1 - q where it is 0
             out += np.bincount(t, weights=np.log10(q), minlength=n_texts)
             p = (y - p) * np.float32(rate)
             for k in range(ORDERS):
-                weights[k] += np.clip(np.bincount(g, weights=p * xs[k], minlength=n_texts * GATES), -0.5, 0.5).astype(np.float32)
-            n = np.bincount(cell, minlength=len(refined))
-            refined += ((np.bincount(cell, weights=y, minlength=len(refined)) - n * refined) / (n + 32.0)).astype(np.float32)
+                weights[k] += np.clip(np.bincount(g, weights=p * xs[k], minlength=n_texts * GATES), -0.5 / UNIT, 0.5 / UNIT).astype(np.float32)
+            cell += cell
+            cell += y
+            n = np.bincount(cell, minlength=2 * len(refined)).reshape(-1, 2)
+            n, ones = n.sum(1), n[:, 1]
+            refined += ((ones - n * refined) / (n + 32.0)).astype(np.float32)
     return out
 
 
@@ -260,7 +267,7 @@ def score(documents: DataFrame) -> DataFrame:
         in_words[r["hash"]] = r["n"]
     codes = spark.sparkContext.broadcast(Codes(top.hash.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64), n_all - int(top.n.sum()), in_words))
     slices = sorted(count_bits(training, codes).collect())
-    stretch = np.frombuffer(b"".join(r["stretch"] for r in slices), "<f4") if slices else np.zeros(ORDERS * TABLE, np.float32)
+    stretch = np.frombuffer(b"".join(r["stretch"] for r in slices), np.int8) if slices else np.zeros(ORDERS * TABLE, np.int8)
     tables = spark.sparkContext.broadcast(stretch.reshape(ORDERS, TABLE))
     release(spark)
     floor = float(np.log10(n_all + 0.5 * (n_kinds + 1)))
