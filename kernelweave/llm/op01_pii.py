@@ -2,8 +2,8 @@
 
 ``find_pii(documents)`` returns for each row its spans (kind, start, end, score). The four base kinds (email, ip,
 card, phone) follow fixed patterns and are always kept once their checks hold; their score only tells how sure the
-method is. Further kinds and weaker patterns (IBAN by mod 97, 13-digit cards by Luhn, phone numbers without a plus,
-national ids, secrets) are kept when checksum and context lift their score to ``threshold``.
+method is. Further kinds and weaker patterns (IBAN by mod 97, cards and phone numbers in stricter forms, phone numbers
+without a plus, national ids, secrets and access keys) are kept when checksum and context lift their score to ``threshold``.
 
 Null or empty texts have no spans. Repeated rows are handled alone; other columns are passed by.
 Offsets are code points, the end is exclusive. Patterns run in time linear in the text.
@@ -32,6 +32,9 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,512})")
+_SECRET_FORM = re.compile(r"(?:A[KS]IA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])")  # fixed forms of access keys
+_PLUS_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
+_CARD_GROUPS = re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])")
 _SECRET_NAME = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}\Z")
 _WORD = re.compile(r"[a-z]+")
 
@@ -133,6 +136,18 @@ def more_spans(text: str) -> list[tuple[int, str, int, float]]:
             digits = m.group().replace(" ", "").replace("-", "")
             if len(digits) == 13 and luhn(digits):
                 found.append((m.start(), "card", m.end(), 0.3))
+    # numbers that stand next to each other make one long base match that fails; the stricter forms find each alone
+    for m in _CARD_GROUPS.finditer(text):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if free(m) and 13 <= len(digits) <= 19 and luhn(digits):
+            found.append((m.start(), "card", m.end(), 0.6))
+    if "+" in text:
+        for m in _PLUS_PHONE.finditer(text):
+            if 10 <= sum(c.isdigit() for c in m.group()) <= 15:
+                found.append((m.start(), "phone", m.end(), 0.6))
+    for m in _SECRET_FORM.finditer(text):
+        if free(m):
+            found.append((m.start(), "secret", m.end(), 0.9))
     for m in _SECRET.finditer(text):
         if any(c.isdigit() for c in m.group(1)) and _SECRET_NAME.search(text[max(0, m.start() - 24) : m.start()]):
             found.append((m.start(1), "secret", m.end(1), 0.8))
