@@ -38,6 +38,7 @@ SLICES = 64
 STEP = 64
 ORDERS = 3
 GATES = 6
+TOP = 20
 BINS = 24
 UNIT = 15.0  # a byte holds logistics from -8 to 8, so that the tables stay in the cache
 END = 256  # hash of the end; 0 to 255 stand for the bytes in the table of counts
@@ -110,9 +111,20 @@ class Codes:
     def __init__(self, words: np.ndarray, counts: np.ndarray, rest: int, bytes_: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        # where the words of each first TOP bits begin, and how many steps the fullest such group takes
+        self.jump = np.searchsorted(self.words >> np.uint64(64 - TOP), np.arange((1 << TOP) + 1, dtype=np.uint64))
+        self.reach = int(np.diff(self.jump).max(initial=0))
         self.code, self.length = huffman(np.concatenate((np.maximum(self.counts, 1), [max(1, rest)])))  # the last is the escape
         self.byte_code, self.byte_length = huffman(np.maximum(bytes_, 1))
 
+    def find(self, token: np.ndarray) -> np.ndarray:
+        """Index of the first word that isn't smaller, as binary search gives it, within a group of equal first bits."""
+        at = self.jump.take((token >> np.uint64(64 - TOP)).astype(np.int64))
+        padded = np.append(self.words, np.uint64(2**64 - 1))
+        for _ in range(self.reach):
+            at += padded.take(at) < token
+        return at
+
     def events(self, texts: list[bytes], scoring: bool = True):
         """Bits of words and bits of bytes, each in order of their step, and the tokens of the texts.
 
@@ -126,7 +138,7 @@ class Codes:
         token = np.full(total, END, np.uint64)
         token[is_word] = w.hashes()
         text = np.repeat(np.arange(len(texts)), w.count + 1)
-        at = np.minimum(np.searchsorted(self.words, token), max(0, len(self.words) - 1))
+        at = np.minimum(self.find(token), max(0, len(self.words) - 1))
         known = self.words[at] == token if len(self.words) else np.zeros(total, bool)
         step = (np.arange(total) - np.repeat(begin, w.count + 1)) // STEP
         tail = np.zeros(total, np.uint32)
@@ -222,11 +234,13 @@ def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002
                 dot += weights[k].take(g) * xs[k]
             np.maximum(dot, np.float32(-8), out=dot)
             np.minimum(dot, np.float32(8), out=dot)
-            p = 1 / (1 + np.exp(-dot))
-            dot += np.float32(8)
+            p = np.exp(-dot)
+            p += np.float32(1)
+            np.reciprocal(p, out=p)
             dot *= np.float32((BINS - 1) / 16)
+            dot += np.float32((BINS - 1) / 2 + 0.5)
             cell = t * BINS
-            cell += np.rint(dot).astype(np.int64)
+            cell += dot.astype(np.int32)
             q = refined.take(cell)
             q += p
             q *= np.float32(0.5)
@@ -234,16 +248,18 @@ def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002
             np.minimum(q, np.float32(1 - 1 / 4096), out=q)
             q -= 1 - y
             np.abs(q, out=q)  # q where the bit is 1, 1 - q where it is 0
-            out += np.bincount(t, weights=np.log10(q), minlength=n_texts)
-            p = (y - p) * np.float32(rate)
+            out += np.bincount(t, weights=np.log(q), minlength=n_texts)
+            np.subtract(y, p, out=p)
+            p *= np.float32(rate)
             for k in range(ORDERS):
                 weights[k] += np.clip(np.bincount(g, weights=p * xs[k], minlength=n_texts * GATES), -0.5 / UNIT, 0.5 / UNIT).astype(np.float32)
             cell += cell
             cell += y
-            n = np.bincount(cell, minlength=2 * len(refined)).reshape(-1, 2)
-            n, ones = n.sum(1), n[:, 1]
-            refined += ((ones - n * refined) / (n + 32.0)).astype(np.float32)
-    return out
+            n = np.bincount(cell, minlength=2 * len(refined)).astype(np.float32)
+            ones = n[1::2]
+            n = n[::2] + ones
+            refined += (ones - n * refined) / (n + np.float32(32))
+    return out / np.log(10)
 
 
 def score(documents: DataFrame) -> DataFrame:
