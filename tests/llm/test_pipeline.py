@@ -59,3 +59,10 @@ def test_pii_and_encoding_stages(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), "t")
+    assert docs.count() == 0 and docs.columns == ["doc_id", "ids", "n_tokens"]

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kernelweave.llm import op01_pii, op03_bpe, op04_warc, op05_classifier, op06_decontaminate, op08_urls, op10_quality
 
@@ -248,3 +249,21 @@ def test_empty_tables(spark):
     path = op04_warc.scratch(spark, "t")
     op04_warc.write(pages, path)
     assert op04_warc.read(spark, path).count() == 0 and op08_urls.judge(pages).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Extra columns that share names with an operator's own are passed by or, where they name a result, replaced."""
+    docs = spark.createDataFrame([(1, "mail a@b.c the words " * 30, "en", "s", 1, "x", 2, 3.0)], "doc_id long, text string, lang string, t string, n long, spans string, kept int, score double")
+    assert op01_pii.find_pii(docs).first()["doc_id"] == 1
+    assert op10_quality.judge(docs).count() == 1 and op10_quality.kept_only(docs).columns == docs.columns
+    assert op05_classifier.score(docs, op05_classifier.train(docs.select("doc_id", "text", F.lit(1).alias("label")))).first()["score"] > 0.4
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h", "p", "r", "v", "q")], "page_id long, url string, host string, path string, rule string, verdict string, tokens string")
+    r = op08_urls.judge(pages).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["tokens"]) == ("a.com", "/x", "com/", "allow", "q")
+
+
+def test_urls_edges(spark):
+    """Nulls, repeated rows and no labelled page at all."""
+    df = spark.createDataFrame([(None, "http://x.org/a"), (1, None), (1, None), (2, "http://x.org/a")], "page_id long, url string")
+    got = op08_urls.judge(df).collect()
+    assert len(got) == 4 and {r["verdict"] for r in got} == {"allow"} and {r["rule"] for r in got} == {None}
