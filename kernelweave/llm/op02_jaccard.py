@@ -278,7 +278,9 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     linked = stored(linked.union(_verified(rest, sets, percent)), "links")
     parts = components(linked).withColumnRenamed("node", "cid")
     named = classes.join(parts, "cid", "left").withColumn("part", F.coalesce("component", "cid")).select("cid", "part", "rep")
-    low = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    # written first: a join of two plain exchanges is one that Spark can split where one component holds a third of all
+    named = stored(named, "named")
+    low = stored(named.groupBy("part").agg(F.min("rep").alias("component_id")), "names")
     known = stored(named.join(low, "part").select("cid", "component_id", "part"), "parts")
     return rows.join(known, "cid", "left").select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cid").alias("class_id"), "part")
 
