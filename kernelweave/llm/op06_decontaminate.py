@@ -5,8 +5,10 @@ words or more marks its last ``window`` words; an item of fewer words is marked
 which the automaton can only be at its root or one word deep (the pair of words occurs in no item) are skipped with
 sorted arrays before the stream starts; this changes no match.
 
-Items reach the tasks as text in blocks of about BLOCK bytes, one automaton a block, so what is broadcast and built
-is bounded at any number of items; each block is one more map over the documents, without a shuffle.
+Items reach the tasks as text in blocks of about BLOCK bytes, fetched and broadcast one at a time, and a worker holds
+one automaton. Where there are several, a task gathers GROUP bytes of rows and passes each block over them. Every
+block sees the untouched texts and the hits of all are united before anything is cut or judged, so results don't
+depend on the blocks; there is no shuffle.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. Null or empty texts have no words, items
 without words are left out, equal items each count by their own id. Extra columns are kept by ``remove``.
@@ -15,9 +17,11 @@ without words are left out, equal items each count by their own id. Extra column
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ from kernelweave.session import prepare, table
 
 WINDOW = 10
 BLOCK = 1 << 20
+GROUP = 64 << 20
 
 
 class Automaton:
@@ -141,54 +146,88 @@ class Automaton:
         return w, hit, items
 
 
-def blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about BLOCK bytes (one longer item may make a block of its own)."""
+def blocks(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about BLOCK bytes (one longer item may make a block of its own), one fetched at a time."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-size // BLOCK))
     own = benchmark.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.pmod(F.xxhash64(text), F.lit(n)).alias("b"))
-    return [[(r["k"], r["t"].encode()) for r in own.filter(F.col("b") == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r["k"], r["t"].encode()) for r in own.filter(F.col("b") == i).collect()]
+
+
+def _broadcast(benchmark: DataFrame) -> list[tuple[str, Broadcast]]:
+    sc = benchmark.sparkSession.sparkContext
+    return [(uuid.uuid4().hex, sc.broadcast(block)) for block in blocks(benchmark)]
 
 
 _built: dict[str, Automaton] = {}
 
 
-def automaton(name: str, block: list[tuple[str, bytes]], window: int) -> Automaton:
+def automaton(name: str, held: Broadcast, window: int) -> Automaton:
     """The automaton of a block, built once in each worker; the last one is kept."""
     if name not in _built:
         _built.clear()
-        _built[name] = Automaton(block, window)
+        _built[name] = Automaton(held.value, window)
+        held.__dict__.pop("_value", None)  # a worker holds no texts of other blocks
     return _built[name]
 
 
+def _groups(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _united(batches: Iterable[pa.RecordBatch], held: list[tuple[str, Broadcast]], window: int, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict[int, np.ndarray], dict[int, set[str]]]]:
+    """Each batch with its number of words a row, and hit words and items, over all blocks, of the rows that have any."""
+    for group in _groups(batches, limit if len(held) > 1 else 0):
+        found = [(b, np.zeros(b.num_rows, np.int64), {}, {}) for b in group]
+        for name, block in held:
+            auto = automaton(name, block, window)
+            for b, count, hits, items in found:
+                for i, part in chunks(column_bytes(b)):
+                    w, hit, names = auto.scan(part)
+                    count[i : i + len(part)] = w.count
+                    for k in np.unique(np.searchsorted(w.first, np.flatnonzero(hit), "right") - 1).tolist():
+                        own = np.flatnonzero(hit[w.first[k] : w.first[k + 1]])
+                        hits[i + k] = np.union1d(hits[i + k], own) if i + k in hits else own
+                        items.setdefault(i + k, set()).update(names[k])
+        held = held[::-1]  # the next group begins with the automaton that is built
+        yield from found
+
+
+def _spans(text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
+    """Bytes of the runs of hit words."""
+    w = Words([text], seps=NOT_WORD)
+    cut = np.flatnonzero(np.diff(hits) > 1)
+    return [(int(w.start[hits[s]]), int(w.end[hits[e]])) for s, e in zip([0, *(cut + 1)], [*cut, len(hits) - 1])]
+
+
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """key, n_words, n_hit, items array<string>, spans array<struct<start,end>> (bytes of the UTF-8 text) of each row."""
-    spark = prepare(documents.sparkSession)
+    prepare(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
-    extra = "n_words long, hits array<bigint>, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    out = documents.select(F.col(key), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for block in blocks(benchmark):
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+    held, limit = _broadcast(benchmark), GROUP
 
-        def run(batches, held=held):
-            auto = automaton(*held.value, window)
-            for b in batches:
-                for i, part in chunks(column_bytes(b)):
-                    rows = b.slice(i, len(part))
-                    w, hit, items = auto.scan(part)
-                    hits, names, spans = rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5).to_pylist()
-                    at = np.flatnonzero(hit)
-                    for k in np.unique(np.searchsorted(w.first, at, "right") - 1).tolist():
-                        first = int(w.first[k])
-                        own = sorted({*hits[k], *(np.flatnonzero(hit[first : w.first[k + 1]])).tolist()})
-                        hits[k], names[k] = own, sorted({*names[k], *items[k]})
-                        own, base = np.array(own), int(w.text_start[k])
-                        cut = np.flatnonzero(np.diff(own) > 1)
-                        spans[k] = [{"start": int(w.start[first + own[s]]) - base, "end": int(w.end[first + own[e]]) - base} for s, e in zip([0, *(cut + 1)], [*cut, len(own) - 1])]
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(w.count.astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(spans, span)], names=[key, "text", "n_words", "hits", "items", "spans"])
-
-        out = out.mapInArrow(run, f"{key} {kind}, text string, {extra}")
-    return out.select(key, "text", "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "spans")
+    def run(batches):
+        for b, count, hits, items in _united(batches, held, window, limit):
+            texts, rows = b.column(1), range(b.num_rows)
+            n_hit = np.zeros(b.num_rows, np.int64)
+            spans: list[list[dict[str, int]]] = [[] for _ in rows]
+            for k, own in hits.items():
+                n_hit[k] = len(own)
+                spans[k] = [{"start": s, "end": e} for s, e in _spans(texts[k].as_py().encode(), own)]
+            names = pa.array([sorted(items.get(k, ())) for k in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(count), pa.array(n_hit), names, pa.array(spans, span)], names=[key, "text", "n_words", "n_hit", "items", "spans"])
+
+    return documents.select(F.col(key), "text").mapInArrow(run, f"{key} {kind}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>")
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -196,38 +235,30 @@ def remove(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, cov
 
     Columns stay as they are; n_chars, if there is one, is counted anew where spans went.
     """
-    spark = prepare(documents.sparkSession)
+    prepare(documents.sparkSession)
     schema = documents.schema
     at, chars = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else -1
-    out = documents
-    for block in blocks(benchmark):
-        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-
-        def run(batches, held=held):
-            auto = automaton(*held.value, window)
-            for b in batches:
-                for i, part in chunks(column_bytes(b)):
-                    rows = b.slice(i, len(part))
-                    w, hit, _ = auto.scan(part)
-                    total = np.concatenate(([0], np.cumsum(hit)))
-                    n = total[w.first[1:]] - total[w.first[:-1]]
-                    if n.any():
-                        texts, counts = rows.column(at).to_pylist(), rows.column(chars).to_pylist() if chars >= 0 else []
-                        for k in np.flatnonzero(n).tolist():
-                            own = np.flatnonzero(hit[w.first[k] : w.first[k + 1]]) + w.first[k]
-                            cut, out, done, base = np.flatnonzero(np.diff(own) > 1), [], 0, int(w.text_start[k])
-                            for s, e in zip([0, *(cut + 1)], [*cut, len(own) - 1]):
-                                out.append(part[k][done : int(w.start[own[s]]) - base])
-                                done = int(w.end[own[e]]) - base
-                            texts[k] = b"".join([*out, part[k][done:]]).decode()
-                            if chars >= 0:
-                                counts[k] = len(texts[k])
-                        cols = [pa.array(texts, pa.string()) if j == at else pa.array(counts, rows.column(j).type) if j == chars else c for j, c in enumerate(rows.columns)]
-                        rows = pa.RecordBatch.from_arrays(cols, names=rows.schema.names).filter(pa.array(n <= coverage * w.count))
-                    yield rows
-
-        out = out.mapInArrow(run, schema)
-    return out
+    held, limit = _broadcast(benchmark), GROUP
+
+    def run(batches):
+        for rows, count, hits, _ in _united(batches, held, window, limit):
+            if hits:
+                texts, counts = rows.column(at).to_pylist(), rows.column(chars).to_pylist() if chars >= 0 else []
+                n = np.zeros(rows.num_rows, np.int64)
+                for k, own in hits.items():
+                    n[k] = len(own)
+                    raw, out, done = texts[k].encode(), [], 0
+                    for start, end in _spans(raw, own):
+                        out.append(raw[done:start])
+                        done = end
+                    texts[k] = b"".join([*out, raw[done:]]).decode()
+                    if chars >= 0:
+                        counts[k] = len(texts[k])
+                cols = [pa.array(texts, pa.string()) if j == at else pa.array(counts, rows.column(j).type) if j == chars else c for j, c in enumerate(rows.columns)]
+                rows = pa.RecordBatch.from_arrays(cols, names=rows.schema.names).filter(pa.array(n <= coverage * count))
+            yield rows
+
+    return documents.mapInArrow(run, schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

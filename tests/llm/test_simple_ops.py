@@ -191,6 +191,25 @@ def test_remove(spark):
     assert set(got) == {1, 3} and got[1]["text"] == "before " * 20 + " after" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_remove_blocks(spark, monkeypatch):
+    """Several blocks of items, and rows in several groups, give what one block gives."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 12), ("b", 12), ("c", 14)))
+    items = spark.createDataFrame([(1, a), (2, b), (3, f"a11 {b[:-4]}"), (4, c), (5, "odd pair")], "item_id long, text string")
+    free = " ".join(f"f{i}" for i in range(10))
+    rows = [f"{free} {a} {b}", f"{free} {a} {free} x {free}", f"odd {a} pair {free} {free}", f"{free} {a} {b[3:]} {free} {free}", c, None, "", free]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows * 4)], "doc_id long, text string, n_chars long").repartition(2)
+    both = lambda: (sorted(op06_decontaminate.remove(df, items).collect()), sorted(op06_decontaminate.find_hits(df, items).drop("text").collect()))
+    one = both()
+    monkeypatch.setattr(op06_decontaminate, "BLOCK", 16)
+    monkeypatch.setattr(op06_decontaminate, "GROUP", 600, raising=False)
+    assert sum(map(bool, op06_decontaminate.blocks(items))) > 2
+    assert both() == one
+    named = [(r["item_id"], r["text"]) for r in items.collect()]
+    for r in one[1]:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(rows[r["doc_id"] % len(rows)], named)
+    assert {r["doc_id"] % len(rows) for r in one[0]} == {i for i, t in enumerate(rows) if 2 * brute_hits(t, named)[1] <= brute_hits(t, named)[0]} >= {1, 2, 5, 6, 7}
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/1", "https://www.example.com/en/2?x=1", "http://example.net/es/3", "http://x.net/fr/", "http://x.org/es/9", "no scheme", None, "http://com", "http://com/", "ftp://a.com?x://b/c", "http://h.com#a/b", "", "http://x.net/frx"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
