@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -249,6 +250,29 @@ def test_quality(docs, texts):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+def test_quality_bands(spark):
+    """Planted noise in symbols, shuffled letters and texts of another language go by the bands alone; clean texts stay.
+
+    Few are planted: a language's model learns what is common in it.
+    """
+    rng = random.Random(1)
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    clean = [r for r in own if len(r["text"].split()) >= 80 and brute_quality(r["text"])[2] == 0][:400]
+    plant = {
+        "symbols": lambda r: (" ".join(w + rng.choice(["***", "&&&", "%%%"]) if rng.random() < 0.5 else w for w in r["text"].split(" ")), r["lang"]),
+        "bars": lambda r: (" | ".join(r["text"].split(" ")), r["lang"]),
+        "shuffled": lambda r: (" ".join("".join(rng.sample(w, len(w))) for w in r["text"].split(" ")), r["lang"]),
+        "language": lambda r: (r["text"], next(x for x in ("en", "de", "fr", "es") if x != r["lang"])),
+    }
+    rows = [(r["doc_id"], *f(r)) for r, f in zip(clean[::40], [*plant.values()] * 3)]
+    rows = [(10_000 + i, *x[1:]) for i, x in enumerate(rows)]
+    got = {r["doc_id"]: r for r in op10_quality.judge(spark.createDataFrame([tuple(r) for r in own] + rows, "doc_id long, text string, lang string")).collect()}
+    planted = {[*plant][i % 4] + f" {i}": got[x[0]] for i, x in enumerate(rows) if not got[x[0]]["base_failed"]}
+    assert len(planted) >= 8 and not [k for k, r in planted.items() if r["kept"]]
+    left = [got[r["doc_id"]] for r in clean if not got[r["doc_id"]]["base_failed"]]
+    assert len(left) > 300 and sum(r["kept"] for r in left) > 0.98 * len(left)
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
     import numpy as np
 
