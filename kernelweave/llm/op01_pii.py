@@ -6,11 +6,14 @@ method is. Further kinds and weaker patterns (IBAN by mod 97, cards and phone nu
 without a plus, national ids, secrets and access keys) are kept when checksum and context lift their score to ``threshold``.
 
 Null or empty texts have no spans. Repeated rows are handled alone; other columns are passed by.
-Offsets are code points, the end is exclusive. Patterns run in time linear in the text.
+A private key counts from its first line to its last one, or, where that is missing, to the end of what can be a key's
+body. Of overlapping proposals of one kind that of the earlier pattern stays.
+Offsets are code points, the end is exclusive. Patterns and the check for overlaps take time linear in the text.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,8 +34,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,512})")
-_SECRET_FORM = re.compile(r"(?:A[KS]IA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])")  # fixed forms of access keys
+_SECRET = re.compile(r"[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
+_SECRET_FORM = re.compile(r"(?:A[KS]IA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])")  # fixed forms of access keys
+_KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----(?:END|BEGIN) [A-Z ]{0,20}PRIVATE KEY-----")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=:,\s-]*")
 _PLUS_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 _CARD_GROUPS = re.compile(r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])")
 _SECRET_NAME = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}\Z")
@@ -117,8 +123,19 @@ def _near(text: str, start: int, end: int, kind: str) -> int:
     return len(CONTEXT[kind].intersection(_WORD.findall(near.lower())))
 
 
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """From each first line of a key to its last line; a key that is cut off ends where its body does."""
+    m = _KEY_BEGIN.search(text) if "PRIVATE KEY" in text else None
+    while m:
+        last = _KEY_END.search(text, m.end())
+        whole = last is not None and last.group().startswith("-----END")
+        end = last.end() if whole else _KEY_BODY.match(text, m.end(), last.start() if last else len(text)).end()
+        yield m.start(), end
+        m = _KEY_BEGIN.search(text, end)
+
+
 def more_spans(text: str) -> list[tuple[int, str, int, float]]:
-    """Proposals of the weaker patterns with the score of pattern and checksum; context is added later."""
+    """Proposals of the weaker patterns with the score of pattern and checksum, pattern by pattern; context is added later."""
     found = []
     free = lambda m: not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "+.-"))
     for m in _IBAN.finditer(text):
@@ -148,6 +165,7 @@ def more_spans(text: str) -> list[tuple[int, str, int, float]]:
     for m in _SECRET_FORM.finditer(text):
         if free(m):
             found.append((m.start(), "secret", m.end(), 0.9))
+    found += [(s, "secret", e, 0.9) for s, e in private_keys(text)]
     for m in _SECRET.finditer(text):
         if any(c.isdigit() for c in m.group(1)) and _SECRET_NAME.search(text[max(0, m.start() - 24) : m.start()]):
             found.append((m.start(1), "secret", m.end(1), 0.8))
@@ -156,12 +174,36 @@ def more_spans(text: str) -> list[tuple[int, str, int, float]]:
 
 def spans(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text as (kind, start, end, score, base), by start and then kind."""
-    out = [(k, s, e, min(1.0, 0.8 + 0.1 * _near(text, s, e, k)), True) for s, k, e in base_spans(text)]
-    for s, k, e, score in more_spans(text):
-        score = min(1.0, score + 0.3 * _near(text, s, e, k))
-        if score >= threshold and not any(x[0] == k and s < x[2] and x[1] < e for x in out):
-            out.append((k, s, e, score, False))
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    held: dict[str, list] = {k: [] for k in KINDS}
+    for s, k, e in base_spans(text):
+        held[k].append((k, s, e, min(1.0, 0.8 + 0.1 * _near(text, s, e, k)), True))
+    # proposals come pattern by pattern; those of one pattern and kind are in order and apart
+    for (k, _), group in itertools.groupby(_numbered(more_spans(text)), key=lambda x: x[0]):
+        scored = [(k, s, e, min(1.0, score + 0.3 * _near(text, s, e, k)), False) for _, (s, _, e, score) in group]
+        held[k] = _merged(held[k], [x for x in scored if x[3] >= threshold])
+    return sorted((x for own in held.values() for x in own), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+def _numbered(proposals: list[tuple[int, str, int, float]]) -> Iterator[tuple[tuple[str, int], tuple]]:
+    """Each proposal under its kind and the number of its run; a run ends where the kind changes or the place goes back."""
+    run, last = 0, None
+    for x in proposals:
+        if last and (x[1] != last[1] or x[0] < last[2]):
+            run += 1
+        yield (x[1], run), x
+        last = x
+
+
+def _merged(first: list, more: list) -> list:
+    """Both lists of spans that are in order and apart, without those of ``more`` that overlap one of ``first``."""
+    out, i = [], 0
+    for x in more:
+        while i < len(first) and first[i][2] <= x[1]:
+            out.append(first[i])
+            i += 1
+        if i == len(first) or x[2] <= first[i][1]:
+            out.append(x)
+    return out + first[i:]
 
 
 def find_pii(documents: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
