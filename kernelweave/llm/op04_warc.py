@@ -8,7 +8,9 @@ are written by Spark's text writer, whose line separator is the blank line that
 Reading: files are split at the version line, wherever it stands, also inside payloads. Tasks emit for each such
 candidate its offset and the offset of the successor that its Content-Length gives; pointer jumping over (file, offset,
 successor) rows from each file's start keeps what can be reached, in a number of joins that is logarithmic in the
-records of a file. Pieces that a false boundary cut off are put back into their record.
+records of a file. Pieces that a false boundary cut off are put back into their record. A length that is negative, no
+number or beyond the file leads to no successor; the chain of its file ends there, and what follows belongs to that
+record. A last record that is cut off gives the payload that is left.
 
 Null html: an empty payload. Null url: no target header. Null page_id: an empty record id, read back as null; it is a
 response only where no page of the same payload has an id. Repeated (page_id, payload) rows are alike. Line breaks in
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kernelweave.session import prepare, scratch, stored, table
 
+LONGEST = 1 << 60  # a length beyond it is no length
 MAGIC, EOL, GAP = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 
 
@@ -69,8 +72,9 @@ def _parsed(value: Column) -> dict[str, Column]:
     """What a piece that begins after the version line says of its record; lengths in bytes."""
     head = F.substring_index(value, GAP, 1)
     head_bytes = F.octet_length(head) + 4
-    length = _field(head, "Content-Length").try_cast("long")
-    block = F.substring(value.cast("binary"), head_bytes + 1, F.coalesce(length, F.lit(0)).cast("int"))
+    stated = _field(head, "Content-Length").try_cast("long")
+    length = F.when(stated.between(0, LONGEST), stated)  # others lead nowhere, so a chain only goes forward
+    block = F.substring(value.cast("binary"), head_bytes + 1, F.least(F.coalesce(length, F.lit(0)), F.octet_length(value)).cast("int"))
     http = F.substring_index(block.cast("string"), GAP, 1)
     payload = F.substring(block, F.octet_length(http) + 5, F.octet_length(block))
     return {
