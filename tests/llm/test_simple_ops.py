@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import statistics
 import zlib
 from collections import Counter
 
@@ -273,13 +275,84 @@ def test_quality_bands(spark):
     assert len(left) > 300 and sum(r["kept"] for r in left) > 0.98 * len(left)
 
 
+def brute_perplexity(texts, units, first):
+    """-log10 probability a byte of each text under modified Kneser-Ney of order 4 over what two texts share, with plain dictionaries."""
+    of = lambda t, f: [tuple(([0] * 3 + [f(x) for x in t.encode()])[i : i + 4]) for i in range(len(t.encode()))]
+    unit = op10_quality._UNIT.tolist().__getitem__
+    shared = {k for k, v in Counter(k for t in texts for k in set(of(t, unit))).items() if v > 1}
+    levels = [Counter(k for t in texts for k, u in zip(of(t, units), of(t, unit)) if u in shared)]
+    texts = [[units(x) for x in t.encode()] for t in texts]
+    for _ in range(3):
+        levels.append(Counter(k[1:] for k in levels[-1]))
+    levels = {4 - i: x for i, x in enumerate(levels)}
+    d = {}
+    for n, level in levels.items():
+        c = Counter(level.values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5
+        d[n] = [min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.05), k - 0.05) if c[k] and c[k + 1] else 0.5 * k for k in (1, 2, 3)]
+    after = {n: {} for n in levels}
+    for n, level in levels.items():
+        for k, v in level.items():
+            after[n].setdefault(k[:-1], {})[k[-1]] = v
+
+    def prob(gram):
+        n = len(gram)
+        if not n:
+            return 1 / first
+        found = after[n].get(gram[:-1])
+        if not found:
+            return prob(gram[1:])
+        cut = lambda v: d[n][min(v, 3) - 1]
+        total, v = sum(found.values()), found.get(gram[-1], 0)
+        return (v - cut(v) if v else 0) / total + sum(map(cut, found.values())) / total * prob(gram[1:])
+
+    return [-sum(math.log10(prob(tuple(([0] * 3 + t)[i : i + 4]))) for i in range(len(t))) / max(1, len(t)) for t in texts]
+
+
+def test_quality_against_brute_force(spark, docs, monkeypatch):
+    """Perplexities and verdicts of small tables, with models broadcast and with models met in parts."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect() if len(r["text"] or "") < 3000]
+    got = op10_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by_lang = {}
+    for i, t, x in rows:
+        by_lang.setdefault(x, []).append((i, t or ""))
+    want = {}
+    for x, own in by_lang.items():
+        unit = op10_quality._UNIT.tolist().__getitem__
+        kind = lambda b: int(op10_quality._CLASS[unit(b)])
+        both = [brute_perplexity([t for _, t in own], f, 64) for f in (unit, kind)]
+        worded = [k for k, (_, t) in enumerate(own) if brute_quality(t)[0]]
+        bands = []
+        for p, least in zip(both, (0.005, 0.005)):
+            mid = statistics.median(round(p[k], 4) for k in worded) if worded else 0
+            bands.append((mid, max(1.4826 * statistics.median(round(abs(p[k] - mid), 4) for k in worded), least) if worded else 1))
+        for k, (i, t) in enumerate(own):
+            q = brute_quality(t)
+            a, c = ((p[k] - m) / s for p, (m, s) in zip(both, bands))
+            want[(i, x)] = (both[0][k], both[1][k], q[0] >= 50 and 100 * q[4] <= 50 * q[0] and -8 <= a <= 16 and c <= 8)
+    assert len(got) == len(rows)
+    for r in got:
+        p, c, kept = want[(r["doc_id"], r["language"] or None)]
+        assert abs(r["log_perplexity"] - p) < 1e-4 and abs(r["log_class_perplexity"] - c) < 1e-4 and r["kept"] == kept
+    monkeypatch.setattr(op10_quality, "HELD", 0)
+    monkeypatch.setattr(op10_quality, "PART", 5000)
+    parts = op10_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["t"])
+    assert sorted(map(tuple, sorted(parts, key=key)), key=str) == sorted(map(tuple, sorted(got, key=key)), key=str)
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
+    import pickle
+
     import numpy as np
 
-    model = op10_quality.fit(docs)["models"][0]
-    for context in (b"the", b"on ", b"zzz", b"\0\0\0"):
-        code = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
-        assert abs((10 ** op10_quality._look(model, code)).sum() - 1) < 0.02
+    models = {r["language"]: pickle.loads(r["model"]) for r in op10_quality.fit(docs).collect()}
+    assert set(models) >= {"=en", "=de", ""}
+    for by_unit, _ in models.values():
+        for context in (b"the", b"on ", b"zzz", b"\0\0\0"):
+            c = [int(op10_quality._UNIT[x]) if x else 0 for x in context]
+            code = np.arange(64) + sum(u << 6 * (3 - j) for j, u in enumerate(c))
+            assert abs((10 ** op10_quality._look(by_unit, code)).sum() - 1) < 0.001
 
 
 def test_empty_tables(spark):
