@@ -1,21 +1,24 @@
 """Language-model scoring by logistic context mixing over bits.
 
-A text is a sequence of symbols: frequent words by a Huffman code, other words as an escape and their bytes (with a
-closing blank) by a Huffman code for bytes, then one end. Each bit has three predictors, each looked up by a hash of
-its context and of the code bits before it: for words no context, the last bytes of the two words before, and the last two bytes of the word
-before; for bytes the last three, four and five bytes of the word.
-Their estimates meet in the logistic domain under
-weights that a gate chooses by kind and depth of the bit; the mix is refined by an adaptive map from predicted to
-observed probability. Weights and map start alike in each text and learn online while it is read, every STEP words, so
-a text's score doesn't depend on other texts of its task, on partitions or on their order.
-
-What is gathered by Spark from all whole training texts: the count of each word (which also gives the base score), and
-for each context slot how often which bit came. The slots are ORDERS * TABLE at any size. The most frequent words,
-at most MAX_WORDS at any size, have codes and are broadcast; the counts of all others are joined to
-the texts' words by a shuffle, after each text has gathered its own.
+A text is the bytes of its tokens: each word and a blank, then one end. A byte is coded by a Huffman code that its last
+byte chooses, and each bit of it has three predictors, looked up by a hash of their context and of the code bits before:
+the last three bytes of the word, the word so far, and, in the first EARLY bytes of a word, the word so far with the word
+before it. Their estimates meet in
+the logistic domain under weights that a gate chooses (depth of the bit, and whether a word begins); the mix is refined
+by an adaptive map from predicted to observed probability. Weights and map start alike and learn after every bit, so a
+text's score doesn't depend on other texts of its task, on partitions or on their order. After each SEGMENT bits of a
+text they start anew (contexts go on), which bounds the length of what can only be done bit by bit; the bits of all the
+segments in some megabytes of text are mixed at once. What depends on a word alone is found once for each word of a
+chunk (words are told apart by 64-bit hashes).
+
+What Spark gathers from all whole training texts: how often each word occurs (the base score), each pair of bytes, and
+for each context slot each bit. Slots grow with the training bytes from 2^MIN_SLOTS to 2^MAX_SLOTS a predictor, the
+bound of what is broadcast; a slot holds the sum of the contexts that share it. The code is one for bytes, so the number
+of different words doesn't change it. Counts of at most HELD frequent words are broadcast for the base score, others are
+joined to the texts' words by a shuffle after each text has gathered its own; where that line is drawn changes no result.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end. Null text: only the end. Equal
-rows get equal results, each its own row. Without training texts the base is 0 a token and the model is uniform.
+rows get equal results, each its own row. Without training texts the base is 0 a token and every slot is even.
 """
 
 from __future__ import annotations
@@ -28,21 +31,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm.text import Words, chunks, column_bytes
+from kernelweave.llm.text import Words, chunks, column_bytes, mix, powers
 from kernelweave.session import prepare, release, stored, table
 
-MAX_WORDS = 1 << 17
-SLOTS = 20  # bits of a word predictor's table; that of a byte predictor stands behind it
-TABLE = 2 << SLOTS
+HELD = 1 << 19
+MIN_SLOTS, MAX_SLOTS = 16, 22
 SLICES = 64
-STEP = 64
 ORDERS = 3
-GATES = 6
+SEGMENT = 1 << 13
+EARLY = 4
+DEPTHS = 8
+GATES = 2 * DEPTHS
 TOP = 20
 BINS = 24
 UNIT = 15.0  # a byte holds logistics from -8 to 8, so that the tables stay in the cache
-END = 256  # hash of the end; 0 to 255 stand for the bytes in the table of counts
-PIECE = 1 << 18  # bytes of text at a time: what numpy works on stays in the cache
+PAIRS = 1 << 16  # hashes below it stand for pairs of bytes in the table of counts
+END = PAIRS  # hash of the end
+END_BYTE = 0x0A  # no word has it
+PIECE = 4 << 20  # bytes of text whose segments are mixed at once
+SLICE = 1 << 18  # bits that are laid out at a time: what numpy works on stays in the cache
+START = (0.30, 0.45, 0.30)  # weights at the start of a segment
+RATE = 0.03
 
 
 def held_out() -> F.Column:
@@ -50,25 +59,28 @@ def held_out() -> F.Column:
 
 
 def count_words(training: DataFrame) -> DataFrame:
-    """hash, n of all tokens of all texts; hashes 0 to 255 count the bytes of words."""
+    """hash, n of all tokens of all texts; hashes below PAIRS count the pairs of bytes that are coded."""
 
     def run(batches):
-        held, size, n_texts, in_words = [], 0, 0, np.zeros(256, np.int64)
+        held, size, n_texts, pairs = [], 0, 0, np.zeros(PAIRS, np.int64)
         for b in batches:
             for _, part in chunks(column_bytes(b)):
                 w = Words(part)
                 held.append(w.hashes())
                 size += len(w.start)
                 n_texts += len(part)
-                in_words += np.bincount(w.data, minlength=256)
+                inside = np.zeros(len(w.data) + 2, np.int8)
+                inside[w.start + 1] += 1
+                inside[w.end + 1] -= 1
+                inside = np.cumsum(inside, dtype=np.int8).astype(bool)  # by place in the text behind one blank
+                data = np.where(inside, np.concatenate(([0x20], w.data, [0x20])), 0x20).astype(np.uint16)
+                pairs += np.bincount((data[:-1] << np.uint16(8) | data[1:])[inside[:-1] | inside[1:]], minlength=PAIRS)
             if size > 2_000_000:
                 yield from out(held)
                 held, size = [], 0
-        in_words[[0x20, *range(9, 14)]] = 0
-        in_words[0x20] = size // 8 + 1
-        own = np.concatenate((np.arange(256), [END]))
-        n = np.concatenate((in_words, [n_texts]))
-        yield pa.RecordBatch.from_arrays([pa.array(own[n > 0]), pa.array(n[n > 0])], names=["hash", "n"])
+        pairs[0x20 << 8 | END_BYTE] = n_texts
+        own = np.flatnonzero(np.append(pairs, n_texts))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.append(pairs, n_texts)[own])], names=["hash", "n"])
         yield from out(held)
 
     def out(held):
@@ -105,103 +117,138 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, length
 
 
-class Codes:
-    """Codes of frequent words (with the escape and the end) and of bytes."""
+class Frequent:
+    """Counts of frequent words, found by hash."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rest: int, bytes_: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         # where the words of each first TOP bits begin, and how many steps the fullest such group takes
         self.jump = np.searchsorted(self.words >> np.uint64(64 - TOP), np.arange((1 << TOP) + 1, dtype=np.uint64))
         self.reach = int(np.diff(self.jump).max(initial=0))
-        self.code, self.length = huffman(np.concatenate((np.maximum(self.counts, 1), [max(1, rest)])))  # the last is the escape
-        self.byte_code, self.byte_length = huffman(np.maximum(bytes_, 1))
 
     def find(self, token: np.ndarray) -> np.ndarray:
-        """Index of the first word that isn't smaller, as binary search gives it, within a group of equal first bits."""
+        """Count of each word, 0 for others; binary search within a group of equal first bits."""
         at = self.jump.take((token >> np.uint64(64 - TOP)).astype(np.int64))
         padded = np.append(self.words, np.uint64(2**64 - 1))
         for _ in range(self.reach):
             at += padded.take(at) < token
-        return at
+        padded[-1] = 0
+        return np.where(padded.take(at) == token, np.append(self.counts, 0).take(at), 0)
+
+
+class Coder:
+    """Codes of bytes after each byte before them, and slots of their bits in tables of 2^slots entries."""
+
+    def __init__(self, pairs: np.ndarray, slots: int):
+        self.slots = slots
+        # no code grows beyond some 20 bits
+        found = [huffman(np.maximum(n, max(1, int(n.sum()) >> 16))) for n in pairs.reshape(256, 256)]
+        code, self.length = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(2))
+        self.first = np.cumsum(self.length) - self.length
+        pair = np.repeat(np.arange(PAIRS), self.length)
+        depth = np.arange(len(pair)) - self.first[pair]
+        left = self.length[pair] - depth
+        self.node = (code[pair] >> left | 1 << depth).astype(np.uint32) * np.uint32(0x2C1B3C6D)
+        self.kind = (np.minimum(depth, DEPTHS - 1) << 1 | code[pair] >> left - 1 & 1).astype(np.int8)
+
+    def slot(self, x: np.ndarray) -> np.ndarray:
+        """Slots of hashes of context and node; ``x`` is overwritten."""
+        x *= np.uint32(0x297A2D39)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA77)
+        x >>= np.uint32(32 - self.slots)
+        return x
 
-    def events(self, texts: list[bytes], scoring: bool = True):
-        """Bits of words and bits of bytes, each in order of their step, and the tokens of the texts.
 
-        A part is (slots by order, bit, gate, text, cuts): ``gate`` numbers the weights of a text, ``cuts`` bound steps.
-        """
-        w = Words(texts)
-        total = len(w.start) + len(texts)
-        begin = w.first[:-1] + np.arange(len(texts))
-        is_word = np.ones(total, bool)
-        is_word[w.first[1:] + np.arange(len(texts))] = False  # the ends stand among the words
-        token = np.full(total, END, np.uint64)
-        token[is_word] = w.hashes()
-        text = np.repeat(np.arange(len(texts)), w.count + 1)
-        at = np.minimum(self.find(token), max(0, len(self.words) - 1))
-        known = self.words[at] == token if len(self.words) else np.zeros(total, bool)
-        step = (np.arange(total) - np.repeat(begin, w.count + 1)) // STEP
-        tail = np.zeros(total, np.uint32)
-        tail[is_word] = w.data[w.end - 1].astype(np.uint32) << np.uint32(8) | w.data[np.maximum(w.end - 2, w.start)]
-        near, ends = np.zeros(total, np.uint32), np.zeros(total, np.uint32)
-        same1, same2 = text[1:] == text[:-1], text[2:] == text[:-2]
-        near[1:] = np.where(same1, tail[:-1], 0)  # two last bytes of the word before; ends: last byte of each of two
-        ends[1:] = np.where(same1, tail[:-1] & np.uint32(0xFF00), 0)
-        ends[2:] |= np.where(same2, tail[:-2] >> np.uint32(8), 0)
-        order = np.argsort(step, kind="stable")  # short texts' steps meet those of others: each step is one pass
-        symbol = np.where(known, at, len(self.words))[order]
-        contexts = (np.zeros(total, np.uint32), (ends * np.uint32(0x9E3779B1) + np.uint32(1))[order], (near * np.uint32(0x85EBCA77) + np.uint32(2))[order])
-        parts = [_bits(self.code[symbol], self.length[symbol], contexts, text[order], step[order], None, scoring)]
-        odd = (~known & is_word)[order]
-        if odd.any():
-            i = (np.cumsum(is_word) - 1)[order][odd]
-            size = w.end[i] - w.start[i] + 1
-            stop = np.cumsum(size)
-            place = np.arange(stop[-1]) - np.repeat(stop - size, size)
-            src = np.minimum(np.repeat(w.start[i], size) + place, len(w.data) - 1)
-            value = w.data[src].astype(np.uint32)
-            value[stop - 1] = 32
-            c1, c2, c3, c4, c5 = (np.where(place >= k, np.roll(value, k), 0).astype(np.uint32) for k in range(1, 6))
-            three = (c1 << np.uint32(8) | c2) << np.uint32(8) | c3
-            contexts = (three * np.uint32(0xC2B2AE3D) + np.uint32(3), (three << np.uint32(8) | c4) * np.uint32(0x27D4EB2F), (three * np.uint32(0x165667B1)) ^ ((c4 << np.uint32(8) | c5) * np.uint32(0x9E3779B1) + np.uint32(5)))
-            parts.append(_bits(self.byte_code[value], self.byte_length[value], contexts, np.repeat(text[order][odd], size), np.repeat(step[order][odd], size), GATES - 1, scoring))
-        return parts, token, text, known, at
-
-
-def _bits(code, length, contexts, text, step, gate, scoring):
-    n = np.repeat(np.arange(len(code)), length)
-    stop = np.cumsum(length)
-    depth = (np.arange(len(n)) - np.repeat(stop - length, length)).astype(np.uint32)
-    left = length.astype(np.uint32)[n] - depth
-    code = code[n]
-    node = ((code >> left) | (np.uint32(1) << depth)) * np.uint32(0x2C1B3C6D)
-    bit = ((code >> (left - np.uint32(1))) & np.uint32(1)).astype(np.uint8)
-    slots = []
-    for c in contexts:
-        x = c[n] ^ node
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x297A2D39)
-        x >>= np.uint32(32 - SLOTS)
-        slots.append(x.astype(np.int64) + (0 if gate is None else 1 << SLOTS))
-    if not scoring:
-        return slots, bit
-    text = text[n]
-    own = text * GATES + (np.minimum(depth >> np.uint32(2), np.uint32(GATES - 2)) if gate is None else gate)
-    last = np.flatnonzero(np.concatenate((step[1:] != step[:-1], [True])))
-    return slots, bit, own, text, np.concatenate(([0], stop[last]))
+def _within(stop: np.ndarray, a: int, z: int) -> tuple[slice, np.ndarray]:
+    """Which of the runs that end at ``stop`` meet a to z, and how much of each."""
+    own = slice(int(np.searchsorted(stop, a, "right")), int(np.searchsorted(stop, z)) + 1)
+    return own, np.diff(np.minimum(stop[own], z), prepend=a)
+
 
+class Coded:
+    """Tokens of texts, and the bits of each different one.
 
-def count_bits(training: DataFrame, codes) -> DataFrame:
+    ``token``, ``text`` (of each token) and ``begin`` (first token of each text); ``words`` are the different tokens and
+    ``word`` numbers that of each token. Bits of words: ``kind`` (gate and value), ``near`` and ``so_far`` (hashes of contexts that lie within the word, with the
+    node), ``first`` and ``size`` of each word, ``early`` of them in its first bytes. ``stop``: where the bits of each token end, all tokens one after another.
+    """
+
+    def __init__(self, texts: list[bytes], coder: Coder):
+        w = Words(texts)
+        self.n_tokens = w.count + 1
+        total = int(self.n_tokens.sum())
+        last = np.cumsum(self.n_tokens) - 1
+        self.begin = last + 1 - self.n_tokens
+        self.text = np.repeat(np.arange(len(texts)), self.n_tokens)
+        is_word = np.ones(total, bool)
+        is_word[last] = False
+        self.token = np.full(total, END, np.uint64)
+        self.token[is_word] = w.hashes()
+        self.words, at, self.word = np.unique(self.token, return_index=True, return_inverse=True)
+        start, size = np.zeros(total, np.int64), np.ones(total, np.int64)
+        start[is_word], size[is_word] = w.start, w.end - w.start + 1
+        start, size = start[at], size[at]
+        stop = np.cumsum(size)
+        n = int(stop[-1])
+        begin = np.repeat(stop - size, size)
+        place = np.arange(n) - begin
+        data = np.append(w.data, np.uint8(0x20)).take(np.repeat(start, size) + place)
+        data[stop - 1] = np.where(self.words == END, END_BYTE, 0x20)
+        up, down = powers(n + 1)
+        hashed = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=hashed[1:])
+        so_far = (mix((hashed[:-1] - hashed[begin]) * down[begin] + place.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        near = np.zeros(n, np.uint32)
+        for j in range(1, 4):
+            near[j:] |= np.where(place[j:] >= j, data[:-j].astype(np.uint32) << np.uint32(8 * (j - 1)), np.uint32(0))
+        near = near * np.uint32(0xC2B2AE3D) + np.uint32(1)
+        pair = data.astype(np.int64) | 0x20 << 8
+        pair[1:] = np.where(place[1:] > 0, data[1:].astype(np.int64) | data[:-1].astype(np.int64) << 8, pair[1:])
+        length = coder.length.take(pair)
+        ends = np.cumsum(length)
+        path = np.arange(int(ends[-1])) + np.repeat(coder.first.take(pair) - ends + length, length)
+        node = coder.node.take(path)
+        self.kind = coder.kind.take(path) + np.repeat(np.where(place == 0, np.int8(2 * DEPTHS), np.int8(0)), length)
+        self.near, self.so_far = np.repeat(near, length) ^ node, np.repeat(so_far, length) ^ node
+        self.size = np.diff(ends[stop - 1], prepend=0)
+        self.first = np.cumsum(self.size) - self.size
+        self.early = ends[np.minimum(stop, stop - size + EARLY) - 1] - self.first
+        self.stop = np.cumsum(self.size.take(self.word))
+        before = np.zeros(total, np.uint64)
+        before[1:] = self.token[:-1]
+        before[self.begin] = 0
+        self.before = (before >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(7)
+
+    def bits(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the bits from a to z of all tokens: places among the bits of words; of those that stand early in a word:
+        their place behind a, place among the bits of words, and hash with the word before."""
+        own, size = _within(self.stop, a, z)
+        word, begin = self.word[own], self.stop[own]
+        begin = begin - self.size.take(word)
+        path = np.arange(a, z) + np.repeat(self.first.take(word) - begin, size)
+        early = self.early.take(word)
+        stop = np.cumsum(early)
+        nth = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - stop + early - a, early)
+        before = np.repeat(self.before[own], early)
+        if len(nth) and (nth[0] < 0 or nth[-1] >= z - a):  # a token that is cut
+            inside = (nth >= 0) & (nth < z - a)
+            nth, before = nth[inside], before[inside]
+        at = path.take(nth)
+        return path, nth, at, self.so_far.take(at) ^ before
+
+
+def count_bits(training: DataFrame, coder) -> DataFrame:
     """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice."""
-    width = ORDERS * TABLE // SLICES
+    slots = 1 << coder.value.slots
+    width = ORDERS * slots // SLICES
 
     def run(batches):
-        n, one = np.zeros((ORDERS, 2 * TABLE), np.uint32), np.uint32(1)
+        n, own = np.zeros((ORDERS, 2 * slots), np.uint32), coder.value
         for b in batches:
             for _, part in chunks(column_bytes(b), PIECE):
-                for slots, bit in codes.value.events(part, scoring=False)[0]:
-                    for k in range(ORDERS):
-                        np.add.at(n[k], slots[k] * 2 + bit, one)
+                count(n, Coded(part, own), own)
         pack = zstandard.ZstdCompressor(level=1)
         for s, x in enumerate(n.reshape(SLICES, 2 * width)):
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([pack.compress(x.tobytes())], pa.binary())], names=["slice", "counts"])
@@ -210,107 +257,177 @@ def count_bits(training: DataFrame, codes) -> DataFrame:
         out = np.zeros(2 * width, np.float64)
         for x in found["counts"]:
             out += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        stretch = np.rint(np.clip(np.log((out[1::2] + 0.4) / (out[0::2] + 0.4)), -8, 8) * UNIT).astype(np.int8)
-        return pa.table([pa.array([key[0].as_py()]), pa.array([stretch.tobytes()], pa.binary())], names=["slice", "stretch"])
+        return pa.table([pa.array([key[0].as_py()]), pa.array([stretched(out).tobytes()], pa.binary())], names=["slice", "stretch"])
 
     return training.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(total, "slice long, stretch binary")
 
 
-def mix_bits(stretch: np.ndarray, parts: list, n_texts: int, rate: float = 0.002 / UNIT / UNIT, start: float = 0.5 / UNIT) -> np.ndarray:
-    """log10 probability of each text of a chunk."""
-    weights = [np.full(n_texts * GATES, start, np.float32) for _ in range(ORDERS)]
-    centres = np.linspace(-8, 8, BINS, dtype=np.float32)
-    refined = np.tile(1 / (1 + np.exp(-centres)), n_texts).astype(np.float32)
-    out = np.zeros(n_texts)
-    for i in range(max(len(p[4]) for p in parts) - 1):
-        for slots, bit, gate, text, cuts in parts:
-            if i + 1 >= len(cuts) or cuts[i] == cuts[i + 1]:
-                continue
-            own = slice(cuts[i], cuts[i + 1])
-            g, y, t = gate[own], bit[own], text[own]
-            xs = [stretch[k].take(slots[k][own]).astype(np.float32) for k in range(ORDERS)]
-            dot = weights[0].take(g) * xs[0]
-            for k in range(1, ORDERS):
-                dot += weights[k].take(g) * xs[k]
-            np.maximum(dot, np.float32(-8), out=dot)
-            np.minimum(dot, np.float32(8), out=dot)
-            p = np.exp(-dot)
-            p += np.float32(1)
-            np.reciprocal(p, out=p)
-            dot *= np.float32((BINS - 1) / 16)
-            dot += np.float32((BINS - 1) / 2 + 0.5)
-            cell = t * BINS
-            cell += dot.astype(np.int32)
-            q = refined.take(cell)
-            q += p
-            q *= np.float32(0.5)
-            np.maximum(q, np.float32(1 / 4096), out=q)
-            np.minimum(q, np.float32(1 - 1 / 4096), out=q)
-            q -= 1 - y
-            np.abs(q, out=q)  # q where the bit is 1, 1 - q where it is 0
-            out += np.bincount(t, weights=np.log(q), minlength=n_texts)
-            np.subtract(y, p, out=p)
-            p *= np.float32(rate)
-            for k in range(ORDERS):
-                weights[k] += np.clip(np.bincount(g, weights=p * xs[k], minlength=n_texts * GATES), -0.5 / UNIT, 0.5 / UNIT).astype(np.float32)
-            cell += cell
-            cell += y
-            n = np.bincount(cell, minlength=2 * len(refined)).astype(np.float32)
-            ones = n[1::2]
-            n = n[::2] + ones
-            refined += (ones - n * refined) / (n + np.float32(32))
+def count(n: np.ndarray, coded: Coded, coder: Coder) -> None:
+    """Add the bits of texts to the counts of bits 0 and 1 of each slot by predictor."""
+    one = np.uint32(1)
+    times = np.repeat(np.bincount(coded.word, minlength=len(coded.size)), coded.size).astype(np.uint32)
+    bit = (coded.kind & 1).view(np.uint8)
+    for k, x in enumerate((coded.near, coded.so_far)):
+        np.add.at(n[k], coder.slot(x.copy()) << one | bit, times)
+    for a in range(0, int(coded.stop[-1]), SLICE):
+        *_, at, x = coded.bits(a, min(a + SLICE, int(coded.stop[-1])))
+        x = coder.slot(x)
+        x <<= one
+        x |= bit.take(at)
+        np.add.at(n[2], x, one)
+
+
+def stretched(n: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -8, 8) * UNIT).astype(np.int8)
+
+
+def text_scores(coder: Coder, stretch: np.ndarray, coded: Coded) -> np.ndarray:
+    """log10 probability of each text."""
+    stop = coded.stop[coded.begin + coded.n_tokens - 1]
+    n_parts = -(-np.diff(stop, prepend=0) // SEGMENT)
+    text = np.repeat(np.arange(len(stop)), n_parts)
+    part = np.arange(len(text)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+    end = np.minimum((stop - np.diff(stop, prepend=0))[text] + (part + 1) * SEGMENT, stop[text])
+    known = np.empty((len(coded.kind), ORDERS + 1), np.int8)  # what a word's bits have in any place
+    known[:, 0] = stretch[0].take(coder.slot(coded.near.copy()))
+    known[:, 1] = stretch[1].take(coder.slot(coded.so_far.copy()))
+    known[:, 2] = 0
+    known[:, ORDERS] = coded.kind
+    out, i = np.zeros(len(stop)), 0
+    while i < len(text):
+        base = int(end[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(end, base + 4 * PIECE, "right")))
+        out += np.bincount(text[i:j], weights=_mixed(*_laid_out(coder, stretch, coded, known.view(np.int32).reshape(-1), base, end[i:j])), minlength=len(out))
+        i = j
     return out / np.log(10)
 
 
+def _laid_out(coder: Coder, stretch: np.ndarray, coded: Coded, known: np.ndarray, base: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the segments that end at ``end``: the n-th bits of all together and longer segments first.
+
+    For each bit three stretches and a byte of gate and value; also the bounds of the n-th bits, and the place of each
+    segment among them.
+    """
+    size = np.diff(end, prepend=base)
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    active = len(size) - np.cumsum(np.bincount(size, minlength=int(size.max()) + 1))[:-1]  # segments with more than n bits
+    bounds = np.concatenate(([0], np.cumsum(active)))
+    packed = np.empty(int(bounds[-1]), np.int32)
+    for a in range(base, int(end[-1]), SLICE):
+        z = min(a + SLICE, int(end[-1]))
+        path, nth, _, x = coded.bits(a, z)
+        row = known.take(path)
+        nth *= ORDERS + 1
+        nth += 2
+        row.view(np.int8)[nth] = stretch[2].take(coder.slot(x))
+        own, n = _within(end, a, z)
+        at = bounds.take(np.arange(a, z) - np.repeat((end - size)[own], n))
+        at += np.repeat(place[own], n)
+        packed[at] = row
+    return packed.view(np.int8).reshape(-1, ORDERS + 1), bounds, place
+
+
+def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each segment: one bit of each at a time."""
+    n = len(place)
+    weights = [np.full(GATES * n, x / UNIT, np.float32) for x in START]
+    centres = np.linspace(-8, 8, BINS, dtype=np.float32)
+    refined = np.tile(1 / (1 + np.exp(-centres)), n).astype(np.float32)
+    shift, own = (np.arange(GATES) * n).repeat(2), np.arange(n)
+    cells, out, odds = own * BINS, np.zeros(n), np.ones(n, np.float32)
+    # whole arrays, for numpy is slower with a number and an array
+    low, high, one, half, scale, off, rate, slow = (np.full(n, x, np.float32) for x in (-8, 8, 1, 0.5, (BINS - 1) / 16, BINS / 2, RATE / UNIT / UNIT, 1 / 32))
+    for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        m = z - a
+        kind = packed[a:z, ORDERS]
+        y = (kind & 1).astype(np.float32)
+        row = shift.take(kind)
+        row += own[:m]
+        xs = [packed[a:z, k].astype(np.float32) for k in range(ORDERS)]
+        ws = [w.take(row) for w in weights]
+        dot = ws[0] * xs[0]
+        for k in range(1, ORDERS):
+            dot += ws[k] * xs[k]
+        np.maximum(dot, low[:m], out=dot)
+        np.minimum(dot, high[:m], out=dot)
+        p = np.exp(np.negative(dot))
+        p += one[:m]
+        np.reciprocal(p, out=p)
+        dot *= scale[:m]
+        dot += off[:m]
+        cell = dot.astype(np.int32) + cells[:m]
+        r = refined.take(cell)
+        q = p + r
+        q *= half[:m]
+        q += y
+        q -= one[:m]
+        odds[:m] *= np.abs(q, out=q)  # q where the bit is 1, 1 - q where it is 0
+        if i % 8 == 7:  # the product of eight can't vanish
+            out += np.log(odds)
+            odds.fill(1)
+        np.subtract(y, p, out=p)
+        p *= rate[:m]
+        for k in range(ORDERS):
+            xs[k] *= p
+            xs[k] += ws[k]
+            weights[k][row] = xs[k]
+        y -= r
+        y *= slow[:m]
+        r += y
+        refined[cell] = r
+    out += np.log(odds)
+    return out[place]
+
+
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row."""
     spark = prepare(documents.sparkSession)
     training = documents.filter(~held_out())
     counts = stored(count_words(training), "words")
-    words = counts.filter("hash < 0 OR hash > 255")
+    words = counts.filter(f"hash < 0 OR hash >= {PAIRS}")
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bins = sorted(words.groupBy(F.floor(F.log2("n") * 32).alias("bin")).count().collect(), reverse=True)  # some 2,000 rows at most
     least, held = 1 << 62, 0
     for r in bins:
         held += r["count"]
-        if held > MAX_WORDS:
+        if held > HELD:
             break
         least = r["bin"]
-    frequent = F.floor(F.log2("n") * 32) >= least
-    top = words.filter(frequent).toPandas()  # at most MAX_WORDS rows
-    in_words = np.zeros(256, np.int64)
-    for r in counts.filter("hash BETWEEN 0 AND 255").collect():
-        in_words[r["hash"]] = r["n"]
-    codes = spark.sparkContext.broadcast(Codes(top.hash.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64), n_all - int(top.n.sum()), in_words))
-    slices = sorted(count_bits(training, codes).collect())
-    stretch = np.frombuffer(b"".join(r["stretch"] for r in slices), np.int8) if slices else np.zeros(ORDERS * TABLE, np.int8)
-    tables = spark.sparkContext.broadcast(stretch.reshape(ORDERS, TABLE))
+    is_frequent = F.floor(F.log2("n") * 32) >= least
+    top = words.filter(is_frequent).toPandas()  # at most HELD rows
+    pairs = np.zeros(PAIRS, np.int64)
+    for r in counts.filter(f"hash >= 0 AND hash < {PAIRS}").collect():  # at most PAIRS rows
+        pairs[r["hash"]] = r["n"]
+    slots = min(max(int(pairs.sum() >> 3).bit_length(), MIN_SLOTS), MAX_SLOTS)
+    coder = spark.sparkContext.broadcast(Coder(pairs, slots))
+    frequent = spark.sparkContext.broadcast(Frequent(top.hash.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)))
+    slices = sorted(count_bits(training, coder).collect())
+    stretch = np.frombuffer(b"".join(r["stretch"] for r in slices), np.int8) if slices else np.zeros(ORDERS << slots, np.int8)
+    tables = spark.sparkContext.broadcast(stretch.reshape(ORDERS, 1 << slots))
     release(spark)
     floor = float(np.log10(n_all + 0.5 * (n_kinds + 1)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        c = codes.value
-        logs = np.log10(c.counts + 0.5)
         for b in batches:
             ids, t = b.column(0), b.column(2)
             for i, part in chunks(column_bytes(b), PIECE):
-                n = len(part)
-                parts, token, text, known, at = c.events(part)
-                model = mix_bits(tables.value, parts, n)
-                base = np.bincount(text[known], weights=logs[at[known]], minlength=n) if len(logs) else np.zeros(n)
-                n_known, n_tokens = np.bincount(text[known], minlength=n), np.bincount(text, minlength=n)
+                n, coded = len(part), Coded(part, coder.value)
+                model, text = text_scores(coder.value, tables.value, coded), coded.text
+                times = frequent.value.find(coded.words)
+                known = (times > 0).take(coded.word)
+                base = np.bincount(text, weights=np.where(times > 0, np.log10(times + 0.5), 0).take(coded.word), minlength=n)
+                n_known = np.bincount(text[known], minlength=n)
                 size = np.fromiter(map(len, part), np.int64, n)
                 odd = np.flatnonzero(~known)
-                order = odd[np.lexsort((token[odd], text[odd]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (token[order][1:] != token[order][:-1]) | (text[order][1:] != text[order][:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.concatenate((first, [len(order)])))
-                rows, m = pa.array(np.concatenate((np.arange(n), text[order][first])) + i), len(first)
+                pair, times = np.unique(text[odd] * len(coded.words) + coded.word[odd], return_counts=True)
+                owner, word = np.divmod(pair, len(coded.words))
+                rows, m = pa.array(np.concatenate((np.arange(n), owner)) + i), len(pair)
                 zero = np.zeros(m, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), t.take(rows), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token[order][first].view(np.int64))]), *(pa.array(np.concatenate(x)) for x in ((np.zeros(n, np.int64), times), (np.ones(n, np.int64), zero), (n_tokens, zero), (n_known, zero), (base, zero.astype(float)), (model, zero.astype(float)), (size, zero)))],
+                    [ids.take(rows), t.take(rows), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(coded.words[word].view(np.int64))]), *(pa.array(np.concatenate(x)) for x in ((np.zeros(n, np.int64), times), (np.ones(n, np.int64), zero), (coded.n_tokens, zero), (n_known, zero), (base, zero.astype(float)), (model, zero.astype(float)), (size, zero)))],
                     names=["doc_id", "t", "hash", "k", "rows", "n_tokens", "n_known", "base", "model", "n_bytes"],
                 )
 
@@ -318,7 +435,7 @@ def score(documents: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "text", "t").mapInArrow(lambda bs: run(b.select(["doc_id", "text", "t"]) for b in bs), f"doc_id {kind}, t long, hash long, k long, rows long, n_tokens long, n_known long, base double, model double, n_bytes long")
     rows = stored(rows, "scores")
     whole = rows.filter("rows = 1").groupBy("doc_id", "t").agg(F.sum("rows").alias("rows"), *(F.first(x).alias(x) for x in ("n_tokens", "n_known", "base", "model", "n_bytes")))
-    rare = words.filter(~frequent).select("hash", "n")
+    rare = words.filter(~is_frequent).select("hash", "n")
     light = rows.filter("rows = 0").select("doc_id", "t", "hash", "k").join(rare, "hash", "left")
     n = F.coalesce("n", F.lit(0))
     light = light.groupBy(F.col("doc_id").alias("d2"), F.col("t").alias("t2")).agg(F.sum(F.col("k") * F.log10(n + 0.5)).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("met"))

@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(m, base, np.uint64)
             x[0] = 1
             _powers[key] = np.cumprod(x, dtype=np.uint64)
-        if m > 2 * CHUNK:  # tables of one very long text are not kept
+        if m > 8 * CHUNK:  # tables of one very long text are not kept
             return _powers.pop("up"), _powers.pop("down")
     return _powers["up"][:n], _powers["down"][:n]
 
