@@ -1,9 +1,8 @@
-"""Narrow number formats: fixed point by shifts in plain columns, 16-bit floats by vectorised bit views."""
+"""Narrow number formats in plain columns: fixed point by shifts, 16-bit floats by powers of two; bit views for arrays."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +63,63 @@ def decode_e3m13(code: np.ndarray, n: int, exceptions: np.ndarray) -> np.ndarray
     return np.where(e == 7, exceptions, ((e + np.uint32(low)) << np.uint32(23) | m << np.uint32(10)).view(np.float32))
 
 
-def quantise(x: DataFrame, codec: str, column: str = "v") -> DataFrame:
-    """Round a column to a 16-bit form and back: 'half', 'e6m10', 'single'; one vectorised map."""
-    if codec == "single":
-        return x.withColumn(column, F.col(column).cast("float").cast("double"))
+def exponent(x: Column) -> Column:
+    """Largest e with 2^e <= x, of positive numbers; the logarithm alone may miss it next to a power of two."""
+    e = F.floor(F.log2(x))
+    return F.when(x < F.pow(F.lit(2.0), e), e - 1).when(x >= F.pow(F.lit(2.0), e + 1), e + 1).otherwise(e)
+
+
+def round_mantissa(x: Column, bits: int) -> Column:
+    """Positive numbers rounded to ``bits`` of mantissa, ties upwards."""
+    unit = F.pow(F.lit(2.0), exponent(x) - bits)
+    return F.floor(x / unit + 0.5) * unit
+
 
-    @F.pandas_udf("double")
-    def code(v: pd.Series) -> pd.Series:
-        a = v.to_numpy(np.float32)
-        a = a.astype(np.float16) if codec == "half" else decode_e6m10(encode_e6m10(a))
-        return pd.Series(a.astype(np.float64))
+def _half(x: Column) -> Column:
+    unit = F.pow(F.lit(2.0), F.greatest(exponent(F.abs(x)), F.lit(-14)) - 10)
+    rounded = F.rint(x / unit) * unit  # ties to even
+    return F.when(x == 0, x).when(F.abs(rounded) > 65504, F.signum(x) * F.lit(float("inf"))).otherwise(rounded)
 
-    return x.withColumn(column, code(column))
+
+#: what becomes of a number in single precision
+_CODECS = {
+    "single": lambda x: x,
+    "half": _half,
+    "e6m10": lambda x: F.when(x < 2.0**-63, 2.0**-63).otherwise(round_mantissa(x, 10)),
+    "e3m13": lambda x: F.when(x == 0, x).otherwise(round_mantissa(x, 13)),
+}
+
+
+def quantise(x: DataFrame, codec: str, column: str = "v") -> DataFrame:
+    """Round a column to a narrow form and back: 'half', 'e6m10', 'e3m13', 'single'; plain columns. Null stays null.
+
+    'e6m10' is for numbers from 0 to 2, 'e3m13' for numbers from 0 on; another name is an error.
+    """
+    if codec not in _CODECS:
+        raise ValueError(f"unknown form {codec!r}; known are {', '.join(_CODECS)}")
+    return x.withColumn(column, _CODECS[codec](F.col(column).cast("float").cast("double")))
+
+
+def split_e3m13(x: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (i, v) as 16-bit codes (i, code) and a side table of exceptions (i, exponent).
+
+    A code is three bits of exponent, relative to that of 1/n less 3, and 13 bits of mantissa. Exponent 7 says that the
+    exponent stands among the exceptions; so it does for numbers below the range and for the one whose code would be 0,
+    which is the code of 0.
+    """
+    low = int(np.frexp(np.float32(1 / n))[1]) - 1 - 3
+    v = quantise(x.select("i", "v"), "e3m13").withColumn("e", F.when(F.col("v") > 0, exponent(F.col("v"))))
+    m = F.col("v") / F.pow(F.lit(2.0), F.col("e")) * 8192 - 8192
+    e = F.col("e") - low
+    plain = e.between(0, 6) & ~((e == 0) & (m == 0))
+    code = F.when(F.col("v") == 0, 0).when(plain, e * 8192 + m).otherwise(7 * 8192 + m).cast("int")
+    return v.select("i", code.alias("code")), v.filter((F.col("v") > 0) & ~plain).select("i", F.col("e").cast("int").alias("exponent"))
+
+
+def join_e3m13(codes: DataFrame, exceptions: DataFrame, n: int) -> DataFrame:
+    """Rows (i, v) of codes, with the exponents of exceptions looked up by a join."""
+    low = int(np.frexp(np.float32(1 / n))[1]) - 1 - 3
+    e = F.floor(F.col("code") / 8192)
+    e = F.when(e == 7, F.col("exponent")).otherwise(e + low)
+    v = F.when(F.col("code") == 0, 0.0).otherwise((1 + F.col("code") % 8192 / 8192) * F.pow(F.lit(2.0), e))
+    return codes.join(exceptions, "i", "left").select("i", v.alias("v"))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,7 +42,9 @@ def row_sums(m: DataFrame) -> DataFrame:
 
 def normalise_rows(m: DataFrame) -> DataFrame:
     """Each row divided by its sum; rows that sum to 0 are left out, ``dangling`` names them."""
-    return m.withColumn("s", F.sum("v").over(Window.partitionBy("i"))).filter("s <> 0").select("i", "j", (F.col("v") / F.col("s")).alias("v"))
+    sums = row_sums(m).filter("v <> 0").withColumnRenamed("v", "s")
+    # a join and not a window, so that a row with a third of all entries can be split
+    return m.join(sums, "i").select("i", "j", (F.col("v") / F.col("s")).alias("v"))
 
 
 def dangling(nodes: DataFrame, m: DataFrame) -> DataFrame:

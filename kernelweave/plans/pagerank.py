@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.functions.precision import quantise
+from kernelweave.functions.precision import join_e3m13, quantise, split_e3m13
 from kernelweave.operators import linalg
 from kernelweave.session import stored
 
@@ -25,7 +25,8 @@ def pagerank(
     Each step is written to the shared folder: a step reads the last ranks several times, so without the cut the plan
     would grow as a power of the steps. Stops after ``iterations``, or else when the change is at most ``eps``, measured
     by ``norm``. ``redistribute_leak`` gives what the ranks lost to rounding
-    back to all nodes in equal parts and renormalises, as the 16-bit forms do; ``codec`` rounds ranks to such a form.
+    back to all nodes in equal parts and renormalises, as the 16-bit forms do; ``codec`` rounds ranks to such a form:
+    'half', 'e6m10', 'single', or 'e3m13', where ranks are held as codes and a table of exceptions that are joined.
     """
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     m = edges.groupBy("src", "dst").agg(F.sum(w).alias("v"))
@@ -34,6 +35,7 @@ def pagerank(
     n = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
     share = linalg.normalise_rows(m.select(F.col("src").alias("i"), F.col("dst").alias("j"), "v"))
     a = stored(linalg.transpose(share), "edges")
+    n_nodes = nodes.count()
     rank = nodes.crossJoin(n).select("i", (1 / F.col("n")).alias("v"))
     loose = stored(linalg.dangling(nodes, a.select(F.col("j").alias("i"), "v")), "dangling")
     for _ in range(iterations if iterations is not None else max_iter):
@@ -47,7 +49,10 @@ def pagerank(
             # every rank got the same part, so the new total is known without another pass
             spread = F.broadcast(total.select((F.col("s") + (1 - F.col("s"))).alias("t")))
             new = new.crossJoin(spread).select("i", (F.col("v") / F.col("t")).alias("v"))
-        if codec:
+        if codec == "e3m13":
+            codes, exceptions = split_e3m13(stored(new, "rank"), n_nodes)
+            new = join_e3m13(stored(codes, "codes"), stored(exceptions, "exceptions"), n_nodes)
+        elif codec:
             new = quantise(new, codec)
         new = stored(new, "rank")
         if iterations is None:

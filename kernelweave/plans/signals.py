@@ -90,20 +90,46 @@ def dft(signal: DataFrame, n: int, inverse: bool = False) -> DataFrame:
     return each.groupBy("key", "k").agg((re * unit).alias("re"), (im * unit).alias("im"))
 
 
-def fft(windows: DataFrame, inverse: bool = False) -> DataFrame:
-    """key, re, im (arrays) of windows with arrays re, im: a vectorised map, one transform a row, forward scaled by 1/n."""
-    prepare(windows.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for re, im in zip(b["re"], b["im"]):
-                z = np.asarray(re, float) + 1j * np.asarray(im, float)
-                out.append(np.fft.ifft(z) * len(z) if inverse and len(z) else np.fft.fft(z) / max(1, len(z)) if len(z) else z)
-            yield pd.DataFrame({"key": b["key"], "re": [x.real for x in out], "im": [x.imag for x in out]})
-
-    kind = windows.schema["key"].dataType.simpleString()
-    return windows.select("key", "re", "im").mapInPandas(run, f"key {kind}, re array<double>, im array<double>")
+def _factors(n: int) -> list[int]:
+    out, r = [], 2
+    while n > 1:
+        while n % r == 0:
+            out.append(r)
+            n //= r
+        r = r + 1 if r * r <= n else max(n, r + 1)
+    return out
+
+
+def fft(signal: DataFrame, n: int, inverse: bool = False) -> DataFrame:
+    """key, k, re, im: transforms of length ``n`` of rows (key, n, re, im), n from 0; forward scaled by 1/n.
+
+    One stage a prime factor r: rows hold the transforms of the subsequences of every S-th value; r of those make one of
+    every S/r-th value. A stage is an explode to r rows and an aggregate, so a transform is never one group, and the work
+    is n times the sum of the factors. Absent rows count as 0; a null counts as 0.
+    """
+    apart, size = n, 1
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    out = signal.select("key", F.col("n").cast("long").alias("g"), F.lit(0).cast("long").alias("k"), value("re"), value("im"))
+    for r in _factors(n):
+        apart, size = apart // r, size * r
+        step = F.lit(size // r)
+        places = F.sequence(F.col("k"), F.col("k") + (r - 1) * step, step)
+        part = out.select("key", "g", F.explode(places).alias("k"), "re", "im")
+        turn = F.lit((1 if inverse else -1) * 2 * np.pi / size) * ((F.expr(f"g div {apart}") * F.col("k")) % size)
+        re, im = F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn), F.col("re") * F.sin(turn) + F.col("im") * F.cos(turn)
+        out = part.groupBy("key", (F.col("g") % apart).alias("g"), "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    unit = 1.0 if inverse else 1.0 / n
+    return out.select("key", "k", (F.col("re") * unit).alias("re"), (F.col("im") * unit).alias("im"))
+
+
+def fft_axes(cells: DataFrame, sizes: dict[str, int], inverse: bool = False) -> DataFrame:
+    """key, the axes, re, im: the transform along each axis in turn of rows (key, axes, re, im); two axes, three or more."""
+    out = cells.select("key", *(F.col(c).cast("long").alias(c) for c in sizes), "re", "im")
+    for axis, n in sizes.items():
+        others = [c for c in sizes if c != axis]
+        lines = out.select(F.struct("key", *others).alias("key"), F.col(axis).alias("n"), "re", "im")
+        out = fft(lines, n, inverse).select("key.*", F.col("k").alias(axis), "re", "im")
+    return out.select("key", *sizes, "re", "im")
 
 
 def windows_of(series: DataFrame, size: int, drop_short: bool = True) -> DataFrame:

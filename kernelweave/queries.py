@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kernelweave.functions import precision, scalar
 from kernelweave.operators import linalg, stats
 from kernelweave.plans import networks, pagerank as pr, points as pts, results, signals, solvers, svm
-from kernelweave.session import table
+from kernelweave.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,7 +59,13 @@ _GRAPH = "e AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst F
 _SUPPLY = "m AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
-def _pagerank_sql(steps: int, leak: bool, tail: str) -> str:
+def _exponent_sql(source: str, name: str, keys: str) -> str:
+    """A named subquery with e, the largest power of two that isn't above v."""
+    e, two = "floor(log2(v))", "CAST(2 AS DOUBLE)"
+    return f"{name} AS (SELECT {keys}, v, CASE WHEN v < pow({two}, {e}) THEN {e} - 1 WHEN v >= pow({two}, {e} + 1) THEN {e} + 1 ELSE {e} END AS e FROM {source})"
+
+
+def _pagerank_sql(steps: int, leak: bool, tail: str, bits: int = 0) -> str:
     out = [f"WITH {_GRAPH}", "nodes AS (SELECT src AS i FROM e UNION SELECT dst FROM e)", "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)", "w AS (SELECT src, dst, 1 / CAST(count(*) OVER (PARTITION BY src) AS DOUBLE) AS v FROM e)", "r0 AS (SELECT i, 1 / n AS v FROM nodes, n)"]
     for k in range(1, steps + 1):
         p, c = f"r{k - 1}", f"q{k}" if leak else f"r{k}"
@@ -68,7 +74,11 @@ def _pagerank_sql(steps: int, leak: bool, tail: str) -> str:
         out.append(f"{c} AS (SELECT nodes.i, CAST(0.85 AS DOUBLE) * (coalesce(s{k}.v, 0) + lost / n) + (1 - CAST(0.85 AS DOUBLE)) / n AS v FROM nodes LEFT JOIN s{k} USING (i), l{k}, n)")
         if leak:
             out.append(f"t{k} AS (SELECT i, v + (1 - sum(v) OVER ()) / n AS v FROM {c}, n)")
-            out.append(f"r{k} AS (SELECT i, v / sum(v) OVER () AS v FROM t{k})")
+            out.append(f"{'u' if bits else 'r'}{k} AS (SELECT i, v / sum(v) OVER () AS v FROM t{k})")
+        if bits:  # ranks in single precision, then rounded to bits of mantissa
+            out.append(f"f{k} AS (SELECT i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM u{k})")
+            out.append(_exponent_sql(f"f{k}", f"x{k}", "i"))
+            out.append(f"r{k} AS (SELECT i, floor(v / pow(CAST(2 AS DOUBLE), e - {bits}) + 0.5) * pow(CAST(2 AS DOUBLE), e - {bits}) AS v FROM x{k})")
     return ", ".join(out) + " " + tail.format(last=f"r{steps}")
 
 
@@ -83,10 +93,16 @@ def pagerank_leak(spark, d):
     return pr.pagerank(part_graph(spark, d), iterations=3, redistribute_leak=True).select(F.col("i").alias("node"), F.round("v", 10).alias("rank"))
 
 
-@query()
+@query(_pagerank_sql(3, True, "SELECT i AS node, round(v, 10) AS v FROM {last}", 10))
 def pagerank_16bit(spark, d):
     """Ranks held in the 16-bit form with 6 bits of exponent, leak redistributed each step."""
-    return pr.pagerank(part_graph(spark, d), iterations=3, redistribute_leak=True, codec="e6m10").select(F.col("i").alias("node"), "v")
+    return pr.pagerank(part_graph(spark, d), iterations=3, redistribute_leak=True, codec="e6m10").select(F.col("i").alias("node"), F.round("v", 10).alias("v"))
+
+
+@query(_pagerank_sql(3, True, "SELECT i AS node, round(v, 10) AS v FROM {last}", 13))
+def pagerank_exceptions(spark, d):
+    """Ranks held in the 16-bit form with 3 bits of exponent and a table of exceptions, leak redistributed each step."""
+    return pr.pagerank(part_graph(spark, d), iterations=3, redistribute_leak=True, codec="e3m13").select(F.col("i").alias("node"), F.round("v", 10).alias("v"))
 
 
 @query(f"WITH {_GRAPH} SELECT i AS node FROM (SELECT src AS i FROM e UNION SELECT dst FROM e) WHERE i NOT IN (SELECT src FROM e)")
@@ -212,7 +228,7 @@ round(CASE WHEN i BETWEEN 1 AND 4 AND j BETWEEN 1 AND 4 AND k BETWEEN 1 AND 5 TH
 
 @query(_HEAT)
 def heat_3d(spark, d):
-    g = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 6).alias("j"), (F.col("l_linenumber").cast("long") % 7).alias("k")).agg(F.avg("l_quantity").alias("v"))
+    g = stored(table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 6).alias("j"), (F.col("l_linenumber").cast("long") % 7).alias("k")).agg(F.avg("l_quantity").alias("v")), "grid")
     forms = [solvers.heat_3d(g, (6, 6, 7), f, 2.0).withColumnRenamed("v", f) for f in ("naive", "blocked", "oblivious")]
     both = forms[0].join(forms[1], ["i", "j", "k"]).join(forms[2], ["i", "j", "k"])
     return both.select("i", "j", "k", *(rnd(f, 7).alias(f) for f in ("naive", "blocked", "oblivious")))
@@ -281,10 +297,7 @@ round(sum(CAST(CAST(exp(-0.5 * (vv + ee - 2 * uv)) AS FLOAT) AS DOUBLE)), 4) + 0
 def svm_kernels(spark, d):
     vectors, p = [(v, 1.0) for v, _ in _few(spark, d)], embeddings(spark, d)
     own = {"linear": {}, "poly": {"coef0": 1.0}, "rbf": {}, "sigmoid": {"coef0": 1.0}}
-    out = p.select("id")
-    for name, more in own.items():
-        out = out.join(svm.decide(p, vectors, 0.0, name, **more).select("id", rnd("dec", 4).alias(name)), "id")
-    return out
+    return p.select("id", *(rnd(svm.decision(vectors, 0.0, name, **more), 4).alias(name) for name, more in own.items()))
 
 
 @query(_SV + " SELECT id, round(sum(c * CAST(CAST(exp(-0.5 * (vv + ee - 2 * uv)) AS FLOAT) AS DOUBLE)) - CAST(0.125 AS DOUBLE), 5) + 0 AS dec FROM k GROUP BY id")
@@ -468,7 +481,8 @@ def activations(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(k) for k, v in forms.items()))
 
 
-@query()
+@query(f"""WITH {_SUPPLY}, s AS (SELECT i, j, CAST(CAST(v / sum(v) OVER (PARTITION BY i) AS FLOAT) AS DOUBLE) AS v FROM m), {_exponent_sql("s", "x", "i, j")}
+SELECT i, j, round_even(v / pow(CAST(2 AS DOUBLE), greatest(e, -14) - 10), 0) * pow(CAST(2 AS DOUBLE), greatest(e, -14) - 10) AS v FROM x""")
 def half_precision(spark, d):
     """Shares of suppliers in a part's quantity, rounded to half precision."""
     return precision.quantise(linalg.normalise_rows(supply(spark, d)), "half")
@@ -507,14 +521,34 @@ def fourier(spark, d):
     return found.select(F.col("key.key").alias("user_id"), F.col("key.w").cast("long").alias("w"), "k", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
-@query("""SELECT user_id, TRUE AS close FROM events GROUP BY user_id""")
+@query(f"""WITH {_WINDOWS.format(n=12)}, t AS (SELECT user_id, w, k, round(sum(v * cos(2 * pi() / 12 * ((pos * k) % 12))) / 12, 6) + 0 AS re, round(-sum(v * sin(2 * pi() / 12 * ((pos * k) % 12))) / 12, 6) + 0 AS im FROM w, range(0, 12) t(k) GROUP BY user_id, w, k)
+SELECT t.user_id, CAST(t.w AS BIGINT) AS w, CAST(k AS BIGINT) AS k, re, im, round(v, 6) + 0 AS again FROM t JOIN w ON w.user_id = t.user_id AND w.w = t.w AND pos = k""")
 def fft_round_trip(spark, d):
-    """Forward and back over each user's whole series: the largest difference stays below 1e-7."""
-    s = series(spark, d).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("re"))
-    s = s.withColumn("im", F.transform("re", lambda x: F.lit(0.0)))
-    back = signals.fft(signals.fft(s), inverse=True).withColumnRenamed("re", "again").select("key", "again")
-    gap = F.array_max(F.zip_with("re", "again", lambda a, b: F.abs(a - b)))
-    return s.join(back, "key").select(F.col("key").alias("user_id"), (gap <= 1e-7).alias("close"))
+    """Transforms of length 12 in stages of 2, 2 and 3, and the values that come back."""
+    s = signals.windows_of(series(spark, d), 12).select("key", F.col("pos").alias("n"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    there = signals.fft(s, 12)
+    back = signals.fft(there.withColumnRenamed("k", "n"), 12, inverse=True).select("key", "k", rnd("re").alias("again"))
+    return there.join(back, ["key", "k"]).select(F.col("key.key").alias("user_id"), F.col("key.w").cast("long").alias("w"), "k", rnd("re").alias("re"), rnd("im").alias("im"), "again")
+
+
+@query(f"""WITH {_WINDOWS.format(n=12)}, g AS (SELECT *, pos // 4 AS x, pos % 4 AS y FROM w)
+SELECT user_id, CAST(w AS BIGINT) AS w, CAST(a AS BIGINT) AS x, CAST(b AS BIGINT) AS y, round(sum(v * cos(2 * pi() * (x * a / CAST(3 AS DOUBLE) + y * b / CAST(4 AS DOUBLE)))) / 12, 6) + 0 AS re, round(-sum(v * sin(2 * pi() * (x * a / CAST(3 AS DOUBLE) + y * b / CAST(4 AS DOUBLE)))) / 12, 6) + 0 AS im
+FROM g, range(0, 3) s(a), range(0, 4) t(b) GROUP BY user_id, w, a, b""")
+def fft_2d(spark, d):
+    """Twelve events of a user as a grid of 3 by 4."""
+    s = signals.windows_of(series(spark, d), 12).select("key", F.expr("pos div 4").alias("x"), (F.col("pos") % 4).alias("y"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    found = signals.fft_axes(s, {"x": 3, "y": 4})
+    return found.select(F.col("key.key").alias("user_id"), F.col("key.w").cast("long").alias("w"), "x", "y", rnd("re").alias("re"), rnd("im").alias("im"))
+
+
+@query(f"""WITH {_WINDOWS.format(n=12)}, g AS (SELECT *, pos // 6 AS x, (pos // 2) % 3 AS y, pos % 2 AS z FROM w)
+SELECT user_id, CAST(w AS BIGINT) AS w, CAST(a AS BIGINT) AS x, CAST(b AS BIGINT) AS y, CAST(c AS BIGINT) AS z, round(sum(v * cos(2 * pi() * (x * a / CAST(2 AS DOUBLE) + y * b / CAST(3 AS DOUBLE) + z * c / CAST(2 AS DOUBLE)))) / 12, 6) + 0 AS re,
+round(-sum(v * sin(2 * pi() * (x * a / CAST(2 AS DOUBLE) + y * b / CAST(3 AS DOUBLE) + z * c / CAST(2 AS DOUBLE)))) / 12, 6) + 0 AS im FROM g, range(0, 2) s(a), range(0, 3) t(b), range(0, 2) u(c) GROUP BY user_id, w, a, b, c""")
+def fft_3d(spark, d):
+    """Twelve events of a user as a block of 2 by 3 by 2."""
+    s = signals.windows_of(series(spark, d), 12).select("key", F.expr("pos div 6").alias("x"), F.expr("pos div 2 % 3").alias("y"), (F.col("pos") % 2).alias("z"), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    found = signals.fft_axes(s, {"x": 2, "y": 3, "z": 2})
+    return found.select(F.col("key.key").alias("user_id"), F.col("key.w").cast("long").alias("w"), "x", "y", "z", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size % 10 AS DOUBLE) / 10 + 0.05 AS u, p_retailprice / 1000 AS a FROM part)
@@ -527,12 +561,13 @@ def quadrature(spark, d):
     return each.groupBy("p_partkey").agg(*(rnd(F.sum(f"f{k}"), 8).alias(f"f{k}") for k in (1, 2, 3, 5, 6)))
 
 
-@query("""SELECT p_partkey, TRUE AS close FROM part""")
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size % 10 AS DOUBLE) / 10 AS u, CAST(p_retailprice AS DOUBLE) / 1000 AS a FROM part),
+z AS (SELECT p_partkey, a, a * (1 - u) AS y, a * u AS x FROM p), t AS (SELECT p_partkey, a, (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln(greatest(q, 1e-12)) - lgamma(n + 1)) / (2 * n + 1) AS term
+FROM (SELECT p_partkey, a, y AS q FROM z UNION ALL SELECT p_partkey, a, x FROM z), range(0, 60) s(n)) SELECT p_partkey, round(sum(term) / any_value(a), 7) AS v FROM t GROUP BY p_partkey""")
 def quadrature_gauss(spark, d):
-    """The Gaussian integrand against the error function."""
+    """The Gaussian integrand by nodes; the SQL sums the power series of its integral."""
     p = table(spark, d, "part").select("p_partkey", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), ((F.col("p_size") % 10).cast("double") / 10).alias("u"), (F.col("p_retailprice") / 1000).alias("p"))
-    gap = signals.integrate(p, lambda x: signals.genz(4, x, F.col("u"), F.col("p"))) - signals.genz_exact(4, F.col("u"), F.col("p"))
-    return p.select("p_partkey", (F.abs(gap) < 1e-10).alias("close"))
+    return p.select("p_partkey", rnd(signals.integrate(p, lambda x: signals.genz(4, x, F.col("u"), F.col("p"))), 7).alias("v"))
 
 
 @query("""SELECT p_partkey, round((sin(p_retailprice / 1000) / (p_retailprice / 1000)) * (1 - exp(-CAST(p_size AS DOUBLE) / 10)) / (CAST(p_size AS DOUBLE) / 10), 7) + 0 AS v FROM part WHERE p_size > 0""")
