@@ -1,18 +1,20 @@
 """Exact substring dedup: remove each byte covered by a string of ``SPAN`` bytes that also starts earlier.
 
-Suffixes of all bytes of a corpus can't be exchanged, so only those are sorted that decide something:
-
-1. Anchors. In each window of SPAN bytes the smallest hash of GRAM bytes is its anchor (leftmost on ties), so equal
-   windows have equal anchors at equal places. An anchor owns a run of windows; the bytes under that run are its
-   context. (gram hash, context hash, place) go by gram hash to buckets in packed blocks. An anchor of the same gram
-   and context as an earlier one is a copy: all its windows are repeated. Copies within a task are told before the
-   exchange, so a text that a third of all documents hold is sent once a task.
-2. Suffixes. Where a gram has several contexts, the first anchor of each context is in question. Tasks sort the
-   suffixes that start at these anchors, front-code them (length of the prefix shared with the suffix before, then the
-   rest) and exchange the runs; a loser tree combines runs by the prefix lengths they already know and compares bytes
-   only beyond them. Suffixes that share the gram come out next to each other, and windows are compared within them.
-   A group of more than ``GROUP`` suffixes is not held: its windows are compared by a keyed aggregate instead.
-3. The ranges of both steps are joined with the texts and cut out.
+Suffixes of all bytes of a corpus can't be exchanged, so only those are sorted that can decide something:
+
+1. Filter. In each window of SPAN bytes the smallest hash of GRAM bytes is its anchor (leftmost on ties), so equal
+   windows have equal anchors at equal places; an anchor owns a run of windows. Hashes of the anchors' grams are counted
+   in buckets; a gram that stands in one place only has no repeated window and is left here. Grams that repeat within a
+   task are told there and sent once a task. The filter can only let too much through.
+2. Sort. Tasks sort the suffixes that start at the anchors that are left (as long as their windows reach) and exchange
+   them front-coded: length of the prefix shared with the suffix before, then the rest. A loser tree combines the runs by
+   the prefix lengths they already know and compares bytes only beyond them.
+3. Decision. Windows that start f bytes before their anchors are equal where the suffixes share SPAN - f bytes, that is,
+   where no neighbour in the merged order between them shares less, and where the f bytes before are equal, read off the
+   common prefixes of the reversed bytes in the same way. Of equal windows all but the first by place are repeated.
+   Bytes decide; hashes don't. A gram with more than ``GROUP`` suffixes is not held: its windows, as bytes, go through a
+   keyed aggregate instead, which splits it.
+4. The repeated windows are joined with the texts and cut out.
 
 Order: doc_id (null first), then a hash of the text, then the start; so rows of one id with other texts are ordered
 somehow but always alike, and equal rows count as one document and get equal results. Null text is empty.
@@ -34,10 +36,12 @@ from kernelweave.session import prepare, release, stored, table
 
 SPAN, GRAM = 100, 50
 SHIFT = SPAN - GRAM  # an anchor lies at most so far behind the start of its window
-GROUP = 50_000
-PER_BUCKET = 1_000_000
+GROUP = 200_000
+PER_BUCKET = 500_000
+KNOWN = np.uint32(1 << 31)  # marks a gram that its task has several times
 PLACE = np.dtype([("d", "<i8"), ("t", "<i8"), ("i", "<u4")])  # document, text hash, index of the anchor in its text
-SENT = np.dtype([("fp", "S6"), ("ctx", "S6"), ("place", PLACE)])
+SENT = np.dtype([("fp", "S6"), ("place", PLACE)])
+INFO = np.dtype([("place", PLACE), ("near", "u1"), ("far", "u1")])  # least and largest distance from a window's start to its anchor
 
 
 class Anchors:
@@ -52,7 +56,7 @@ class Anchors:
         n = len(data)
         if n < SPAN:
             self.at = self.lo = self.hi = self.doc = np.zeros(0, np.int64)
-            self.fp = self.ctx = np.zeros(0, np.uint64)
+            self.fp = np.zeros(0, np.uint64)
             self.first = np.zeros(len(texts) + 1, np.int64)
             return
         up, down = powers(n + 1)
@@ -77,7 +81,6 @@ class Anchors:
         self.at, self.lo, self.doc = owner[cut], window[cut], doc[cut]
         self.hi = window[np.concatenate((cut[1:], [len(owner)])) - 1] if len(cut) else self.lo
         self.fp = gram[self.at]
-        self.ctx = mix((total[self.hi + SPAN] - total[self.lo]) * down[self.lo] + ((self.at - self.lo) * SPAN + self.hi - self.lo).astype(np.uint64))
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
 
@@ -98,8 +101,33 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate((first[1:], [len(key)])).astype(np.int64)
 
 
+def _by_part(place: np.ndarray, mask: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Places (and masks), packed, by part of documents."""
+    part = np.abs(place["t"] % parts)
+    order = np.argsort(part, kind="stable")
+    place, part, mask = place[order], part[order], None if mask is None else mask[order]
+    for a, z in zip(*_runs(part)) if len(part) else ():
+        yield int(part[a]), place[a:z].tobytes(), b"" if mask is None else mask[a:z].tobytes()
+
+
+def _collected(found: DataFrame) -> DataFrame:
+    """d, t, at (packed anchor indexes), masks (packed) from packed rows by part."""
+
+    def collect(key, found):
+        place = np.frombuffer(b"".join(found["places"].to_pylist()), PLACE)
+        mask = np.frombuffer(b"".join(found["masks"].to_pylist()), "<i8")
+        order = np.lexsort((place["t"], place["d"]))
+        place, mask = place[order], mask[order] if len(mask) else mask
+        first, end = _runs(place[["d", "t"]]) if len(place) else (np.zeros(0, np.int64),) * 2
+        at = np.ascontiguousarray(place["i"])
+        cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), end.tolist())], pa.binary())
+        return pa.table([pa.array(place["d"][first]), pa.array(place["t"][first]), cut(at), cut(mask)], names=["d", "t", "at", "masks"])
+
+    return found.groupBy("part").applyInArrow(collect, "d long, t long, at binary, masks binary")
+
+
 def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
-    """d, t, copies (packed anchor indexes), asked (packed anchor indexes whose windows are still in question)."""
+    """d, t, at (packed indexes of the anchors whose gram stands elsewhere too): the filter."""
 
     def send(batches):
         held, size = [], 0
@@ -110,7 +138,7 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
                 x = np.zeros(len(a.at), PLACE)
                 x["d"], x["t"] = d[i + a.doc], t[i + a.doc]
                 x["i"] = np.arange(len(a.at)) - a.first[a.doc]
-                held.append((a.fp, a.ctx, x))
+                held.append((a.fp, x))
                 size += len(x)
             if size > 1_000_000:
                 yield from pack(held)
@@ -119,77 +147,49 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
             yield from pack(held)
 
     def pack(held):
-        fp, ctx, place = (np.concatenate([x[k] for x in held]) for k in range(3))
-        order = np.lexsort((place["i"], place["t"], place["d"], ctx, fp))
-        fp, ctx, place = fp[order], ctx[order], place[order]
-        copy = np.zeros(len(fp), bool)
-        copy[1:] = (fp[1:] == fp[:-1]) & (ctx[1:] == ctx[:-1])
-        same = np.zeros(len(fp), bool)  # equal rows: the very same document, not a copy
-        same[1:] = copy[1:] & (place[1:] == place[:-1])
-        told = place[copy & ~same]
-        if len(told):
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(np.abs(told["t"][0] % buckets))], pa.int64()), pa.array([told.tobytes()], pa.binary())], names=["bucket", "block"])
-        fp, ctx, place = fp[~copy], ctx[~copy], place[~copy]
+        fp, place = (np.concatenate([x[k] for x in held]) for k in range(2))
+        order = np.argsort(fp, kind="stable")
+        fp, place = fp[order], place[order]
+        first, end = _runs(fp)
+        several = end - first > 1
+        told = place[np.repeat(several, end - first)]
+        for p, places, _ in _by_part(told, None, buckets):
+            yield block(-1 - p, places)
+        fp, place = fp[first], place[first]
+        place["i"] |= np.where(several, KNOWN, np.uint32(0))
         bucket = ((fp >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sent = np.zeros(len(fp), SENT)
-        sent["fp"], sent["ctx"] = _six(fp[order]).view("S6").reshape(-1), _six(ctx[order]).view("S6").reshape(-1)
-        sent["place"] = place[order]
-        raw, (first, end) = np.ascontiguousarray(sent).view(np.uint8).reshape(len(sent), -1), _runs(bucket[order])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array([raw[a:z].tobytes() for a, z in zip(first, end)], pa.binary())], names=["bucket", "block"])
+        sent["fp"], sent["place"] = _six(fp[order]).view("S6").reshape(-1), place[order]
+        for a, z in zip(*_runs(bucket[order])):
+            yield block(int(bucket[order[a]]), sent[a:z].tobytes())
+
+    def block(bucket, data):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "block"])
 
     def meet(key, found):
         raw = b"".join(found["block"].to_pylist())
         if key[0].as_py() < 0:
-            told = np.frombuffer(raw, PLACE)
-            return answer(told, np.ones(len(told), bool))
+            return answer([(-1 - key[0].as_py(), raw, b"")])
         x = np.frombuffer(raw, np.uint8).reshape(-1, SENT.itemsize)
-        wide = np.zeros((len(x), 16), np.uint8)
-        wide[:, :6], wide[:, 8:14] = x[:, :6], x[:, 6:12]
-        fp, ctx = wide.view("<u8").T
-        place = np.ascontiguousarray(x[:, 12:]).view(PLACE).reshape(-1)
-        order = np.lexsort((place["i"], place["t"], place["d"], ctx, fp))
-        fp, ctx, place = fp[order], ctx[order], place[order]
-        group, kind = np.ones(len(fp), bool), np.ones(len(fp), bool)
-        group[1:] = fp[1:] != fp[:-1]
-        kind[1:] = group[1:] | (ctx[1:] != ctx[:-1])
-        same = np.zeros(len(fp), bool)
-        same[1:] = ~kind[1:] & (place[1:] == place[:-1])
-        kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(group)) if len(fp) else np.zeros(0, np.int64)
-        several = kinds[np.cumsum(group) - 1] > 1 if len(fp) else group
-        keep = ((~kind & ~same) | (kind & several))
-        return answer(place[keep], ~kind[keep])
-
-    def answer(place, copy):
-        part = np.abs(place["t"] % buckets)
-        order = np.argsort(part, kind="stable")
-        place, copy, part = place[order], copy[order], part[order]
-        first, end = _runs(part) if len(part) else (np.zeros(0, np.int64),) * 2
-        cut = [(place[a:z].tobytes(), copy[a:z].tobytes()) for a, z in zip(first, end)]
-        return pa.table([pa.array(part[first], pa.int64()), pa.array([x[0] for x in cut], pa.binary()), pa.array([x[1] for x in cut], pa.binary())], names=["part", "places", "flags"])
+        wide = np.zeros((len(x), 8), np.uint8)
+        wide[:, :6] = x[:, :6]
+        fp, place = wide.view("<u8").reshape(-1), np.ascontiguousarray(x[:, 6:]).view(PLACE).reshape(-1)
+        order = np.argsort(fp, kind="stable")
+        first, end = _runs(fp[order])
+        place = place[order[np.repeat(end - first > 1, end - first)]]
+        return answer(_by_part(place[place["i"] < KNOWN], None, buckets))  # the others are told already
 
-    def collect(key, found):
-        place = np.frombuffer(b"".join(found["places"].to_pylist()), PLACE)
-        copy = np.frombuffer(b"".join(found["flags"].to_pylist()), bool)
-        order = np.lexsort((place["t"], place["d"]))
-        place, copy = place[order], copy[order]
-        first, end = _runs(place[["d", "t"]]) if len(place) else (np.zeros(0, np.int64),) * 2
-        i, out = place["i"], {"copies": [], "asked": []}
-        for a, z in zip(first.tolist(), end.tolist()):
-            own, c = i[a:z], copy[a:z]
-            out["copies"].append(own[c].tobytes())
-            out["asked"].append(own[~c].tobytes())
-        return pa.table([pa.array(place["d"][first]), pa.array(place["t"][first]), pa.array(out["copies"], pa.binary()), pa.array(out["asked"], pa.binary())], names=["d", "t", "copies", "asked"])
+    def answer(rows):
+        rows = list(rows)
+        return pa.table([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["part", "places", "masks"])
 
-    met = keyed.mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "part long, places binary, flags binary")
-    return met.groupBy("part").applyInArrow(collect, "d long, t long, copies binary, asked binary")
+    met = keyed.mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "part long, places binary, masks binary")
+    return _collected(met).drop("masks")
 
 
 # --- suffix runs -------------------------------------------------------------------------------------------------
 
-#: what travels with a suffix: its place, place of the anchor in its text, bytes before the anchor, window bounds
-INFO = np.dtype([("place", PLACE), ("at", "<i8"), ("left", "S50"), ("n_left", "u1"), ("near", "u1"), ("far", "u1")])
-
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of a and b, of which ``known`` bytes are known to be equal."""
@@ -206,17 +206,6 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return lo
 
 
-def front_coded(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Of sorted suffixes: prefix lengths shared with the one before, lengths of the rests, the rests."""
-    lcp, rest, last = bytearray(), [], b""
-    for s in suffixes:
-        k = shared_prefix(last, s, 0)
-        lcp.append(k)
-        rest.append(s[k:])
-        last = s
-    return bytes(lcp), bytes(map(len, rest)), b"".join(rest)
-
-
 def decoded(lcp: bytes, sizes: bytes, rests: bytes) -> Iterator[tuple[bytes, int]]:
     last, at = b"", 0
     for k, n in zip(lcp, sizes):
@@ -278,156 +267,226 @@ def merged(runs: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, int, b
             node //= 2
 
 
+def _rank(place: np.ndarray) -> np.ndarray:
+    """Rank of each place by document, text hash and index; equal places share one."""
+    order = np.lexsort((place["i"], place["t"], place["d"]))
+    new = np.ones(len(place), bool)
+    new[1:] = place[order][1:] != place[order][:-1]
+    rank = np.empty(len(place), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _full(info: np.ndarray) -> np.ndarray:
+    """Mask of all windows of an anchor."""
+    one = np.int64(1)
+    return (one << (info["far"].astype(np.int64) + 1)) - (one << info["near"].astype(np.int64))
+
+
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row of bytes shares with the row before; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        other = rows[1:] != rows[:-1]
+        out[1:] = np.where(other.any(1), other.argmax(1), rows.shape[1])
+    return out
+
+
+def front_coded(right: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Of sorted suffixes (rows of bytes, with their sizes): prefix lengths shared with the one before, sizes of the rests, the rests."""
+    lcp = np.minimum(_shared(right), np.minimum(size, np.concatenate(([0], size[:-1]))))
+    place = np.arange(right.shape[1])
+    rest = right[(place >= lcp[:, None]) & (place < size[:, None])]
+    return lcp.astype(np.uint8).tobytes(), (size - lcp).astype(np.uint8).tobytes(), rest.tobytes()
+
+
+_RUN = ("lcp", "sizes", "rests", "lefts", "info", "copies")
+
+
 def suffix_runs(asked: DataFrame, parts: int) -> DataFrame:
-    """part, lcp, sizes, rests, info: sorted front-coded runs of the suffixes at the anchors in question."""
+    """part and a sorted run of the suffixes at the anchors in question: front-coded, with the bytes before each, reversed.
+
+    Anchors of a task with equal windows go as one; those that aren't the first are ``copies``, told on the spot.
+    """
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
             d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
             index = [np.frombuffer(x, "<u4") for x in b.column(3).to_pylist()]
-            held: list[tuple[int, bytes, tuple]] = []
-            for i, part in chunks(column_bytes(b)):
-                a = Anchors(part)
-                for k, text in enumerate(part):
-                    own, base = index[i + k], int(a.start[k])
-                    for j in own.tolist():
-                        q = int(a.first[k]) + j
-                        at = int(a.at[q]) - base
-                        held.append((int(a.fp[q] >> np.uint64(20)) % parts, text[at : at + SPAN], ((d[i + k], t[i + k], j), at, text[max(0, at - SHIFT) : at], min(at, SHIFT), int(a.at[q] - a.hi[q]), int(a.at[q] - a.lo[q]))))
-            held.sort(key=lambda x: x[:2])
-            first, end = _runs(np.array([x[0] for x in held], np.int64)) if held else ((), ())
-            for s, e in zip(first, end):
-                lcp, sizes, rests = front_coded([x[1] for x in held[s:e]])
-                info = np.array([x[2] for x in held[s:e]], INFO)
-                yield pa.RecordBatch.from_arrays([pa.array([held[s][0]], pa.int64()), *(pa.array([x], pa.binary()) for x in (lcp, sizes, rests, info.tobytes()))], names=["part", "lcp", "sizes", "rests", "info"])
-
-    return asked.mapInArrow(run, "part long, lcp binary, sizes binary, rests binary, info binary")
-
-
-
-def windows(right: list[bytes], info: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, distance from window start to anchor, and hash of each owned window of suffixes with their left bytes."""
-    n = len(right)
-    data = np.zeros((n, SHIFT + SPAN), np.uint8)
-    for r in range(n):
-        k = int(info["n_left"][r])
-        left = info["left"][r].ljust(k, b"\0")  # numpy drops zero bytes at the end
-        row = left[:k] + right[r]
-        data[r, SHIFT - k : SHIFT - k + len(row)] = np.frombuffer(row, np.uint8)
-    up, down = powers(SHIFT + SPAN + 1)
-    total = np.zeros((n, SHIFT + SPAN + 1), np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: SHIFT + SPAN], axis=1, out=total[:, 1:])
-    far = np.arange(SHIFT, -1, -1)  # window that starts at column c has its anchor SHIFT - c further on
-    h = mix((total[:, SPAN : SPAN + SHIFT + 1] - total[:, : SHIFT + 1]) * down[: SHIFT + 1] + far.astype(np.uint64))
-    owned = (far >= info["near"][:, None]) & (far <= info["far"][:, None])
-    row, col = np.nonzero(owned)
-    return row, far[col], h[row, col]
-
-
-def repeated_windows(runs: DataFrame, group: int = GROUP) -> DataFrame:
-    """d, t, i, mask: bit k is set where the window that starts k bytes before anchor i of a text is repeated."""
-    schema = "d long, t long, i long, mask long, h long, at long, k int"
-
-    def batch(d, t, i, mask, h, at, k):
-        return pa.table([pa.array(x, y) for x, y in zip((d, t, i, mask, h, at, k), (pa.int64(),) * 6 + (pa.int32(),))], names=["d", "t", "i", "mask", "h", "at", "k"])
-
-    def solve(right, info, bounds):
-        """Groups that are held whole."""
-        info = np.array(info, INFO)
-        row, far, h = windows(right, info)
-        number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[row]
-        p = info["place"][row]
-        order = np.lexsort((info["at"][row], p["t"], p["d"], far, h, number))
-        row, far, h, number = row[order], far[order], h[order], number[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (h[1:] != h[:-1]) | (far[1:] != far[:-1]) | (number[1:] != number[:-1])
-        lead = row[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
-        again = (info["place"][row] != info["place"][lead]) if len(row) else new  # equal rows share a place
-        mask = np.zeros(len(info), np.int64)
-        np.bitwise_or.at(mask, row[again], np.int64(1) << far[again])
-        hit = np.flatnonzero(mask)
-        p, none = info["place"][hit], pa.nulls(len(hit), pa.int64())
-        return batch(p["d"], p["t"], p["i"].astype(np.int64), mask[hit], none, none, pa.nulls(len(hit), pa.int32()))
-
-    def hand_on(right, info):
-        """Windows of a group that is too large to hold, for the keyed aggregate."""
-        info = np.array(info, INFO)
-        row, far, h = windows(right, info)
-        p = info["place"][row]
-        return batch(p["d"], p["t"], p["i"].astype(np.int64), pa.nulls(len(row), pa.int64()), h.view(np.int64), info["at"][row], far.astype(np.int32))
+            for i, texts in chunks(column_bytes(b)):
+                a = Anchors(texts)
+                n = np.fromiter(map(len, index[i : i + len(texts)]), np.int64, len(texts))
+                doc = np.repeat(np.arange(len(texts)), n)
+                if not len(doc):
+                    continue
+                own = np.concatenate(index[i : i + len(texts)]).astype(np.int64)
+                q = a.first[doc] + own
+                info = np.zeros(len(q), INFO)
+                info["place"]["d"], info["place"]["t"], info["place"]["i"] = d[i + doc], t[i + doc], own
+                info["near"], info["far"] = a.at[q] - a.hi[q], a.at[q] - a.lo[q]
+                data = np.concatenate((np.frombuffer(a.raw, np.uint8), np.zeros(SPAN, np.uint8)))
+                right = data[a.at[q][:, None] + np.arange(SPAN)]
+                right[np.arange(SPAN) >= SPAN - info["near"].astype(np.int64)[:, None]] = 0
+                left = data[a.at[q][:, None] - 1 - np.arange(SHIFT)]
+                left[np.arange(SHIFT) >= info["far"][:, None]] = 0
+                held.append(((a.fp[q] >> np.uint64(20)) % np.uint64(parts), right, left, info))
+                size += len(q)
+            if size > 400_000:
+                yield from out(held)
+                held, size = [], 0
+        if size:
+            yield from out(held)
+
+    def out(held):
+        part, right, left, info = (np.concatenate([x[k] for x in held]) for k in range(4))
+        bytes_of = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").reshape(-1)
+        # numpy takes zero bytes at the end for none, so sizes break ties
+        order = np.lexsort((_rank(info["place"]), bytes_of(left), info["far"], -info["near"].astype(np.int64), bytes_of(right), part))
+        part, right, left, info = part[order], right[order], left[order], info[order]
+        same = np.zeros(len(part), bool)
+        same[1:] = (part[1:] == part[:-1]) & (info["near"][1:] == info["near"][:-1]) & (info["far"][1:] == info["far"][:-1])
+        same &= (_shared(right) == SPAN) & (_shared(left) == SHIFT)
+        again = same.copy()
+        again[1:] &= info["place"][1:] != info["place"][:-1]  # equal rows are one document
+        begin = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
+        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+            keep = np.flatnonzero(~same[s:e]) + s
+            own = info[keep]
+            lefts = left[keep][np.arange(SHIFT) < own["far"][:, None]]
+            row = (*front_coded(right[keep], SPAN - own["near"].astype(np.int64)), lefts.tobytes(), own.tobytes(), info[s:e][again[s:e]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[s])], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["part", *_RUN])
+
+    return asked.mapInArrow(run, f"part long, {', '.join(f'{x} binary' for x in _RUN)}")
+
+
+def decide(lcp: np.ndarray, left: np.ndarray, info: np.ndarray) -> np.ndarray:
+    """Mask of repeated windows of each suffix, in merged order: ``lcp`` is the prefix shared with the one before."""
+    n = len(info)
+    rank, mask = _rank(info["place"]), np.zeros(n, np.int64)
+    order = np.lexsort(left.T[::-1])
+    before = _shared(left[order])
+    near, far = info["near"].astype(np.int64), info["far"].astype(np.int64)
+    for f in range(SHIFT + 1):
+        own = np.flatnonzero((near <= f) & (far >= f))
+        if len(own) < 2:
+            continue
+        group = np.empty(n, np.int64)
+        group[order] = np.cumsum(before < f)
+        key = np.cumsum(lcp < SPAN - f)[own] * (n + 1) + group[own]
+        by = np.lexsort((rank[own], key))
+        own, key = own[by], key[by]
+        first, end = _runs(key)
+        again = rank[own] != np.repeat(rank[own[first]], end - first)
+        mask[own[again]] |= np.int64(1) << np.int64(f)
+    return mask
+
+
+def repeated_windows(runs: DataFrame, parts: int, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Packed masks by part of documents, and rows (d, t, i, mask) of grams that were too large to hold.
+
+    Bit f of a mask is set where the window that starts f bytes before an anchor is repeated.
+    """
 
     def combine(key, found):
         coded = list(zip(*(found[k].to_pylist() for k in ("lcp", "sizes", "rests"))))
         infos = [np.frombuffer(x, INFO) for x in found["info"].to_pylist()]
-        out, right, info, bounds, large = [], [], [], [0], False
+        info = np.concatenate(infos)
+        left = np.zeros((len(info), SHIFT), np.uint8)
+        left[np.arange(SHIFT) < info["far"][:, None]] = np.frombuffer(b"".join(found["lefts"].to_pylist()), np.uint8)
+        start = np.cumsum([0, *map(len, infos)]).tolist()
+        told = np.frombuffer(b"".join(found["copies"].to_pylist()), INFO)
+        places, masks, windows = [told["place"]], [_full(told)], []
+        at, lcps, right, grams = [], [], [], []
+
+        def solve(a, z):
+            own = np.array(at[a:z], np.int64)
+            mask = decide(np.array(lcps[a:z], np.int64), left[own], info[own])
+            places.append(info["place"][own[mask != 0]])
+            masks.append(mask[mask != 0])
+
+        def hand_on(a, z):
+            for x, suffix in zip(at[a:z], right[a:z]):
+                row, before = info[x], left[x].tobytes()
+                for f in range(int(row["near"]), int(row["far"]) + 1):
+                    windows.append((*(int(v) for v in row["place"].item()), f, before[:f][::-1] + suffix[: SPAN - f]))
+
+        def flush():
+            """Grams up to the last bound: several at once, and one that is too large alone."""
+            a = 0
+            for i, z in enumerate([*grams, len(at)]):
+                end = grams[i - 1] if i else 0
+                if z - end > group:
+                    if end > a:
+                        solve(a, end)
+                    hand_on(end, z)
+                    a = z
+            if len(at) > a:
+                solve(a, len(at))
+            at.clear(), lcps.clear(), right.clear(), grams.clear()
+
         for r, i, suffix, lcp in merged(coded):
-            if lcp < GRAM and bounds[-1] < len(right):  # a new gram
-                if large:
-                    out.append(hand_on(right, info))
-                    right, info, bounds, large = [], [], [0], False
+            if lcp < GRAM and at:  # a new gram
+                if len(at) > group:
+                    flush()
                 else:
-                    bounds.append(len(right))
-                    if len(right) >= group:
-                        out.append(solve(right, info, bounds))
-                        right, info, bounds = [], [], [0]
-            if len(right) - bounds[-1] >= group:  # one gram fills the space: solve those before it, hand it on
-                if bounds[-1]:
-                    out.append(solve(right[: bounds[-1]], info[: bounds[-1]], bounds))
-                out.append(hand_on(right[bounds[-1] :], info[bounds[-1] :]))
-                right, info, bounds, large = [], [], [0], True
+                    grams.append(len(at))
+            at.append(start[r] + i)
+            lcps.append(lcp)
             right.append(suffix)
-            info.append(infos[r][i])
-        if large and right:
-            out.append(hand_on(right, info))
-        elif right:
-            out.append(solve(right, info, [*bounds, len(right)]))
-        return pa.concat_tables(out) if out else batch(*([[]] * 7))
-
-    both = stored(runs.groupBy("part").applyInArrow(combine, schema), "windows")
-    rest = both.filter("mask IS NULL")
-    first = rest.groupBy("h", "k").agg(F.min(F.struct("d", "t", "at")).alias("first"))
-    late = rest.join(first, ["h", "k"]).filter(F.struct("d", "t", "at") > F.col("first"))
-    late = late.groupBy("d", "t", "i").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    return both.filter("mask IS NOT NULL").select("d", "t", "i", "mask").unionByName(late)
+        flush()
+        packed = list(_by_part(np.concatenate(places), np.concatenate(masks), parts))
+        kinds = {"part": pa.int64(), "places": pa.binary(), "masks": pa.binary(), "d": pa.int64(), "t": pa.int64(), "i": pa.int64(), "f": pa.int32(), "window": pa.binary()}
+        cols = [*zip(*packed)] if packed else [(), (), ()]
+        more = [*zip(*windows)] if windows else [()] * 5
+        rows = [pa.table([pa.array(c, kinds[k]) for k, c in zip(("part", "places", "masks"), cols)], names=["part", "places", "masks"])]
+        rows.append(pa.table([pa.array(c, kinds[k]) for k, c in zip(("d", "t", "i", "f", "window"), more)], names=["d", "t", "i", "f", "window"]))
+        return pa.concat_tables(rows, promote_options="default").select(list(kinds)).cast(pa.schema(kinds))
+
+    both = runs.groupBy("part").applyInArrow(combine, "part long, places binary, masks binary, d long, t long, i long, f int, window binary")
+    both = stored(both, "windows")
+    rest = both.filter("window IS NOT NULL")
+    first = rest.groupBy("window", "f").agg(F.min(F.struct("d", "t", "i")).alias("first"))
+    late = rest.join(first, ["window", "f"]).filter(F.struct("d", "t", "i") > F.col("first"))
+    late = late.groupBy("d", "t", "i").agg(F.bit_or(F.expr("shiftleft(1L, f)")).alias("mask"))
+    return both.filter("window IS NULL").select("part", "places", "masks"), late
 
 
 # --- cutting -----------------------------------------------------------------------------------------------------
 
 
-def _covered(a: Anchors, k: int, copies: bytes, masks: list) -> np.ndarray:
+def _covered(a: Anchors, k: int, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Flags of the removed bytes of text k of a chunk."""
     edge = np.zeros(int(a.size[k]) + 1, np.int32)
-    base, first = int(a.start[k]), int(a.first[k])
-    own = np.frombuffer(copies, "<u4").astype(np.int64) + first
-    np.add.at(edge, a.lo[own] - base, 1)
-    np.add.at(edge, a.hi[own] - base + SPAN, -1)
-    for x in masks:
-        at = int(a.at[first + x["i"]]) - base
-        far = np.flatnonzero((x["mask"] >> np.arange(SHIFT + 1)) & 1)
-        np.add.at(edge, at - far, 1)
-        np.add.at(edge, at - far + SPAN, -1)
+    at = a.at[int(a.first[k]) + index.astype(np.int64)] - int(a.start[k])
+    row, f = np.nonzero((mask[:, None] >> np.arange(SHIFT + 1)) & 1)
+    np.add.at(edge, at[row] - f, 1)
+    np.add.at(edge, at[row] - f + SPAN, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(documents: DataFrame, found: DataFrame, masks: DataFrame, out, schema: str) -> DataFrame:
-    """Join the ranges with the texts and apply ``out(text, flags)``; other columns of ``documents`` go along."""
-    masks = masks.groupBy("d", "t").agg(F.collect_list(F.struct("i", "mask")).alias("masks"))
-    ranges = found.select("d", "t", "copies").join(masks, ["d", "t"], "full_outer").hint("shuffle_hash")
+def _cut(documents: DataFrame, masks: DataFrame, late: DataFrame, out, schema: str) -> DataFrame:
+    """Join the repeated windows with the texts and apply ``out(text, flags)``; other columns of ``documents`` go along."""
+    late = late.groupBy("d", "t").agg(F.collect_list(F.struct("i", "mask")).alias("late"))
+    ranges = masks.join(late, ["d", "t"], "full_outer").hint("shuffle_hash")
     whole = F.struct(*documents.columns).alias("row")
     joined = documents.select(whole).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("row.text").alias("t")).join(ranges, ["d", "t"], "left")
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            copies, masks = b.column(2).to_pylist(), b.column(3).to_pylist()
+            at, masks, late = (b.column(k).to_pylist() for k in (2, 3, 4))
             for i, part in chunks(column_bytes(b)):
                 a, rows = Anchors(part), []
                 for k, text in enumerate(part):
-                    c, m = copies[i + k], masks[i + k]
-                    rows.append(out(text, _covered(a, k, c or b"", m or []) if c or m else None))
+                    index, mask = np.frombuffer(at[i + k] or b"", "<u4"), np.frombuffer(masks[i + k] or b"", "<i8")
+                    if late[i + k]:
+                        index = np.concatenate((index, np.array([x["i"] for x in late[i + k]], np.uint32)))
+                        mask = np.concatenate((mask, np.array([x["mask"] for x in late[i + k]], np.int64)))
+                    rows.append(out(text, _covered(a, k, index, mask) if len(index) else None))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), *(pa.array([r[j] for r in rows]) for j in range(len(names)))], names=["row", *names])
 
-    lean = joined.select("row", F.col("row.text").alias("text"), "copies", "masks")
+    lean = joined.select("row", F.col("row.text").alias("text"), "at", "masks", "late")
     kind = lean.schema["row"].dataType.simpleString()
     return lean.mapInArrow(run, f"row {kind}, {schema}")
 
@@ -437,14 +496,13 @@ def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = _keyed(documents)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(math.ceil(size / (SHIFT + 2) * 2 / PER_BUCKET), 8)  # anchors make about 2 / (SHIFT + 2) of the bytes
-    found = stored(repeats(keyed, buckets), "repeats")
+    asked = stored(repeats(keyed, buckets), "repeats")
     release(spark)
-    asked = found.filter(F.octet_length("asked") > 0).select("d", "t", "asked").hint("shuffle_hash")
-    texts = keyed.join(asked, ["d", "t"]).select("d", "t", "text", "asked")
-    runs = suffix_runs(texts, buckets)
-    masks = stored(repeated_windows(runs).groupBy("d", "t", "i").agg(F.bit_or("mask").alias("mask")), "masks")
+    texts = keyed.join(asked.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at")
+    packed, late = repeated_windows(suffix_runs(texts, buckets), buckets)
+    masks, late = stored(_collected(packed), "masks"), stored(late, "late")
     release(spark)
-    return found.filter(F.octet_length("copies") > 0), masks
+    return masks, late
 
 
 def measure(documents: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from kernelweave.llm import op09_suffix
@@ -68,11 +69,44 @@ def test_repeated_rows_and_empty(spark):
     assert op09_suffix.measure(df.limit(0)).count() == 0
 
 
+def coded(run):
+    rows = np.zeros((len(run), 12), np.uint8)
+    for i, x in enumerate(run):
+        rows[i, : len(x)] = np.frombuffer(x, np.uint8)
+    return op09_suffix.front_coded(rows, np.array([len(x) for x in run], np.int64))
+
+
+def test_order_decides(spark, monkeypatch):
+    """What is removed rests on the order and the common prefixes of the merge: out of order, passages are missed."""
+    rows = rows_like(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    removed = lambda: sum(r["n_removed"] for r in op09_suffix.measure(df).collect())
+    whole, plain = removed(), op09_suffix.merged
+
+    def shuffled(runs):
+        out = [(r, i, s, 0) for r, i, s, _ in plain(runs)]
+        random.Random(2).shuffle(out)
+        return iter(out)
+
+    monkeypatch.setattr(op09_suffix, "merged", shuffled)
+    assert removed() < whole
+
+
+def test_equal_hashes_remove_nothing(spark, monkeypatch):
+    """The filter's hashes don't decide: where all are alike, bytes still do."""
+    monkeypatch.setattr(op09_suffix, "mix", lambda x: x * np.uint64(0) + np.uint64(5 << 40))
+    rows = rows_like(11)[:25]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in op09_suffix.measure(df).collect())
+    want = brute(rows)
+    assert all(g[2] <= w[2] for g, w in zip(got, want))
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in (1, 2, 3, 7):
         runs = [sorted(bytes(r.choices(b"ab", k=r.randrange(0, 12))) for _ in range(r.randrange(30))) for _ in range(k)]
-        out = list(op09_suffix.merged([op09_suffix.front_coded(x) for x in runs]))
+        out = list(op09_suffix.merged([coded(x) for x in runs]))
         assert [x[2] for x in out] == sorted(sum(runs, []))
         for a, b in zip(out, out[1:]):
             assert b[3] == op09_suffix.shared_prefix(a[2], b[2], 0)
