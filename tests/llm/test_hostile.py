@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kernelweave.llm import op01_pii, op04_warc, op08_urls
+from kernelweave.llm import op01_pii, op04_warc, op06_decontaminate, op08_urls
 from kernelweave.session import scratch
 
 
@@ -121,3 +121,15 @@ def test_overlaps_against_pairs(seed):
             if min(1.0, score + 0.3 * op01_pii._near(text, s, e, k)) >= 0.5 and not any(x[0] == k and s < x[2] and x[1] < e for x in out):
                 out.append((k, s, e))
         assert sorted(out) == sorted(x[:3] for x in op01_pii.spans(text))
+
+
+def test_repetitive_texts_are_linear():
+    """Items and texts of one word, and many equal items."""
+    took = []
+    for n in (4000, 16000):
+        began = time.time()
+        auto = op06_decontaminate.Automaton([([str(k) for k in range(2000)], b"a " * n), (["b"], b"a a"), (["c"], b"a")])
+        _, hit, items = auto.scan([b"a " * n, b"b"])
+        took.append(time.time() - began)
+        assert hit[:n].all() and not hit[n:].any() and len(items[0]) == 2002
+    assert took[1] < 9 * took[0] + 0.5

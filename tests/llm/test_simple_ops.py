@@ -174,7 +174,10 @@ def test_decontaminate(spark, docs, texts):
 @settings(max_examples=400, deadline=None)
 def test_automaton_random(items, t):
     named = [(str(i), x) for i, x in enumerate(items)]
-    auto = op06_decontaminate.Automaton([(k, x.encode()) for k, x in named], 3)
+    by_text = {}
+    for k, x in named:
+        by_text.setdefault(x, []).append(k)
+    auto = op06_decontaminate.Automaton([(k, x.encode()) for x, k in by_text.items()], 3)
     w, hit, found = auto.scan([t.encode()])
     word, own, names = t.split(), set(), set()
     for k, x in named:
@@ -207,6 +210,9 @@ def test_remove_blocks(spark, monkeypatch):
     monkeypatch.setattr(op06_decontaminate, "GROUP", 600, raising=False)
     assert sum(map(bool, op06_decontaminate.blocks(items))) > 2
     assert both() == one
+    monkeypatch.setattr(op06_decontaminate, "ROUND", 64)
+    assert len(list(op06_decontaminate._rounds(items))) > 1
+    assert both() == one
     named = [(r["item_id"], r["text"]) for r in items.collect()]
     for r in one[1]:
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(rows[r["doc_id"] % len(rows)], named)
