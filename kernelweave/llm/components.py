@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.session import stored
+from kernelweave.session import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
     label = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "label")
+    held = label
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
@@ -23,5 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(jump, "label")
         done = not new.filter("label <> old").limit(1).count()
         label = new.select("node", "label")
+        discard(held)
+        held = new
         if done:
             return label.withColumnRenamed("label", "component")

@@ -267,7 +267,7 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     own = ["cid", "n", "m", "pos", *(f"b{k}" for k in range(MAPS))]
     centre = posting.groupBy("h").agg(F.min_by(F.struct(*own), lean).alias("c"), F.count("*").alias("met")).filter("met > 1").select("h", "c.*")
     star = posting.alias("u").join(centre.alias("v"), (F.col("u.h") == F.col("v.h")) & (F.col("u.cid") != F.col("v.cid")) & _filters(percent)).select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b"))
-    star = star.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+    star = stored(star.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b")), "star")
     linked = stored(_verified(star, sets, percent), "links")
     parts = components(linked)
     marked = posting.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("component", "cid")).drop("component")
@@ -275,6 +275,7 @@ def link(documents: DataFrame, percent: int = 75) -> DataFrame:
     marked = stored(marked.join(mixed, "h", "left_semi"), "postings")
     rest = marked.alias("u").join(marked.alias("v"), (F.col("u.h") == F.col("v.h")) & (F.col("u.part") < F.col("v.part")) & _filters(percent))
     rest = rest.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
+    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")  # verified once
     linked = stored(linked.union(_verified(rest, sets, percent)), "links")
     parts = components(linked).withColumnRenamed("node", "cid")
     named = classes.join(parts, "cid", "left").withColumn("part", F.coalesce("component", "cid")).select("cid", "part", "rep")

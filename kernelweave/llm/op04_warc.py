@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.session import prepare, scratch, stored, table
+from kernelweave.session import discard, prepare, scratch, stored, table
 
 LONGEST = 1 << 60  # a length beyond it is no length
 MAGIC, EOL, GAP = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
@@ -102,9 +102,10 @@ def reachable(nodes: DataFrame) -> DataFrame:
     while state.filter("reached AND jump IS NOT NULL").limit(1).count():
         hit = state.filter("reached AND jump IS NOT NULL").select("file", F.col("jump").alias("off"), F.lit(True).alias("hit"))  # chains don't merge: one row each
         ahead = state.select("file", F.col("off").alias("jump"), F.col("jump").alias("further"))
-        state = stored(
+        before, state = state, stored(
             state.join(hit.distinct(), ["file", "off"], "left").join(ahead, ["file", "jump"], "left").select("file", "off", F.col("further").alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "jump"
         )
+        discard(before)
     return state.filter("reached").select("file", "off")
 
 
