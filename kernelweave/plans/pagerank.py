@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kernelweave.functions.precision import join_e3m13, quantise, split_e3m13
 from kernelweave.operators import linalg
-from kernelweave.session import stored
+from kernelweave.session import discard, stored
 
 
 def pagerank(
@@ -23,7 +23,7 @@ def pagerank(
     """i, v of every node of ``edges`` (src, dst, optional w).
 
     Each step is written to the shared folder: a step reads the last ranks several times, so without the cut the plan
-    would grow as a power of the steps. Stops after ``iterations``, or else when the change is at most ``eps``, measured
+    would grow as a power of the steps. The step before the last one is deleted. Stops after ``iterations``, or else when the change is at most ``eps``, measured
     by ``norm``. ``redistribute_leak`` gives what the ranks lost to rounding
     back to all nodes in equal parts and renormalises, as the 16-bit forms do; ``codec`` rounds ranks to such a form:
     'half', 'e6m10', 'single', or 'e3m13', where ranks are held as codes and a table of exceptions that are joined.
@@ -36,7 +36,7 @@ def pagerank(
     share = linalg.normalise_rows(m.select(F.col("src").alias("i"), F.col("dst").alias("j"), "v"))
     a = stored(linalg.transpose(share), "edges")
     n_nodes = nodes.count()
-    rank = nodes.crossJoin(n).select("i", (1 / F.col("n")).alias("v"))
+    rank = stored(nodes.crossJoin(n).select("i", (1 / F.col("n")).alias("v")), "rank")
     loose = stored(linalg.dangling(nodes, a.select(F.col("j").alias("i"), "v")), "dangling")
     for _ in range(iterations if iterations is not None else max_iter):
         lost = F.broadcast(rank.join(loose, "i", "left_semi").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost")))
@@ -58,5 +58,6 @@ def pagerank(
         if iterations is None:
             if (linalg.deltas(new, rank).first()[norm] or 0.0) <= eps:
                 return new
+        discard(rank)
         rank = new
     return rank

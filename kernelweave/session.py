@@ -15,15 +15,18 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and make sure that a shared checkpoint folder is known.
 
-    ``spark.checkpoint.dir`` is used as the cluster sets it; only where it is unset (local tests) a temporary
-    folder takes its place.
+    ``spark.checkpoint.dir`` is used as the cluster sets it. Where it is unset, a local master gets a temporary folder;
+    on a cluster that is an error, for executors would write to disks that nobody else reads.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kernelweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kernelweave-"))
     return spark
 
 
@@ -38,7 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing lazy reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
