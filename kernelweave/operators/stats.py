@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernelweave.session import stored
+
 
 def arg_min(df: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
     """The label of the smallest value of each key; the smaller label on ties."""
@@ -60,18 +62,38 @@ def order_stats(df: DataFrame, keys: list[str], value: str, order: str) -> DataF
     return ranked.groupBy(*keys).agg(F.min(value).alias("low"), F.max(F.when(F.col("r") == mid, F.col(value))).alias("median"), F.max(value).alias("high"))
 
 
+def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """Rows with their place (from 0) in the given order: a sort over all tasks, and a prefix sum over tasks alone."""
+    rows = stored(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    task, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(task.alias("_t")).agg(F.count("*").alias("_s"))  # one row a task of the sort
+    before = sizes.select("_t", F.coalesce(F.sum("_s").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return rows.withColumn("_t", task).join(F.broadcast(before), "_t").withColumn(name, F.col("_b") + place).drop("_m", "_t", "_b")
+
+
+def prefix_sum(df: DataFrame, order: str, value: str, name: str = "before", block: int = 1 << 16) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows before them by the whole number ``order``.
+
+    Sums within blocks of ``order``, and a prefix sum over one row a block, so no task holds all rows.
+    """
+    at = F.floor(F.col(order) / block)
+    rows = df.withColumn("_k", at)
+    sizes = rows.groupBy("_k").agg(F.sum(value).alias("_s"))
+    before = sizes.select("_k", F.coalesce(F.sum("_s").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_o", own).join(before, "_k").withColumn(name, F.col("_b") + F.col("_o")).drop("_k", "_o", "_b")
+
+
 def first_seen_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Codes 0, 1, ... of the values of a column in order of first appearance (one row a value)."""
     first = df.groupBy(column).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    # as many rows as there are distinct values: the dictionary itself
-    return first.withColumn("code", F.row_number().over(Window.orderBy("first", column)) - 1)
+    return numbered(first, "first", column, name="code")
 
 
 def group_classes(df: DataFrame, label: str, order: str) -> DataFrame:
     """Rows with their class code (first seen), place within the class and place in class order."""
     codes = first_seen_codes(df, label, order)
-    start = F.coalesce(F.sum("n").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = codes.withColumn("start", start).select(label, F.col("code").cast("long").alias("code"), "start")
+    own = prefix_sum(codes, "code", "n", "start").select(label, F.col("code").cast("long").alias("code"), "start")
     place = F.row_number().over(Window.partitionBy(label).orderBy(order)).cast("long") - 1
     return df.withColumn("place", place).join(own, label).withColumn("position", F.col("start") + F.col("place")).drop("start")
 

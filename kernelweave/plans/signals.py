@@ -15,10 +15,24 @@ from kernelweave.session import prepare
 def scatter(points: DataFrame) -> DataFrame:
     """i, j, v: the centred scatter matrix (no division) of points (id, coords).
 
-    One pass makes sums of coordinates and of products, as partial aggregates: cost n * d^2, shuffle d^2 rows a task.
+    A task adds up products of whole batches and sends d^2 rows, whatever its number of points. Null coords are left out.
     """
-    long = points.select("id", F.posexplode("coords").alias("i", "a"), "coords").select("i", "a", F.posexplode("coords").alias("j", "b"))
-    sums = long.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count("*").alias("n"))
+    prepare(points.sparkSession)
+
+    def run(batches):
+        total = None
+        for b in batches:
+            x = [v for v in b["coords"] if v is not None]
+            if x:
+                x = np.stack(x).astype(float)
+                own = np.array([x.T @ x, np.tile(x.sum(0)[:, None], x.shape[1]), np.full((x.shape[1],) * 2, float(len(x)))])
+                total = own if total is None else total + own
+        if total is not None:
+            i, j = np.indices(total.shape[1:]).reshape(2, -1)
+            yield pd.DataFrame({"i": i, "j": j, "ab": total[0].ravel(), "sa": total[1].ravel(), "sb": total[1].T.ravel(), "n": total[2].ravel()})
+
+    parts = points.select("coords").mapInPandas(run, "i int, j int, ab double, sa double, sb double, n double")
+    sums = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("ab", "sa", "sb", "n")))
     return sums.select("i", "j", (F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")).alias("v"))
 
 
@@ -53,22 +67,19 @@ def pca(points: DataFrame, k: int) -> DataFrame:
 def haar(signal: DataFrame, levels: int | None = None) -> DataFrame:
     """key, band, pos, v: full-depth Haar transform of signals (key, pos, v) whose length is a power of two.
 
-    A coefficient of level L at place p is a signed sum over 2^L samples: each level is one aggregate over the samples
-    with the sign as a column, so levels don't wait for each other and every shuffle has partial sums.
+    A coefficient of level L at place p is a signed sum over 2^L samples. A sample gives its part of each level as a row of
+    one scan, and one aggregate with partial sums adds them up.
     """
     n = levels if levels is not None else 8
-    out = []
+    parts = []
     for level in range(1, n + 1):
         width, half = 1 << level, 1 << (level - 1)
         sign = F.when(F.col("pos") % width < half, 1.0).otherwise(-1.0)
-        g = signal.groupBy("key", F.expr(f"pos div {width}").alias("pos"))
-        out.append(g.agg((F.sum(sign * F.col("v")) / float(np.sqrt(width))).alias("v")).select("key", F.lit(level).alias("band"), "pos", "v"))
-        if level == n:
-            out.append(g.agg((F.sum("v") / float(np.sqrt(width))).alias("v")).select("key", F.lit(0).alias("band"), "pos", "v"))
-    first = out[0]
-    for x in out[1:]:
-        first = first.unionByName(x)
-    return first
+        parts.append((level, width, sign))
+    parts.append((0, 1 << n, F.lit(1.0)))
+    rows = F.array(*(F.struct(F.lit(band).alias("band"), F.expr(f"pos div {width}").cast("long").alias("pos"), (sign * F.col("v") / float(np.sqrt(width))).alias("v")) for band, width, sign in parts))
+    each = signal.select("key", F.explode(rows).alias("r")).select("key", "r.*")
+    return each.groupBy("key", "band", "pos").agg(F.sum("v").alias("v"))
 
 
 def band_energy(coefficients: DataFrame) -> DataFrame:
@@ -76,6 +87,22 @@ def band_energy(coefficients: DataFrame) -> DataFrame:
     return coefficients.groupBy("key", "band").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
 
 
+def channel_features(samples: DataFrame, k: int = 9, bands: int = 4, scale: float = 1e5) -> DataFrame:
+    """id, coords: band energies of the principal components of windows (window, t, coords over channels).
+
+    All windows share the components' loadings. Of each component the energies of the ``bands`` finest Haar bands, finest
+    first, divided by ``scale``, stand next to each other, components from the largest to the smallest. The number of
+    samples a window is a power of two.
+    """
+    points = samples.select(F.struct("window", "t").alias("id"), "coords")
+    size = samples.agg(F.max("t")).first()[0] + 1
+    series = pca(points, k).select("id.window", "id.t", F.posexplode(F.reverse("coords")).alias("c", "v"))
+    coefficients = haar(series.select(F.struct("window", "c").alias("key"), F.col("t").alias("pos"), "v"), int(size).bit_length() - 1)
+    energy = band_energy(coefficients).filter(F.col("band").between(1, bands))
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("key.c") * bands + F.col("band")).alias("at"), (F.col("energy") / scale).alias("v"))))  # k * bands rows a window
+    return energy.groupBy(F.col("key.window").alias("id")).agg(F.transform(ordered, lambda x: x["v"]).alias("coords"))
+
+
 def dft(signal: DataFrame, n: int, inverse: bool = False) -> DataFrame:
     """key, k, re, im of signals (key, n, re, im) of length ``n`` by a join with the frequencies; forward is scaled by 1/n.
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kernelweave.operators import stats
 from kernelweave.session import prepare
 
 
@@ -61,8 +62,7 @@ def csr_graph(spark: SparkSession, path: str) -> DataFrame:
     A column id at place k belongs to the row whose pointers enclose k: a window carries the last row start forward.
     """
     tokens = lines(spark, path).select("line", F.posexplode(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")).alias("c", "t"))
-    per_line = tokens.groupBy("line").agg(F.count("*").alias("m"))
-    before = per_line.select("line", F.coalesce(F.sum("m").over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
+    before = stats.prefix_sum(tokens.groupBy("line").agg(F.count("*").alias("m")), "line", "m", "b").select("line", "b")
     at = tokens.join(before, "line").select((F.col("b") + F.col("c")).alias("k"), F.col("t").cast("long").alias("x"))
     head = F.broadcast(at.filter("k < 2").agg(F.max(F.when(F.col("k") == 0, F.col("x"))).alias("n"), F.max(F.when(F.col("k") == 1, F.col("x"))).alias("e"), ).crossJoin(at.agg(F.count("*").alias("all"))))
     body = at.crossJoin(head).filter("k >= 2").withColumn("p", F.col("all") - F.col("e"))
@@ -128,6 +128,65 @@ def labelled_table(spark: SparkSession, path: str) -> DataFrame:
     return body.select((F.col("line") - cols - 1).alias("row_id"), F.transform(F.split(F.trim("value"), r"[\s,]+"), number).alias("features"))
 
 
+def table_categories(spark: SparkSession, path: str) -> DataFrame:
+    """col, code, value of a table file's category lines (``count,value,value,...``); numeric columns have none."""
+    rows = lines(spark, path)
+    cols = int(rows.filter("line = 0").first()["value"].split()[1])
+    parts = rows.filter((F.col("line") >= 1) & (F.col("line") <= cols)).select((F.col("line") - 1).alias("col"), F.split("value", ",").alias("p"))
+    named = parts.filter(number(F.col("p")[0]) > 0).select("col", F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("code", "value"))
+    return named.select("col", "code", "value")
+
+
+def encode_table(rows: DataFrame, columns: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with numbers, dictionary col, code, value). A column of numbers alone stays as it is; the values of another
+    become codes in order of first appearance. One pass tells which columns are numeric."""
+    numeric = rows.agg(*(F.coalesce(F.bool_and(F.col(c).isNull() | F.col(c).try_cast("double").isNotNull()), F.lit(True)).alias(c) for c in columns)).first()
+    out, found = rows, []
+    for k, c in enumerate(columns):
+        if numeric[c]:
+            out = out.withColumn(c, F.col(c).try_cast("double"))
+        else:
+            codes = stats.first_seen_codes(rows.filter(F.col(c).isNotNull()).select(F.col(c).alias("value"), order), "value", order).select("value", F.col("code").cast("double").alias("_code"))
+            out = out.join(codes.withColumnRenamed("value", c), c, "left").drop(c).withColumnRenamed("_code", c)
+            found.append(codes.select(F.lit(k).alias("col"), F.col("_code").cast("int").alias("code"), "value"))
+    empty = rows.sparkSession.createDataFrame([], "col int, code int, value string")
+    return out.select(*rows.columns), stats.union_all([empty, *found])
+
+
+def csr_rows(spark: SparkSession, indptr: list[int], indices: list[int], data: list[float], labels: list[float]) -> DataFrame:
+    """row_id, label, x MAP<INT, DOUBLE> of compressed rows in memory; feature numbers start at 1 as in a LIBSVM file."""
+    rows = [(i, float(labels[i]), {int(indices[k]) + 1: float(data[k]) for k in range(indptr[i], indptr[i + 1])}) for i in range(len(indptr) - 1)]
+    return spark.createDataFrame(rows, "row_id long, label double, x map<int,double>")
+
+
+def array_rows(spark: SparkSession, values, labels) -> DataFrame:
+    """id, coords, label of an array of rows in memory."""
+    return spark.createDataFrame([(i, [float(v) for v in x], float(t)) for i, (x, t) in enumerate(zip(values, labels))], "id long, coords array<double>, label double")
+
+
+def truths(spark: SparkSession, path: str) -> DataFrame:
+    """img, truth: the last line of each file of a folder, in no order; sort by ``img`` for a listing."""
+    rows = lines(spark, path).withColumn("img", F.element_at(F.split("file", "/"), -1))
+    return rows.groupBy("img").agg(F.max_by("value", "line").alias("truth"))
+
+
+def lstm_weights(spark: SparkSession, path: str, inputs: int = 25, cells: int = 100, classes: int = 110) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(weights of one direction, output weights or none) of a text file of numbers.
+
+    Four matrices of cells x (1 + inputs + cells) come first (input, forget, output and cell gate: bias, inputs, cells),
+    then three vectors of peepholes, then, where the file has them, classes x (1 + 2 cells) output weights. Another count
+    is an error. The file is a model of bounded size and is read to the driver.
+    """
+    x = np.array([float(v) for r in lines(spark, path).orderBy("line").collect() for v in r["value"].split()])
+    width, tail = 1 + inputs + cells, classes * (1 + 2 * cells)
+    n = 4 * cells * width + 3 * cells
+    if len(x) not in (n, n + tail):
+        raise ValueError(f"{len(x)} numbers; {n} or {n + tail} are expected")
+    gates = x[: 4 * cells * width].reshape(4, cells, width)
+    own = {"bias": gates[:, :, 0], "w_x": gates[:, :, 1 : 1 + inputs], "w_h": gates[:, :, 1 + inputs :], "peep": x[4 * cells * width : n].reshape(3, cells)}
+    return own, x[n:].reshape(-1, 1 + 2 * cells)
+
+
 def records(spark: SparkSession, path: str, height: int = 32, width: int = 32, depth: int = 3) -> DataFrame:
     """label, pixels (height, width, depth order) of records of one label byte and depth * height * width bytes."""
     prepare(spark)
@@ -174,9 +233,7 @@ def idx_images(spark: SparkSession, path: str, pad: int = 2) -> DataFrame:
 def words(spark: SparkSession, path: str) -> DataFrame:
     """pos, word: newline becomes ``<eos>``, cut at white space."""
     parts = lines(spark, path).select("line", F.concat(F.filter(F.split("value", r"\s+"), lambda x: x != ""), F.array(F.lit("<eos>"))).alias("w"))
-    sizes = parts.select("line", F.size("w").alias("n"))
-    before = sizes.select("line", F.coalesce(F.sum("n").over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    return parts.join(before, "line").select("b", F.posexplode("w").alias("c", "word")).select((F.col("b") + F.col("c")).alias("pos"), "word")
+    return stats.prefix_sum(parts.withColumn("n", F.size("w")), "line", "n", "b").select("b", F.posexplode("w").alias("c", "word")).select((F.col("b") + F.col("c")).alias("pos"), "word")
 
 
 def line_images(spark: SparkSession, path: str, height: int = 25) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kernelweave.functions import precision
 from kernelweave.operators import linalg, stats
 from kernelweave.plans import pagerank, signals, svm
+from kernelweave.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +117,68 @@ def test_sparse_histogram(spark):
 def test_rows_normalised(spark):
     m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, 2.0), (1, 1, -2.0)], "i long, j long, v double")
     assert {(r["i"], r["j"]): r["v"] for r in linalg.normalise_rows(m).collect()} == {(0, 0): 0.25, (0, 1): 0.75}
+
+
+def test_numbering_without_one_task(spark):
+    r = np.random.default_rng(0)
+    v = r.permutation(1000).tolist()
+    df = spark.createDataFrame([(x, x % 7) for x in v], "x long, y long").repartition(5)
+    assert {(a["x"], a["n"]) for a in stats.numbered(df, "x").collect()} == {(x, x) for x in range(1000)}
+    got = {a["x"]: a["before"] for a in stats.prefix_sum(df, "x", "y", block=64).collect()}
+    assert got == {x: sum(k % 7 for k in range(x)) for x in range(1000)}
+
+
+def test_table_files(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("2 3\n0\n2,a,b\n0\n1.5,0,2\n2.5,1,4\n")
+    assert [tuple(r) for r in readers.table_categories(spark, str(tmp_path / "t.txt")).orderBy("code").collect()] == [(1, 0, "a"), (1, 1, "b")]
+    assert [r["features"] for r in readers.labelled_table(spark, str(tmp_path / "t.txt")).orderBy("row_id").collect()] == [[1.5, 0.0, 2.0], [2.5, 1.0, 4.0]]
+    raw = spark.createDataFrame([(0, "1", "x"), (1, "2.5", "y"), (2, None, "x"), (3, "4", None)], "id long, a string, b string")
+    rows, names = readers.encode_table(raw, ["a", "b"], "id")
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [(0, 1.0, 0.0), (1, 2.5, 1.0), (2, None, 0.0), (3, 4.0, None)]
+    assert [tuple(r) for r in names.orderBy("code").collect()] == [(1, 0, "x"), (1, 1, "y")]
+
+
+def test_rows_in_memory(spark):
+    got = readers.csr_rows(spark, [0, 2, 2, 3], [0, 3, 1], [1.0, 2.0, 3.0], [0, 1, 2]).orderBy("row_id").collect()
+    assert [r["x"] for r in got] == [{1: 1.0, 4: 2.0}, {}, {2: 3.0}] and [r["label"] for r in got] == [0.0, 1.0, 2.0]
+    assert readers.array_rows(spark, [[1, 2], [3, 4]], [0, 1]).orderBy("id").first()["coords"] == [1.0, 2.0]
+
+
+def test_recogniser_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("old\nnew")
+    (tmp_path / "b.txt").write_text("one")
+    assert {r["img"]: r["truth"] for r in readers.truths(spark, str(tmp_path)).collect()} == {"a.txt": "new", "b.txt": "one"}
+    n, tail = 4 * 3 * (1 + 2 + 3) + 3 * 3, 5 * 7
+    for size, ok in ((n, True), (n + tail, True), (n + 1, False)):
+        path = tmp_path / f"w{size}"
+        path.write_text("\n".join(str(float(i)) for i in range(size)))
+        if not ok:
+            with pytest.raises(ValueError):
+                readers.lstm_weights(spark, str(path), 2, 3, 5)
+            continue
+        own, out = readers.lstm_weights(spark, str(path), 2, 3, 5)
+        assert own["bias"][0].tolist() == [0, 6, 12] and own["w_x"][1, 0].tolist() == [19, 20] and own["w_h"].shape == (4, 3, 3)
+        assert own["peep"][2].tolist() == [n - 3, n - 2, n - 1] and out.shape == ((5, 7) if size > n else (0, 7))
+
+
+def test_channel_features(spark):
+    """Components, wavelet energies and a decision, against numpy."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2, 16, 5)) @ r.normal(size=(5, 5))
+    rows = spark.createDataFrame([(w, t, x[w, t].tolist()) for w in range(2) for t in range(16)], "window long, t long, coords array<double>")
+    got = {v["id"]: v["coords"] for v in signals.channel_features(rows, k=3, bands=2, scale=10.0).collect()}
+    flat = x.reshape(-1, 5)
+    centred = flat - flat.mean(0)
+    _, vectors = np.linalg.eigh(centred.T @ centred)
+    for w in range(2):
+        want = []
+        for c in range(4, 1, -1):
+            s = (x[w] - flat.mean(0)) @ vectors[:, c]
+            for _ in range(2):
+                want.append((((s[::2] - s[1::2]) / np.sqrt(2)) ** 2).sum() / 10)
+                s = (s[::2] + s[1::2]) / np.sqrt(2)
+        assert np.allclose(got[w], want)
+    points = spark.createDataFrame([(w, v) for w, v in got.items()], "id long, coords array<double>")
+    dec = svm.decide(points, [(got[0], 1.0), (got[1], -1.0)], 0.0, gamma=0.03)
+    signs = {v["id"]: v["dec"] > 0 for v in dec.collect()}
+    assert signs == {0: True, 1: False}
