@@ -20,7 +20,7 @@ def put(spark, name, text, binary=False):
 
 
 @pytest.mark.parametrize("damping", [0.85, 0.5])
-@pytest.mark.parametrize("norm", ["l2"])
+@pytest.mark.parametrize("norm", ["l1", "l2"])
 def test_pagerank(spark, damping, norm):
     m = np.array([[0, 0, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0], [0.125, 0.5, 0, 0]])
     s = m.sum(1, keepdims=True)
@@ -219,7 +219,8 @@ def test_readers_and_writers(spark):
     assert readers.config(spark, put(spark, "c", "k 1\nname two words\nk 3\n")) == {"k": "3", "name": "two words"}
     s = readers.sensors(spark, put(spark, "s", "p0, p1\n1,10,2,1,20,2\n2,30,4,2,50,5\n")).orderBy("sensor", "sample").collect()
     assert [(r["sensor"], r["acc"]) for r in s] == [("p0", 10), ("p0", 30), ("p1", 20), ("p1", 50)]
-    assert s and results.power_average  # the mean between the samples of p0 is (30 - 10) / (4 - 2)
+    own = spark.createDataFrame([(10.0, 30.0, 2.0, 4.0), (1.0, 2.0, 3.0, 3.0)], "a double, b double, u double, v double")
+    assert [r["p"] for r in own.select(results.power_average(F.col("a"), F.col("b"), F.col("u"), F.col("v")).alias("p")).collect()] == [10.0, None]
     model = spark.createDataFrame([(0.5, [1.0, 0.0, 2.0])], "coef double, coords array<double>")
     path = scratch(spark, "model")
     writers.svm_model(model, path, {"svm_type": "c_svc", "kernel_type": "rbf"})
@@ -260,3 +261,43 @@ def test_stream_equals_batch(spark):
     batch = windows.summaries(spark.read.parquet(folder))
     key = lambda r: (str(r["start"]), r["event_type"], r["n"], round(r["mean"], 6))
     assert sorted(map(key, spark.table("summaries").collect())) == sorted(map(key, batch.collect()))
+
+
+def test_codes_of_many_lengths(spark):
+    """A prefix code of one to five bits, read from the lowest bit of each byte; bits that run out end a row."""
+    r = np.random.default_rng(8)
+    codes = {"0": 7, "10": 1, "110": 300, "1110": -4, "11110": 0, "11111": 9}
+    rows = []
+    for i in range(40):
+        picked = r.choice(list(codes), size=r.integers(0, 30)).tolist()
+        bits = "".join(picked)
+        bits += "0" * (-len(bits) % 8)
+        rows.append((i, bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8)), len(picked), [codes[x] for x in picked]))
+    df = spark.createDataFrame(rows, "i int, bits binary, n int, want array<int>")
+    assert all(v["values"] == v["want"] for v in scalar.huffman_decode(df, codes).collect())
+    cut = spark.createDataFrame([(bytes([0xFF]), 5), (None, 3), (b"", 1)], "bits binary, n int")
+    assert [v["values"] for v in scalar.huffman_decode(cut, codes).collect()] == [[9], [], []]
+
+
+def test_fast_forms(spark):
+    x = np.linspace(-4, 4, 81)
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", scalar.fast_exp(F.col("x")).alias("e"), scalar.fast_tanh(F.col("x")).alias("t")).collect()
+    assert all(abs(v["e"] / np.exp(v["x"]) - 1) < 0.07 and abs(v["t"] - np.tanh(v["x"])) < 0.05 for v in got)
+
+
+def test_writers(spark):
+    lines = lambda path: [r["value"] for r in spark.read.text(path).collect()]
+    path = scratch(spark, "out")
+    centres = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "cluster int, coords array<double>")
+    writers.clusters(centres, spark.createDataFrame([(5, 1), (3, 0)], "id long, cluster int"), path)
+    assert sorted(lines(f"{path}.cluster_centres")) == ["0 1.000000 2.000000", "1 3.000000 4.000000"]
+    assert sorted(lines(f"{path}.membership")) == ["3 0", "5 1"]
+    writers.labels(spark.createDataFrame([(1, 2.0), (0, 3.0)], "id long, label double"), f"{path}-labels")
+    assert sorted(lines(f"{path}-labels")) == ["2.0", "3.0"]
+    writers.results(spark.createDataFrame([(0, 1, 2, "p0", 3.5)], "dIdx int, pIdx int, rIdx int, Sensor string, Value double"), f"{path}-results")
+    assert "0;1;2;p0;3.5" in lines(f"{path}-results")
+    writers.log(spark.createDataFrame([(1, 0.5)], "step int, loss double"), f"{path}-log")
+    assert "1\t0.5" in lines(f"{path}-log")
+    x = spark.createDataFrame([(0, 0.5), (1, 2.0)], "i long, v double")
+    writers.csv_vector(x, f"{path}-vector")
+    assert [r["v"] for r in readers.csv_vector(spark, f"{path}-vector").orderBy("i").collect()] == [0.5, 2.0]
