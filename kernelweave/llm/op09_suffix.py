@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ GROUP = 200_000
 PER_BUCKET = 500_000
 KNOWN = np.uint32(1 << 31)  # marks a gram that its task has several times
 PLACE = np.dtype([("d", "<i8"), ("t", "<i8"), ("i", "<u4")])  # document, text hash, index of the anchor in its text
-SENT = np.dtype([("fp", "S6"), ("place", PLACE)])
+LEAN = np.dtype([("t", "<i8"), ("i", "<u4")])  # hash of document and text, index: enough for the filter
+SENT = np.dtype([("fp", "S6"), ("place", LEAN)])
 INFO = np.dtype([("place", PLACE), ("near", "u1"), ("far", "u1")])  # least and largest distance from a window's start to its anchor
 
 
@@ -89,8 +91,9 @@ def _six(x: np.ndarray) -> np.ndarray:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """d (doc_id, null smallest), t (hash of the text), text."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("t"), "text")
+    """d (doc_id, null smallest), t (hash of the text), k (hash of both), text."""
+    own = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("t"), "text")
+    return own.withColumn("k", F.xxhash64("d", "t"))
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,33 +113,34 @@ def _by_part(place: np.ndarray, mask: np.ndarray | None, parts: int) -> Iterator
         yield int(part[a]), place[a:z].tobytes(), b"" if mask is None else mask[a:z].tobytes()
 
 
-def _collected(found: DataFrame) -> DataFrame:
-    """d, t, at (packed anchor indexes), masks (packed) from packed rows by part."""
+def _collected(found: DataFrame, kind: np.dtype = PLACE) -> DataFrame:
+    """The document of each place (d and t, or the hash t alone), at (packed anchor indexes), masks (packed) from packed rows by part."""
+    names = [x for x in kind.names if x != "i"]
 
     def collect(key, found):
-        place = np.frombuffer(b"".join(found["places"].to_pylist()), PLACE)
+        place = np.frombuffer(b"".join(found["places"].to_pylist()), kind)
         mask = np.frombuffer(b"".join(found["masks"].to_pylist()), "<i8")
-        order = np.lexsort((place["t"], place["d"]))
+        order = np.lexsort([place[x] for x in reversed(names)])
         place, mask = place[order], mask[order] if len(mask) else mask
-        first, end = _runs(place[["d", "t"]]) if len(place) else (np.zeros(0, np.int64),) * 2
+        first, end = _runs(place[names]) if len(place) else (np.zeros(0, np.int64),) * 2
         at = np.ascontiguousarray(place["i"])
         cut = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(first.tolist(), end.tolist())], pa.binary())
-        return pa.table([pa.array(place["d"][first]), pa.array(place["t"][first]), cut(at), cut(mask)], names=["d", "t", "at", "masks"])
+        return pa.table([*(pa.array(np.ascontiguousarray(place[x][first])) for x in names), cut(at), cut(mask)], names=[*names, "at", "masks"])
 
-    return found.groupBy("part").applyInArrow(collect, "d long, t long, at binary, masks binary")
+    return found.groupBy("part").applyInArrow(collect, f"{', '.join(f'{x} long' for x in names)}, at binary, masks binary")
 
 
 def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
-    """d, t, at (packed indexes of the anchors whose gram stands elsewhere too): the filter."""
+    """k, at (packed indexes of the anchors whose gram stands elsewhere too): the filter."""
 
     def send(batches):
         held, size = [], 0
         for b in batches:
-            d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            k = b.column(0).to_numpy()
             for i, part in chunks(column_bytes(b)):
                 a = Anchors(part)
-                x = np.zeros(len(a.at), PLACE)
-                x["d"], x["t"] = d[i + a.doc], t[i + a.doc]
+                x = np.zeros(len(a.at), LEAN)
+                x["t"] = k[i + a.doc]
                 x["i"] = np.arange(len(a.at)) - a.first[a.doc]
                 held.append((a.fp, x))
                 size += len(x)
@@ -174,7 +178,7 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
         x = np.frombuffer(raw, np.uint8).reshape(-1, SENT.itemsize)
         wide = np.zeros((len(x), 8), np.uint8)
         wide[:, :6] = x[:, :6]
-        fp, place = wide.view("<u8").reshape(-1), np.ascontiguousarray(x[:, 6:]).view(PLACE).reshape(-1)
+        fp, place = wide.view("<u8").reshape(-1), np.ascontiguousarray(x[:, 6:]).view(LEAN).reshape(-1)
         order = np.argsort(fp, kind="stable")
         first, end = _runs(fp[order])
         place = place[order[np.repeat(end - first > 1, end - first)]]
@@ -184,8 +188,8 @@ def repeats(keyed: DataFrame, buckets: int) -> DataFrame:
         rows = list(rows)
         return pa.table([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["part", "places", "masks"])
 
-    met = keyed.mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "part long, places binary, masks binary")
-    return _collected(met).drop("masks")
+    met = keyed.select("k", "text").mapInArrow(send, "bucket long, block binary").groupBy("bucket").applyInArrow(meet, "part long, places binary, masks binary")
+    return _collected(met, LEAN).select(F.col("t").alias("k"), "at")
 
 
 # --- suffix runs -------------------------------------------------------------------------------------------------
@@ -338,6 +342,8 @@ def suffix_runs(asked: DataFrame, parts: int) -> DataFrame:
         if size:
             yield from out(held)
 
+    pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x)
+
     def out(held):
         part, right, left, info = (np.concatenate([x[k] for x in held]) for k in range(4))
         bytes_of = lambda x: np.ascontiguousarray(x).view(f"S{x.shape[1]}").reshape(-1)
@@ -354,7 +360,8 @@ def suffix_runs(asked: DataFrame, parts: int) -> DataFrame:
             keep = np.flatnonzero(~same[s:e]) + s
             own = info[keep]
             lefts = left[keep][np.arange(SHIFT) < own["far"][:, None]]
-            row = (*front_coded(right[keep], SPAN - own["near"].astype(np.int64)), lefts.tobytes(), own.tobytes(), info[s:e][again[s:e]].tobytes())
+            lcp, sizes, rests = front_coded(right[keep], SPAN - own["near"].astype(np.int64))
+            row = (lcp, sizes, pack(rests), pack(lefts.tobytes()), own.tobytes(), info[s:e][again[s:e]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([int(part[s])], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["part", *_RUN])
 
     return asked.mapInArrow(run, f"part long, {', '.join(f'{x} binary' for x in _RUN)}")
@@ -389,11 +396,11 @@ def repeated_windows(runs: DataFrame, parts: int, group: int = GROUP) -> tuple[D
     """
 
     def combine(key, found):
-        coded = list(zip(*(found[k].to_pylist() for k in ("lcp", "sizes", "rests"))))
+        coded = [(lcp.as_py(), sizes.as_py(), zstandard.decompress(rests.as_py())) for lcp, sizes, rests in zip(*(found[k] for k in ("lcp", "sizes", "rests")))]
         infos = [np.frombuffer(x, INFO) for x in found["info"].to_pylist()]
         info = np.concatenate(infos)
         left = np.zeros((len(info), SHIFT), np.uint8)
-        left[np.arange(SHIFT) < info["far"][:, None]] = np.frombuffer(b"".join(found["lefts"].to_pylist()), np.uint8)
+        left[np.arange(SHIFT) < info["far"][:, None]] = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in found["lefts"]), np.uint8)
         start = np.cumsum([0, *map(len, infos)]).tolist()
         told = np.frombuffer(b"".join(found["copies"].to_pylist()), INFO)
         places, masks, windows = [told["place"]], [_full(told)], []
@@ -498,7 +505,7 @@ def _found(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(math.ceil(size / (SHIFT + 2) * 2 / PER_BUCKET), 8)  # anchors make about 2 / (SHIFT + 2) of the bytes
     asked = stored(repeats(keyed, buckets), "repeats")
     release(spark)
-    texts = keyed.join(asked.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "at")
+    texts = keyed.join(asked.hint("shuffle_hash"), "k").select("d", "t", "text", "at")
     packed, late = repeated_windows(suffix_runs(texts, buckets), buckets)
     masks, late = stored(_collected(packed), "masks"), stored(late, "late")
     release(spark)
