@@ -31,33 +31,34 @@ def pagerank(
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     m = edges.groupBy("src", "dst").agg(F.sum(w).alias("v"))
     nodes = m.select(F.col("src").alias("i")).union(m.select(F.col("dst").alias("i"))).distinct()
-    nodes = stored(nodes, "nodes")
+    out = linalg.row_sums(m.select(F.col("src").alias("i"), "v")).withColumnRenamed("v", "out")
+    nodes = stored(nodes.join(out, "i", "left").select("i", (F.coalesce("out", F.lit(0.0)) == 0).alias("loose")), "nodes")
     n = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
     share = linalg.normalise_rows(m.select(F.col("src").alias("i"), F.col("dst").alias("j"), "v"))
     a = stored(linalg.transpose(share), "edges")
     n_nodes = nodes.count()
-    rank = stored(nodes.crossJoin(n).select("i", (1 / F.col("n")).alias("v")), "rank")
-    loose = stored(linalg.dangling(nodes, a.select(F.col("j").alias("i"), "v")), "dangling")
+    # ranks carry whether their node is loose, so the lost mass of a step is a filter and a sum
+    rank = stored(nodes.crossJoin(n).select("i", "loose", (1 / F.col("n")).alias("v")), "rank")
     for _ in range(iterations if iterations is not None else max_iter):
-        lost = F.broadcast(rank.join(loose, "i", "left_semi").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost")))
-        new = rank.select("i").join(linalg.spmv(a, rank), "i", "left").crossJoin(lost).crossJoin(n)
-        new = new.select("i", (damping * (F.coalesce("v", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("v"))
+        lost = F.broadcast(rank.filter("loose").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost")))
+        new = nodes.join(linalg.spmv(a, rank), "i", "left").crossJoin(lost).crossJoin(n)
+        new = new.select("i", "loose", (damping * (F.coalesce("v", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("v"))
         if redistribute_leak:
             new = stored(new, "rank")
             total = F.broadcast(new.agg(F.sum("v").alias("s"), F.count("*").alias("c")))
-            new = new.crossJoin(total).select("i", (F.col("v") + (1 - F.col("s")) / F.col("c")).alias("v"))
+            new = new.crossJoin(total).select("i", "loose", (F.col("v") + (1 - F.col("s")) / F.col("c")).alias("v"))
             # every rank got the same part, so the new total is known without another pass
             spread = F.broadcast(total.select((F.col("s") + (1 - F.col("s"))).alias("t")))
-            new = new.crossJoin(spread).select("i", (F.col("v") / F.col("t")).alias("v"))
+            new = new.crossJoin(spread).select("i", "loose", (F.col("v") / F.col("t")).alias("v"))
         if codec == "e3m13":
             codes, exceptions = split_e3m13(stored(new, "rank"), n_nodes)
-            new = join_e3m13(stored(codes, "codes"), stored(exceptions, "exceptions"), n_nodes)
+            new = join_e3m13(stored(codes, "codes"), stored(exceptions, "exceptions"), n_nodes).join(nodes, "i")
         elif codec:
             new = quantise(new, codec)
         new = stored(new, "rank")
         if iterations is None:
             if (linalg.deltas(new, rank).first()[norm] or 0.0) <= eps:
-                return new
+                return new.select("i", "v")
         discard(rank)
         rank = new
-    return rank
+    return rank.select("i", "v")

@@ -112,8 +112,8 @@ def knn_votes(points: DataFrame, labels: DataFrame, queries: DataFrame, k: int)
     return stats.majority(found.join(labels.select("id", "label"), "id"), ["query"], "label")
 
 
-def knn_evaluate(points: DataFrame, labels: DataFrame, samples: int, k: int) -> DataFrame:
-    """Confusion counts of the first ``samples`` rows voted on by all rows."""
-    queries = points.orderBy("id").limit(samples)
+def knn_evaluate(points: DataFrame, labels: DataFrame, samples: int | DataFrame, k: int) -> DataFrame:
+    """Confusion counts of query rows (or of the first ``samples`` rows) voted on by all rows."""
+    queries = points.orderBy("id").limit(samples) if isinstance(samples, int) else samples
     votes = knn_votes(points, labels, queries, k)
     return stats.confusion(votes.join(labels.select(F.col("id").alias("query"), "label"), "query"), "label", "vote")
