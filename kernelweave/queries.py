@@ -276,6 +276,15 @@ def scatter(spark, d):
     return signals.scatter(embeddings(spark, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), rnd("v", 5).alias("v"))
 
 
+@query("""WITH p AS (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(0, len(embedding))) AS i, vec_id FROM embeddings),
+a AS (SELECT a.i, b.i AS j, sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*) AS v FROM p a JOIN p b USING (vec_id) GROUP BY a.i, b.i) SELECT round(sum(v) FILTER (i = j), 4) AS total, round(sum(v * v), 3) AS squares FROM a""")
+def pca_spectrum(spark, d):
+    """Sum of the components' variances and of their squares: the trace and the squared norm of the scatter matrix."""
+    p = embeddings(spark, d)
+    each = signals.pca(p, 64).select(F.posexplode("coords").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v") * F.col("v")).alias("w"))
+    return each.agg(rnd(F.sum("w"), 4).alias("total"), rnd(F.sum(F.col("w") * F.col("w")), 3).alias("squares"))
+
+
 @query()
 def pca(spark, d):
     return signals.pca(embeddings(spark, d), 9)
