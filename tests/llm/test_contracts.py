@@ -16,7 +16,7 @@ from tests.llm.test_hostile import brute_rules
 from tests.llm.test_mixing import brute as brute_base
 from tests.llm.test_simple_ops import brute_pii, brute_quality
 from tests.llm.test_suffix import brute as brute_cut
-from tests.test_queries import TABLES, canonical
+from tests.test_queries import TABLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,7 +35,9 @@ def test_against_sql(spark, name):
     duck = duckdb.connect()
     for t in TABLES:
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert canonical(registry.QUERIES[name](spark, SF).toPandas()) == canonical(duck.sql(registry.ORACLES[name]).df())
+    got, want = registry.QUERIES[name](spark, SF), duck.sql(registry.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))  # values: pandas turns integers with nulls into floats
 
 
 def sha(x) -> str:

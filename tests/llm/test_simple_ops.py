@@ -389,3 +389,24 @@ def test_urls_edges(spark):
     df = spark.createDataFrame([(None, "http://x.org/a"), (1, None), (1, None), (2, "http://x.org/a")], "page_id long, url string")
     got = op08_urls.judge(df).collect()
     assert len(got) == 4 and {r["verdict"] for r in got} == {"allow"} and {r["rule"] for r in got} == {None}
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+@pytest.mark.parametrize("payloads", [False, True])
+def test_warc_packed_anew(spark, compression, payloads):
+    """Files that are packed into other partitions between ``read`` and the action lose no record."""
+    html = [f"page {i} {op04_warc.MAGIC} and its tail" for i in range(40)] + [f"plain {i}" for i in range(20)]
+    path = op04_warc.scratch(spark, "t")
+    op04_warc.write(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u")).repartition(4), path, records_per_file=3, compression=compression)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        got = op04_warc.read(spark, path, payloads)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in rows) == [(i, len(h)) for i, h in enumerate(html)]
+    assert not payloads or all(bytes(r["payload"]).decode() == html[r["page_id"]] for r in rows)
