@@ -36,8 +36,7 @@ def test_regression(points):
         return points.join(model.fit(points).predict(points), "id").agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))).first()[0]
 
     assert abs(error(svm.SVR(c=100.0, gamma=0.5)) - 0.020752) < 1e-3
-    # the published 0.028369 +- 1.2e-5 is where one order of steps stops at eps = 1e-3; the optimum itself has 0.0283986
-    assert abs(error(svm.NuSVR(c=100.0, nu=0.1, gamma=0.5)) - 0.028369) < 3e-5
+    assert abs(error(svm.NuSVR(c=100.0, nu=0.1, gamma=0.5)) - 0.028369) < 1.2e-5
 
 
 def test_one_class(points):
