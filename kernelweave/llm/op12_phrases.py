@@ -4,10 +4,11 @@ Texts are lower-cased (A-Z), split into pieces at ``[.,;:!?\x0A-\x0D]`` and thos
 is counted for each language. A task puts the words of a megabyte of text behind each other, one space between, and
 builds prefix polynomials over these bytes, modulo 2^64 and modulo the prime 2^31 - 1; the fingerprint of a run of words
 is a difference of two prefixes, whatever its length. Rows (fingerprint, count, pointer to a text) are aggregated by a
-shuffle. Runs of three words count only where both runs of two in them are frequent; a table of bits in front lets too
-much through at worst.
+shuffle. A run counts only where both runs of one word less in it are frequent, which loses nothing; a table of bits in
+front tells that, and lets too much through at worst.
 
-Then each frequent fingerprint goes back to the texts of its smallest and largest pointer. Those texts are read again,
+Then each frequent fingerprint goes back to the texts of its smallest and largest pointer (32 bits; texts that share one
+are all read). Those texts are read again,
 the run with that fingerprint is looked up and its words come out. Where the two differ, one fingerprint stands for
 several phrases, and it is counted anew from the words of all texts. What this can't see is a phrase that shares all
 95 bits with another and stands only in texts between the two pointers: some 1e-4 expected cases in 1e13 phrases.
@@ -23,6 +24,7 @@ play no part.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from kernelweave.llm.text import chunks, column_bytes, mix, powers
 from kernelweave.session import discard, prepare, release, stored, table
 
-BLOCK = 3_000_000  # runs that a task holds before it adds up equal ones
-MAX_BITS = 1 << 28  # bits of the table in front of runs of three: 32 MB
+BLOCK = 2_000_000  # runs that a task holds before it adds up equal ones
+BATCH = 1 << 17  # rows of a batch that it passes on
+MAX_BITS = 1 << 28  # bits of a table of frequent runs: 32 MB
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
 _P, _B = (1 << 31) - 1, 1_812_433_253 % ((1 << 31) - 1)
-_ROW = "k long, chk int, c int, d long"
+_ROW = "k long, chk int, c int, d int"
 
 
 class Runs:
@@ -130,18 +133,19 @@ def added_up(k: np.ndarray, chk: np.ndarray, c: np.ndarray, d: np.ndarray) -> tu
     order = np.argsort(k)
     k, chk = k[order], chk[order]
     new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (chk[1:] != chk[:-1])))) if len(k) else np.zeros(0, int)
-    return k[new], chk[new], np.add.reduceat(c[order], new) if len(new) else c[:0], np.minimum.reduceat(d[order], new) if len(new) else d[:0]
+    return k[new], chk[new], np.add.reduceat(c[order], new, dtype=np.int32) if len(new) else c[:0], np.minimum.reduceat(d[order], new) if len(new) else d[:0]
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    """lang, text, d: a pointer of 64 bits that depends on the row's language and text alone."""
-    return documents.select("lang", "text", F.xxhash64(F.coalesce("lang", F.lit("und")), "text").alias("d")).filter("text IS NOT NULL")
+    """lang, text, h (hash of both), d: a pointer of 32 bits that follows from h."""
+    h = F.xxhash64(F.coalesce("lang", F.lit("und")), "text")
+    return documents.filter("text IS NOT NULL").select("lang", "text", h.alias("h"), h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("d"))
 
 
-def _counted(rows: DataFrame, sizes: tuple[int, ...], bits: tuple | None = None, mask: int = -1) -> DataFrame:
-    """k, chk, c, d of the runs of ``sizes`` words, added up within blocks of a task, and words of a language as k of size 0.
+def _counted(rows: DataFrame, size: int, bits: tuple | None = None, mask: int = -1) -> DataFrame:
+    """k, chk, c, d of the runs of ``size`` words, added up within blocks of a task; with words, those of a language as k of size 0.
 
-    ``bits`` (broadcast bytes, number of bits) lets a run of three through where both runs of two are known.
+    ``bits`` (broadcast bytes, number of bits) lets a run through where both runs of one word less are known.
     """
 
     def run(batches):
@@ -150,40 +154,42 @@ def _counted(rows: DataFrame, sizes: tuple[int, ...], bits: tuple | None = None,
             salts, d = _salts(b.column(0).to_pylist()), b.column(2).to_numpy()
             for i, part in chunks(column_bytes(b)):
                 r, own, at = Runs(part), salts[i : i + len(part)], d[i : i + len(part)]
-                known = None
-                if bits is not None:
-                    first = r.inside(2)
-                    table_, slot = np.frombuffer(bits[0].value, np.uint8), _bit(r.prints(first, 2, own)[0] & mask, bits[1])
-                    known = np.zeros(len(r.at) + 1, bool)
-                    known[first] = table_[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
-                else:
+                first = r.inside(size)
+                if bits is None:
                     count = np.bincount(r.text, minlength=len(part))
-                    held.append((mix(own).view(np.int64), np.zeros(len(part), np.int32), count, at))
-                    n += len(part)
-                for size in sizes:
-                    first = r.inside(size)
-                    if known is not None:
-                        first = first[known[first] & known[first + 1]]
-                    k, chk = r.prints(first, size, own)
-                    held.append((k & mask, chk & mask, np.ones(len(k), np.int64), at[r.text[first]]))
-                    n += len(k)
+                    held.append((mix(own).view(np.int64), np.zeros(len(part), np.int32), count.astype(np.int32), at))
+                else:
+                    less = r.inside(size - 1)
+                    table_, slot = np.frombuffer(bits[0].value, np.uint8), _bit(r.prints(less, size - 1, own)[0] & mask, bits[1])
+                    known = np.zeros(len(r.at) + 1, bool)
+                    known[less] = table_[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+                    first = first[known[first] & known[first + 1]]
+                k, chk = r.prints(first, size, own)
+                held.append((k & mask, chk & mask, np.ones(len(k), np.int32), at[r.text[first]]))
+                n += len(k) + len(part)
                 if n >= BLOCK:
-                    yield _as_batch(held)
-                    held, n = [], 0
-        if held:
-            yield _as_batch(held)
+                    yield from _as_batches(held)
+                    n = 0
+        yield from _as_batches(held)
 
-    return rows.mapInArrow(run, _ROW)
+    return rows.select("lang", "text", "d").mapInArrow(run, _ROW)
 
 
-def _as_batch(held: list[tuple]) -> pa.RecordBatch:
-    k, chk, c, d = added_up(*(np.concatenate(x) for x in zip(*held)))
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(chk), pa.array(c.astype(np.int32)), pa.array(d)], names=["k", "chk", "c", "d"])
+def _as_batches(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if held:
+        cols = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        cols = added_up(*cols)
+        for s in range(0, len(cols[0]), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + BATCH]) for c in cols], names=["k", "chk", "c", "d"])
 
 
 def _frequent(counted: DataFrame, least: int, name: str) -> DataFrame:
-    """k, chk, a, low, high (pointers) of fingerprints with ``least`` occurrences or more."""
-    whole = counted.groupBy("k", "chk").agg(F.sum("c").alias("a"), F.min("d").alias("low"), F.max("d").alias("high"))
+    """k, chk, a, low, high (pointers) of fingerprints with ``least`` occurrences or more.
+
+    A fingerprint has a row a block of a task, whatever its count, so rows are dealt before they are aggregated.
+    """
+    whole = counted.repartition("k").groupBy("k", "chk").agg(F.sum("c").alias("a"), F.min("d").alias("low"), F.max("d").alias("high"))
     return stored(whole.filter(F.col("a") >= least), name)
 
 
@@ -201,8 +207,9 @@ def _bits(frequent: DataFrame) -> tuple[bytes, int]:
 def _looked_up(rows: DataFrame, frequent: DataFrame, sizes: tuple[int, ...], mask: int) -> DataFrame:
     """k, chk, lang, n, phrase of the frequent fingerprints, from the texts of their two pointers; n is 0 for a language."""
     asked = frequent.select("k", "chk", F.explode(F.array_distinct(F.array("low", "high"))).alias("d"))
-    asked = asked.groupBy("d").agg(F.collect_list("k").alias("ks"), F.collect_list("chk").alias("chks"))  # a text's own runs at most
-    rows = rows.join(asked, "d").dropDuplicates(["d"]).select("lang", "text", "ks", "chks")
+    asked = asked.groupBy("d").agg(F.collect_list("k").alias("ks"), F.collect_list("chk").alias("chks"))  # at most the runs of the texts of d
+    asked = rows.select("h", "d").distinct().join(asked, "d").select("h", "ks", "chks")
+    rows = rows.select("h", "lang", "text").dropDuplicates(["h"]).join(asked, "h").select("lang", "text", "ks", "chks")  # equal texts once, before they move
 
     def run(batches):
         for b in batches:
@@ -265,12 +272,18 @@ def frequent_phrases(documents: DataFrame, least: int = 10, mask: int = -1) -> D
     """
     spark = prepare(documents.sparkSession)
     rows = _texts(documents)
-    short = _frequent(_counted(rows, (1, 2), mask=mask), least, "short")
-    release(spark)
-    content, size = _bits(short)
-    held = spark.sparkContext.broadcast(content)
-    long = _frequent(_counted(rows, (3,), (held, size), mask), least, "long")
-    frequent = short.unionByName(long)
+    levels, held = [], None
+    for size in (1, 2, 3):
+        bits = None
+        if levels:
+            content, n = _bits(levels[-1])
+            held = spark.sparkContext.broadcast(content)
+            bits = (held, n)
+        levels.append(_frequent(_counted(rows, size, bits, mask), least, f"runs-{size}"))
+        if held is not None:
+            held.unpersist()
+        release(spark)
+    frequent = levels[0].unionByName(levels[1]).unionByName(levels[2])
     found = stored(_looked_up(rows, frequent, (1, 2, 3), mask), "phrases")
     release(spark)
     names = found.groupBy("k", "chk").agg(F.count("*").alias("names"))
@@ -280,9 +293,8 @@ def frequent_phrases(documents: DataFrame, least: int = 10, mask: int = -1) -> D
     if doubtful.limit(1).count():
         out = out.unionByName(_anew(rows, doubtful, (1, 2, 3), mask, least))
     out = stored(out, "counts")
-    for done in (short, long, found, doubtful):
+    for done in (*levels, found, doubtful):
         discard(done)
-    held.unpersist()
     return out
 
 

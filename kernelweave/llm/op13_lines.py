@@ -33,13 +33,13 @@ HOT = 100_000
 
 
 def _keyed(documents: DataFrame, key: str) -> DataFrame:
-    """_k, _t: what names a text among the rows of all ids."""
-    return documents.withColumns({"_k": F.col(key), "_t": F.xxhash64("text")})
+    """_op13_k, _op13_t: what names a text among the rows of all ids."""
+    return documents.withColumns({"_op13_k": F.col(key), "_op13_t": F.xxhash64("text")})
 
 
 def explode_lines(documents: DataFrame, key: str = "doc_id", min_chars: int = 20) -> DataFrame:
     """_k, _t, h (hash of a key), at (positions) of each key of ``min_chars`` code points or more of each text."""
-    rows = _keyed(documents, key).select("_k", "_t", "text")
+    rows = _keyed(documents, key).select(F.col("_op13_k").alias("_k"), F.col("_op13_t").alias("_t"), "text")
 
     def run(batches):
         for b in batches:
@@ -86,8 +86,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_documents: int =
     rows = documents.drop("n_lines", "n_dropped")
     lines = stored(explode_lines(rows, key, min_chars).dropDuplicates(["_k", "_t", "h"]), "lines")  # repeated rows once
     gone = dropped_places(lines, stored(frequent_lines(lines, min_documents), "frequent"))
-    g = gone.select(F.col("_k").alias("_gk"), F.col("_t").alias("_gt"), "places")
-    both = _keyed(rows, key).join(g, F.col("_k").eqNullSafe(F.col("_gk")) & (F.col("_t") == F.col("_gt")), "left").select(*rows.columns, "places")
+    g = gone.select(F.col("_k").alias("_op13_gk"), F.col("_t").alias("_op13_gt"), F.col("places").alias("_op13_places"))
+    both = _keyed(rows, key).join(g, F.col("_op13_k").eqNullSafe(F.col("_op13_gk")) & (F.col("_op13_t") == F.col("_op13_gt")), "left").select(*rows.columns, "_op13_places")
     at, n = rows.columns.index("text"), len(rows.columns)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
