@@ -84,6 +84,26 @@ def prefix_sum(df: DataFrame, order: str, value: str, name: str = "before", bloc
     return rows.withColumn("_o", own).join(before, "_k").withColumn(name, F.col("_b") + F.col("_o")).drop("_k", "_o", "_b")
 
 
+def assign_ranges(points: DataFrame, starts: DataFrame, at: str, name: str, keys: tuple[str, ...] = (), block: int = 1 << 16) -> DataFrame:
+    """Rows of ``points`` with the ``name`` of the last of ``starts`` (at, name) that isn't behind them, else null.
+
+    Both are one sorted stream, cut into blocks of ``block`` values of the whole number ``at``. Within a block a window
+    carries the last start forward; what a block begins with is the last start of the blocks before, found over one row a
+    block. A range of any length is spread over blocks, and nothing is made for places that hold no point. Of starts at
+    one place the largest ``name`` counts. ``keys`` keep streams apart. A null ``at`` gets null; null names are no starts.
+    """
+    k, g = F.floor(F.col(at) / block).alias("k"), [f"g{i}" for i in range(len(keys))]
+    named = [F.col(c).alias(x) for c, x in zip(keys, g)]
+    own = starts.filter(F.col(at).isNotNull() & F.col(name).isNotNull()).select(*named, F.col(at).alias("a"), F.col(name).alias("s"), k, F.lit(0).alias("p"))
+    rows = points.drop(name).select(*named, F.col(at).alias("a"), k, F.lit(1).alias("p"), F.struct("*").alias("row"))
+    both = rows.unionByName(own, allowMissingColumns=True)
+    inside = F.last("s", ignorenulls=True).over(Window.partitionBy(*g, "k").orderBy("a", "p", "s").rowsBetween(Window.unboundedPreceding, 0))
+    last = both.groupBy(*g, "k").agg(F.max(F.when(F.col("p") == 0, F.struct("a", "s")))["s"].alias("l"))  # a row a block that holds any
+    before = last.withColumn("b", F.last("l", ignorenulls=True).over(Window.partitionBy(*(g or [F.lit(0)])).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = both.withColumn("i", inside).filter("p = 1").alias("x").join(before.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*g, "k")], "left")
+    return joined.select("x.row.*", F.when(F.col("x.a").isNotNull(), F.coalesce("x.i", "y.b")).alias(name))
+
+
 def first_seen_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """Codes 0, 1, ... of the values of a column in order of first appearance (one row a value)."""
     first = df.groupBy(column).agg(F.min(order).alias("first"), F.count("*").alias("n"))

@@ -1,7 +1,7 @@
 """Readers of matrices, graphs, points, models and records; each returns a DataFrame with a fixed schema.
 
 Text formats go through Spark's text reader; line numbers come from (file, block, order in the block), never from one
-task. Binary formats go through ``binaryFile`` and a vectorised map.
+task. Binary formats are read by byte ranges (``sources/ranges``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kernelweave.operators import stats
-from kernelweave.session import prepare
+from kernelweave.session import prepare, stored
+from kernelweave.sources import ranges
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,17 +60,18 @@ def adjacency(spark: SparkSession, path: str) -> DataFrame:
 def csr_graph(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of ``n e``, n row pointers and e column ids in one file of numbers (row pointers may also number n + 1).
 
-    A column id at place k belongs to the row whose pointers enclose k: a window carries the last row start forward.
+    A column id at place k belongs to the row whose pointers enclose k: the last row start is carried forward through
+    blocks of places, so a row of any length is rows of a table and never an array. No numbers give no edges.
     """
     tokens = lines(spark, path).select("line", F.posexplode(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")).alias("c", "t"))
     before = stats.prefix_sum(tokens.groupBy("line").agg(F.count("*").alias("m")), "line", "m", "b").select("line", "b")
-    at = tokens.join(before, "line").select((F.col("b") + F.col("c")).alias("k"), F.col("t").cast("long").alias("x"))
-    head = F.broadcast(at.filter("k < 2").agg(F.max(F.when(F.col("k") == 0, F.col("x"))).alias("n"), F.max(F.when(F.col("k") == 1, F.col("x"))).alias("e"), ).crossJoin(at.agg(F.count("*").alias("all"))))
-    body = at.crossJoin(head).filter("k >= 2").withColumn("p", F.col("all") - F.col("e"))
-    starts = body.filter((F.col("k") < F.col("p")) & (F.col("k") < F.col("n") + 2)).select((F.col("k") - 2).alias("row"), F.col("x").alias("start"))
-    ends = starts.join(starts.select((F.col("row") - 1).alias("row"), F.col("start").alias("stop")), "row", "left").join(F.broadcast(head.select("e"))).select("row", "start", F.coalesce("stop", "e").alias("stop"))
-    places = ends.filter("stop > start").select("row", F.explode(F.sequence("start", F.col("stop") - 1)).alias("k"))
-    return places.join(body.select((F.col("k") - F.col("p")).alias("k"), "x"), "k").select(F.col("row").alias("src"), F.col("x").alias("dst"))
+    at = stored(tokens.join(before, "line").select((F.col("b") + F.col("c")).alias("k"), F.col("t").cast("long").alias("x")), "numbers")
+    n, e, total = at.agg(F.max(F.when(F.col("k") == 0, F.col("x"))), F.max(F.when(F.col("k") == 1, F.col("x"))), F.count("*")).first()
+    if not n or not e:
+        return spark.createDataFrame([], "src long, dst long")
+    starts = at.filter((F.col("k") >= 2) & (F.col("k") < n + 2)).select((F.col("k") - 2).alias("src"), F.col("x").alias("k"))
+    ids = at.filter(F.col("k") >= total - e).select((F.col("k") - (total - e)).alias("k"), F.col("x").alias("dst"))
+    return stats.assign_ranges(ids, starts, "k", "src").filter("src IS NOT NULL").select("src", "dst")
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
@@ -105,19 +107,34 @@ def points_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("line").alias("id"), F.transform(F.slice("p", F.lit(2), F.size("p")), lambda t: t.cast("float").cast("double")).alias("coords"))
 
 
-def points_binary(spark: SparkSession, path: str) -> DataFrame:
-    """id, coords of int32 n, int32 d and n * d float32; a file is one row of the reader, up to 2 GB."""
+def points_binary(spark: SparkSession, path: str, **options) -> DataFrame:
+    """id, coords of int32 n, int32 d and n * d float32: by byte ranges, ids run through all files in path order."""
+    return _binary(spark, path, "points", options)
+
+
+def _binary(spark: SparkSession, path: str, kind: str, options: dict) -> DataFrame:
+    """By byte ranges where Arrow opens the path; from a store that only Spark reads, a file is one row of 2 GB at most."""
+    if ranges.readable(path):
+        return ranges.read_records(spark, path, kind, **options)
     prepare(spark)
+    raw = spark.read.format("binaryFile").load(path)
+    first = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+
+    def counts(parts):
+        for p in parts:
+            n = [ranges._layout(kind, data[:16], len(data), options).count for data in p["content"]]
+            yield pd.DataFrame({"path": p["path"], "n": n})
+
+    sizes = raw.select("path", "content").mapInPandas(counts, "path string, n long")  # a row a file
+    numbered = sizes.select("path", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("number"))
 
     def run(parts):
         for p in parts:
-            for data in p["content"]:
-                n, d = np.frombuffer(data[:8], "<i4")
-                x = np.frombuffer(data[8 : 8 + 4 * n * d], "<f4").reshape(n, d).astype(float)
-                for s in range(0, n, 4096):
-                    yield pd.DataFrame({"id": np.arange(s, min(s + 4096, n)), "coords": list(x[s : s + 4096])})
+            for data, number in zip(p["content"], p["number"]):
+                own = ranges._layout(kind, data[:16], len(data), options)
+                yield ranges._batch(kind, data[own.offset : own.offset + own.size * own.count], number, own, options).to_pandas()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id long, coords array<double>")
+    return raw.join(F.broadcast(numbered), "path").select("content", "number").mapInPandas(run, ranges.SCHEMAS[kind])
 
 
 def labelled_table(spark: SparkSession, path: str) -> DataFrame:
@@ -187,47 +204,19 @@ def lstm_weights(spark: SparkSession, path: str, inputs: int = 25, cells: int =
     return own, x[n:].reshape(-1, 1 + 2 * cells)
 
 
-def records(spark: SparkSession, path: str, height: int = 32, width: int = 32, depth: int = 3) -> DataFrame:
-    """label, pixels (height, width, depth order) of records of one label byte and depth * height * width bytes."""
-    prepare(spark)
-    size = 1 + height * width * depth
-
-    def run(parts):
-        for p in parts:
-            for data in p["content"]:
-                x = np.frombuffer(data, np.uint8)[: len(data) // size * size].reshape(-1, size)
-                px = x[:, 1:].reshape(-1, depth, height, width).transpose(0, 2, 3, 1).reshape(len(x), -1).astype(float)
-                yield pd.DataFrame({"label": x[:, 0].astype(np.int32), "pixels": list(px)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "label int, pixels array<double>")
+def records(spark: SparkSession, path: str, height: int = 32, width: int = 32, depth: int = 3, **options) -> DataFrame:
+    """id, label, pixels (height, width, depth order) of records of one label byte and depth * height * width bytes."""
+    return _binary(spark, path, "records", {"height": height, "width": width, "depth": depth, **options})
 
 
-def floats(spark: SparkSession, path: str, width: int) -> DataFrame:
+def floats(spark: SparkSession, path: str, width: int, **options) -> DataFrame:
     """row, v: raw float32 values as rows of ``width``."""
-    prepare(spark)
-
-    def run(parts):
-        for p in parts:
-            for data in p["content"]:
-                x = np.frombuffer(data, "<f4")[: len(data) // 4 // width * width].reshape(-1, width).astype(float)
-                yield pd.DataFrame({"row": np.arange(len(x)), "v": list(x)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, v array<double>")
+    return _binary(spark, path, "floats", {"width": width, **options})
 
 
-def idx_images(spark: SparkSession, path: str, pad: int = 2) -> DataFrame:
+def idx_images(spark: SparkSession, path: str, pad: int = 2, **options) -> DataFrame:
     """img, pixels of an idx3 file: values on -1..1, ``pad`` pixels of -1 around."""
-    prepare(spark)
-
-    def run(parts):
-        for p in parts:
-            for data in p["content"]:
-                n, h, w = np.frombuffer(data[4:16], ">i4")
-                x = np.frombuffer(data[16 : 16 + n * h * w], np.uint8).reshape(n, h, w) / 127.5 - 1
-                x = np.pad(x, ((0, 0), (pad, pad), (pad, pad)), constant_values=-1.0)
-                yield pd.DataFrame({"img": np.arange(n), "pixels": list(x.reshape(n, -1))})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "img long, pixels array<double>")
+    return _binary(spark, path, "idx", {"pad": pad, **options})
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:
