@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,27 +63,75 @@ def int_power(x: Column, n: int) -> Column:
     return out
 
 
+class HuffmanTable:
+    """A code as a finite-state machine over bytes: state and byte give the symbols that end there and the next state.
+
+    States are the inner nodes of the code's tree (the root is 0); bits come from the lowest of a byte. Where one code
+    begins another the shorter one is read. A bit that no code has leads to state ``dead``, in which nothing is read.
+    """
+
+    def __init__(self, codes: dict[str, int]):
+        inner: list[dict[str, int]] = [{}]  # node -> bit -> node
+        leaf: dict[tuple[int, str], int] = {}
+        for bits in sorted(filter(None, codes), key=len):
+            at = 0
+            for bit in bits[:-1]:
+                if (at, bit) in leaf:
+                    break  # a shorter code is read first
+                if bit not in inner[at]:
+                    inner.append({})
+                    inner[at][bit] = len(inner) - 1
+                at = inner[at][bit]
+            else:
+                leaf.setdefault((at, bits[-1]), codes[bits])
+        self.dead = len(inner)
+        step = np.full((self.dead + 1, 2), self.dead, np.int32)
+        symbol = np.zeros((self.dead + 1, 2), np.int32)
+        ends = np.zeros((self.dead + 1, 2), bool)
+        for node, ahead in enumerate(inner):
+            for bit, target in ahead.items():
+                step[node, int(bit)] = target
+        for (node, bit), own in leaf.items():
+            step[node, int(bit)], symbol[node, int(bit)], ends[node, int(bit)] = 0, own, True
+        # eight steps at once for every state and byte
+        state = np.repeat(np.arange(self.dead + 1)[:, None], 256, 1)
+        byte = np.arange(256)[None, :].repeat(self.dead + 1, 0)
+        count = np.zeros(state.shape, np.int8)
+        symbols = np.zeros((*state.shape, 8), np.int32)
+        rows, cols = np.indices(state.shape)
+        for k in range(8):
+            bit = byte >> k & 1
+            found = ends[state, bit]
+            at = rows[found], cols[found]
+            symbols[(*at, count[at])] = symbol[state, bit][found]
+            count += found
+            state = step[state, bit]
+        self.table = [[(tuple(symbols[s, b, : count[s, b]].tolist()), int(state[s, b])) for b in range(256)] for s in range(self.dead + 1)]
+
+    def decode(self, data: bytes, limit: int) -> list[int]:
+        """At most ``limit`` symbols: one look at the table a byte, which is faster than steps over many rows at once."""
+        out: list[int] = []
+        own = self.table[0]
+        for byte in data:
+            symbols, ahead = own[byte]
+            out += symbols
+            if len(out) >= limit or ahead == self.dead:
+                break
+            own = self.table[ahead]
+        return out[:limit]
+
+
 def huffman_decode(packed: DataFrame, codes: dict[str, int], column: str = "bits", n: str = "n") -> DataFrame:
     """``values`` ARRAY<INT> of rows with packed bytes (bits from the lowest of each byte) and how many symbols to read.
 
-    ``codes`` maps bit strings to symbols (the code table, bounded). A vectorised map; rows are independent.
+    ``codes`` maps bit strings to symbols (the code table, bounded). A finite-state machine takes a byte a step. Null bytes or a null number give an empty array; bits that no code has end a row.
     """
     prepare(packed.sparkSession)
-    longest = max(map(len, codes), default=0)
+    machine = HuffmanTable(codes)
 
     def run(batches):
         for b in batches:
-            out = []
-            for data, count in zip(b[column], b[n]):
-                bits = "".join(format(x, "08b")[::-1] for x in (data or b""))
-                at, own = 0, []
-                while len(own) < (count or 0) and at < len(bits):
-                    size = next((k for k in range(1, longest + 1) if bits[at : at + k] in codes), None)
-                    if size is None:
-                        break
-                    own.append(codes[bits[at : at + size]])
-                    at += size
-                out.append(own)
-            yield b.assign(values=out)
-
-    return packed.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema) + ", values array<int>")
+            limits = [0 if pd.isna(v) else max(0, int(v)) for v in b[n]]
+            yield b.assign(values=[machine.decode(x or b"", k) for x, k in zip(b[column], limits)])
+
+    return packed.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema) + ", values array<int>")

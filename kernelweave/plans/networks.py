@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,14 +138,10 @@ def text_of(decoded: DataFrame, alphabet: DataFrame) -> DataFrame:
 def vocabulary(words: DataFrame) -> DataFrame:
     """word, n, word_id: ids from 0 by count, most frequent first, then by word.
 
-    The rank is a sum of two: words of larger counts (a prefix sum over the distinct counts, of which there are few) and
-    the place among words of the same count. So no task orders the whole vocabulary.
+    Numbered by a sort over all tasks, so words of one count, often half of all, are no task's alone. Null is a word.
     """
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    by_n = counts.groupBy("n").agg(F.count("*").alias("m"))
-    before = by_n.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "before")
-    place = F.row_number().over(Window.partitionBy("n").orderBy("word")) - 1
-    return counts.withColumn("place", place).join(before, "n").select("word", "n", (F.col("before") + F.col("place")).cast("long").alias("word_id"))
+    return stats.numbered(counts, F.desc("n"), "word", name="word_id")
 
 
 def batches(stream: DataFrame, size: int, steps: int) -> DataFrame:
@@ -158,5 +155,57 @@ def batches(stream: DataFrame, size: int, steps: int) -> DataFrame:
     return both.select(F.expr(f"c div {steps}").alias("batch"), "row", (F.col("c") % steps).alias("step"), "x", "y")
 
 
+def lstm_losses(windows: DataFrame, embedding: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], softmax: np.ndarray, bias: np.ndarray, forget_bias: float = 0.0) -> DataFrame:
+    """batch, row, step, y, loss (minus the log of the probability of y) of windows (batch, row, step, x, y) as ``batches``
+    makes them, by a stack of LSTM layers whose state goes on from one window of a row to the next.
+
+    A layer is (kernel, bias): the kernel is (inputs + cells, 4 cells) with gates in the order input, new value, forget,
+    output. Rows are dealt over tasks; a task takes all its rows through a step together and holds their states, two
+    vectors a layer and row, and nothing of the past. The model is broadcast: its size is that of its vocabulary. An x
+    that is null or no word is a vector of zeros; such a y has a null loss. A row begins with a state of zeros.
+    """
+    spark = prepare(windows.sparkSession)
+    held = spark.sparkContext.broadcast((embedding, layers, softmax, bias))
+
+    def run(chunks):
+        embedding, layers, softmax, bias = held.value
+        cells = [len(b) // 4 for _, b in layers]
+        index: dict = {}
+        h, c = ([np.zeros((0, n)) for n in cells] for _ in range(2))
+        for chunk in chunks:
+            batch, row, step, x, y = (chunk.column(k) for k in range(5))
+            x, y = (v.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for v in (x, y))
+            at = np.array([index.setdefault(r, len(index)) for r in row.to_pylist()], np.int64)
+            if len(index) > len(h[0]):
+                for s in (h, c):
+                    for k, n in enumerate(cells):
+                        s[k] = np.vstack((s[k], np.zeros((max(len(index), 2 * len(s[k])) - len(s[k]), n))))
+            key = np.stack((batch.to_numpy(), step.to_numpy()))
+            cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(x)])) if len(x) else np.zeros(1, int)
+            loss = np.full(len(x), np.nan)
+            for s, e in zip(cut, cut[1:]):  # the rows of one step
+                own, word, want = at[s:e], x[s:e], y[s:e]
+                known = (word >= 0) & (word < len(embedding))
+                v = np.where(known[:, None], embedding[np.where(known, word, 0)], 0.0)
+                for k, (kernel, b) in enumerate(layers):
+                    i, j, f, o = np.split(np.hstack((v, h[k][own])) @ kernel + b, 4, 1)
+                    c[k][own] = c[k][own] * _sigmoid(f + forget_bias) + _sigmoid(i) * np.tanh(j)
+                    h[k][own] = v = np.tanh(c[k][own]) * _sigmoid(o)
+                for p in range(0, e - s, 256):  # logits of some rows at a time
+                    z, t = v[p : p + 256] @ softmax + bias, want[p : p + 256]
+                    top = z.max(1)
+                    good = (t >= 0) & (t < z.shape[1])
+                    value = top + np.log(np.exp(z - top[:, None]).sum(1)) - z[np.arange(len(t)), np.where(good, t, 0)]
+                    loss[s + p : s + p + len(t)] = np.where(good, value, np.nan)
+            yield pa.RecordBatch.from_arrays([batch, row, step, chunk.column(4), pa.array(loss, from_pandas=True)], names=["batch", "row", "step", "y", "loss"])
+
+    cols = [F.col(k).cast("long").alias(k) for k in ("batch", "row", "step", "x", "y")]
+    return windows.select(*cols).repartition("row").sortWithinPartitions("batch", "step", "row").mapInArrow(run, "batch long, row long, step long, y long, loss double")
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 def perplexity(losses: DataFrame, cost: str, steps: str) -> DataFrame:
     return losses.agg(F.exp(F.sum(cost) / F.sum(steps)).alias("perplexity"))

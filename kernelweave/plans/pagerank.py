@@ -25,7 +25,8 @@ def pagerank(
     Each step is written to the shared folder: a step reads the last ranks several times, so without the cut the plan
     would grow as a power of the steps. The step before the last one is deleted. Stops after ``iterations``, or else when the change is at most ``eps``, measured
     by ``norm``. ``redistribute_leak`` gives what the ranks lost to rounding
-    back to all nodes in equal parts and renormalises, as the 16-bit forms do; ``codec`` rounds ranks to such a form:
+    back to all nodes in equal parts and renormalises, as the 16-bit forms do, their sums being exact whatever the order;
+    ``codec`` rounds ranks to such a form:
     'half', 'e6m10', 'single', or 'e3m13', where ranks are held as codes and a table of exceptions that are joined.
     """
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
@@ -45,7 +46,11 @@ def pagerank(
         new = new.select("i", "loose", (damping * (F.coalesce("v", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("v"))
         if redistribute_leak:
             new = stored(new, "rank")
-            total = F.broadcast(new.agg(F.sum("v").alias("s"), F.count("*").alias("c")))
+            if codec:  # the leak is the small rest of a large sum
+                exact = linalg.exact_sum(new).select(F.col("v").alias("s"))
+                total = F.broadcast(exact.crossJoin(n.select(F.col("n").alias("c"))))  # one row each
+            else:
+                total = F.broadcast(new.agg(F.sum("v").alias("s"), F.count("*").alias("c")))
             new = new.crossJoin(total).select("i", "loose", (F.col("v") + (1 - F.col("s")) / F.col("c")).alias("v"))
             # every rank got the same part, so the new total is known without another pass
             spread = F.broadcast(total.select((F.col("s") + (1 - F.col("s"))).alias("t")))

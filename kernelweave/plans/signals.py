@@ -52,6 +52,64 @@ def components(points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, vector * np.where(sign == 0, 1, sign)
 
 
+def factor(points: DataFrame, fan: int = 16) -> np.ndarray:
+    """Upper triangular R of (1, coords) over all points: Q isn't needed, and R'R is the matrix of products.
+
+    Each task takes Householder steps over its batches and sends one R; ``fan`` of these are stacked and factored again,
+    level by level, so no group holds more than ``fan`` triangles, and at most ``fan`` of them come to the driver. Nothing
+    is squared on the way: small singular values keep their digits. Null coords are left out; no points give a matrix of
+    no columns.
+    """
+    from pyspark import TaskContext
+
+    spark = prepare(points.sparkSession)
+
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        return np.linalg.qr(np.vstack(parts), mode="r")
+
+    def run(batches):
+        r = None
+        for b in batches:
+            rows = [v for v in b["coords"] if v is not None]
+            if rows:
+                x = np.stack(rows).astype(float)
+                x = np.hstack((np.ones((len(x), 1)), x))
+                r = merged([x] if r is None else [r, x])
+        if r is not None:
+            yield pd.DataFrame({"t": [TaskContext.get().partitionId()], "d": [r.shape[1]], "r": [r.tobytes()]})
+
+    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = merged([np.frombuffer(x).reshape(-1, d) for x, d in zip(pdf.r, pdf.d)])
+        return pd.DataFrame({"t": [pdf.t.iloc[0] // fan], "d": [r.shape[1]], "r": [r.tobytes()]})
+
+    kind, tasks = "t long, d int, r binary", points.rdd.getNumPartitions()
+    parts = points.select("coords").mapInPandas(run, kind)
+    while tasks > fan:
+        parts, tasks = parts.groupBy(F.floor(F.col("t") / fan)).applyInPandas(stack, kind), -(-tasks // fan)
+    last = [np.frombuffer(x["r"]).reshape(-1, x["d"]) for x in parts.collect()]
+    return merged(last) if last else np.zeros((1, 1))
+
+
+def components_qr(points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(variances, loadings in columns, mean) as ``components`` has them, from R: the part of R behind its first row and
+    column is the triangle of the centred points, and its singular values are the roots of the variances."""
+    r = factor(points)
+    if r.shape[1] < 2:
+        return np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    _, s, v = np.linalg.svd(r[1:, 1:] if len(r) > 1 else np.zeros((1, r.shape[1] - 1)))
+    value = np.zeros(r.shape[1] - 1)
+    value[: len(s)] = s * s
+    value, vector = value[::-1][-k:], v.T[:, ::-1][:, -k:]
+    sign = np.sign(vector[np.abs(vector).argmax(0), np.arange(vector.shape[1])])
+    return value, vector * np.where(sign == 0, 1, sign), r[0, 1:] / r[0, 0]
+
+
+def pca_qr(points: DataFrame, k: int) -> DataFrame:
+    """id, coords on the k largest components, found without squaring the points; one pass finds mean and loadings."""
+    _, loadings, mean = components_qr(points, k)
+    return project(points, loadings, list(map(float, mean)))
+
+
 def project(points: DataFrame, loadings: np.ndarray, mean: list[float] | None = None) -> DataFrame:
     """id, coords: the points on the given loadings, one dot product of arrays each."""
     mean = mean or [r["m"] for r in points.select(F.posexplode("coords").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()]
@@ -166,9 +224,46 @@ def windows_of(series: DataFrame, size: int, drop_short: bool = True) -> DataFra
 
 
 def nodes(n: int) -> list[tuple[float, float]]:
-    """Gauss-Legendre nodes and weights on [-1, 1]."""
-    x, w = np.polynomial.legendre.leggauss(n)
-    return list(zip(map(float, x), map(float, w)))
+    """Gauss-Legendre nodes and weights on [-1, 1], ascending: Newton steps on all roots of P_n at once.
+
+    The first guess is Tricomi's; P_n and its derivative come from the three-term recurrence. Roots are made symmetric.
+    """
+    x = np.cos(np.pi * (np.arange(n, 0, -1) - 0.25) / (n + 0.5)) * (1 - (1 - 1 / n) / (8 * n * n))
+    for _ in range(100):
+        before, p = np.ones(n), x.copy()
+        for k in range(2, n + 1):
+            before, p = p, ((2 * k - 1) * x * p - (k - 1) * before) / k
+        slope = n * (before - x * p) / (1 - x * x)
+        step = p / slope
+        x = x - step
+        if np.abs(step).max() < 1e-15:
+            break
+    x, w = (x - x[::-1]) / 2, 2 / ((1 - x * x) * slope * slope)
+    return list(zip(map(float, x), map(float, (w + w[::-1]) / 2)))
+
+
+def legendre_rules(orders: DataFrame, steps: int = 6) -> DataFrame:
+    """n, k, x, w: the nodes (ascending from k = 0) and weights of each order n of a table, all in columns.
+
+    A row a node; Newton steps and the recurrence are folds, so the table of orders can have any number of rows. Null
+    orders and those below 1 give nothing.
+    """
+    each = orders.select(F.col("n").cast("int").alias("n")).filter("n >= 1").distinct().select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    n = F.col("n").cast("double")
+    guess = F.cos(np.pi * (n - F.col("k") - 0.25) / (n + 0.5)) * (1 - (1 - 1 / n) / (8 * n * n))
+
+    def values(x: Column) -> Column:
+        """p and slope of P_n at x."""
+        first = F.struct(F.lit(1.0).alias("b"), x.alias("p"))
+        degrees = F.when(F.col("n") >= 2, F.sequence(F.lit(2), F.col("n"))).otherwise(F.array().cast("array<int>"))
+        both = F.aggregate(degrees, first, lambda s, k: F.struct(s["p"].alias("b"), (((2 * k - 1) * x * s["p"] - (k - 1) * s["b"]) / k).alias("p")))
+        return F.aggregate(F.array(both), F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d")), lambda s, v: F.struct(v["p"].alias("p"), (n * (v["b"] - x * v["p"]) / (1 - x * x)).alias("d")))
+
+    def newton(x: Column) -> Column:
+        return F.aggregate(F.array(values(x)), x, lambda s, v: s - v["p"] / v["d"])
+
+    root = each.withColumn("x", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), guess, lambda x, _: newton(x)))
+    return root.withColumn("d", values(F.col("x"))["d"]).select("n", "k", "x", (2 / ((1 - F.col("x") * F.col("x")) * F.col("d") * F.col("d"))).alias("w"))
 
 
 def integrate(intervals: DataFrame, f: Callable[[Column], Column], n: int = 20) -> Column:

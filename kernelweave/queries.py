@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kernelweave.functions import precision, scalar
 from kernelweave.operators import linalg, stats
-from kernelweave.plans import networks, pagerank as pr, points as pts, results, signals, solvers, svm
+from kernelweave.plans import grids, networks, pagerank as pr, points as pts, results, signals, solvers, svm
 from kernelweave.session import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +171,26 @@ def sparse_rbf(spark, d):
     return linalg.sparse_rbf(of("A"), of("R"), 1e-8).select(rnd("k", 8).alias("k"))
 
 
+@query("""SELECT l_returnflag, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total,
+round(CAST(sum(CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice ELSE -l_extendedprice END AS DECIMAL(18, 2))) AS DOUBLE), 2) AS signed FROM lineitem GROUP BY l_returnflag""")
+def exact_totals(spark, d):
+    """Sums that don't depend on order; the signed one goes through values that cancel at a size of 1e16."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    total = linalg.exact_sum(l, "l_extendedprice", ("l_returnflag",)).withColumnRenamed("l_extendedprice", "total")
+    terms = l.select("l_returnflag", F.explode(F.array(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice")), F.col("l_orderkey") * 1e10, F.col("l_orderkey") * -1e10)).alias("v"))
+    signed = linalg.exact_sum(terms, "v", ("l_returnflag",)).withColumnRenamed("v", "signed")
+    return total.join(signed, "l_returnflag").select("l_returnflag", rnd("total", 2).alias("total"), rnd("signed", 2).alias("signed"))
+
+
+@query("""WITH s AS (SELECT CAST(floor(c_acctbal * 10) AS BIGINT) AS k, max(c_custkey) AS customer FROM customer GROUP BY 1), o AS (SELECT o_orderkey, CAST(floor(o_totalprice / 3) AS BIGINT) AS k FROM orders)
+SELECT o_orderkey, customer FROM o ASOF LEFT JOIN s ON o.k >= s.k""")
+def range_assignment(spark, d):
+    """Each order's place among the starts that customers give, carried forward through blocks."""
+    starts = table(spark, d, "customer").select(F.floor(F.col("c_acctbal") * 10).alias("k"), F.col("c_custkey").alias("customer"))
+    points = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 3).alias("k"))
+    return stats.assign_ranges(points, starts, "k", "customer", block=1 << 12).select("o_orderkey", "customer")
+
+
 def graph_system(spark, d):
     e = table(spark, d, "lineitem").select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct()
     m = solvers.laplacian(e)
@@ -229,9 +249,30 @@ round(CASE WHEN i BETWEEN 1 AND 4 AND j BETWEEN 1 AND 4 AND k BETWEEN 1 AND 5 TH
 @query(_HEAT)
 def heat_3d(spark, d):
     g = stored(table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 6).alias("j"), (F.col("l_linenumber").cast("long") % 7).alias("k")).agg(F.avg("l_quantity").alias("v")), "grid")
-    forms = [solvers.heat_3d(g, (6, 6, 7), f, 2.0).withColumnRenamed("v", f) for f in ("naive", "blocked", "oblivious")]
-    both = forms[0].join(forms[1], ["i", "j", "k"]).join(forms[2], ["i", "j", "k"])
-    return both.select("i", "j", "k", *(rnd(f, 7).alias(f) for f in ("naive", "blocked", "oblivious")))
+    sums = solvers.neighbour_sums(g)
+    return sums.select("i", "j", "k", *(rnd(solvers.heat_value((6, 6, 7), f, 2.0), 7).alias(f) for f in ("naive", "blocked", "oblivious")))
+
+
+@query(_stencil_sql(5))
+def jacobi_tiled(spark, d):
+    """Five sweeps in tiles of five cells a side, three and two of them for a shuffle."""
+    g = grids.relax(grid_2d(spark, d), ["i", "j"], (18, 18), 5, edge=5, together=3)
+    return g.select("i", "j", rnd("v", 8).alias("v"))
+
+
+def _heat_sql(steps: int) -> str:
+    out = ["WITH g0 AS (SELECT l_partkey % 6 AS i, l_suppkey % 6 AS j, CAST(l_linenumber AS BIGINT) % 7 AS k, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)"]
+    for s in range(1, steps + 1):
+        inner = "a.i BETWEEN 1 AND 4 AND a.j BETWEEN 1 AND 4 AND a.k BETWEEN 1 AND 5"
+        out.append(f"g{s} AS (SELECT a.i, a.j, a.k, CASE WHEN {inner} THEN coalesce(sum(b.v), 0) / 6 - a.v / 4 ELSE a.v END AS v FROM g{s - 1} a LEFT JOIN g{s - 1} b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 GROUP BY a.i, a.j, a.k, a.v)")
+    return ", ".join(out) + f" SELECT i, j, k, round(v, 7) + 0 AS v FROM g{steps}"
+
+
+@query(_heat_sql(3))
+def heat_tiled(spark, d):
+    """Three steps of the 3-D form in tiles of four cells a side, with one shuffle."""
+    g = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 6).alias("i"), (F.col("l_suppkey") % 6).alias("j"), (F.col("l_linenumber").cast("long") % 7).alias("k")).agg(F.avg("l_quantity").alias("v"))
+    return grids.relax(g, ["i", "j", "k"], (6, 6, 7), 3, "naive", 2.0, edge=4, together=3).select("i", "j", "k", rnd("v", 7).alias("v"))
 
 
 # --- points --------------------------------------------------------------------------------------------------------
@@ -285,6 +326,13 @@ def pca_spectrum(spark, d):
     return each.agg(rnd(F.sum("w"), 4).alias("total"), rnd(F.sum(F.col("w") * F.col("w")), 3).alias("squares"))
 
 
+@query(SQL["pca_spectrum"])
+def pca_qr(spark, d):
+    """The same two invariants from the triangular factor: sums of the variances and of their squares."""
+    value, _, _ = signals.components_qr(embeddings(spark, d), 64)
+    return spark.createDataFrame([(float(v),) for v in value], "w double").agg(rnd(F.sum("w"), 4).alias("total"), rnd(F.sum(F.col("w") * F.col("w")), 3).alias("squares"))
+
+
 @query()
 def pca(spark, d):
     return signals.pca(embeddings(spark, d), 9)
@@ -321,6 +369,19 @@ def svm_classify(spark, d):
     return svm.predict_class(p, svm.train(p, c=10.0, gamma=0.5))
 
 
+@query("""SELECT kind, n, round(total * n, 6) AS total, true AS bounded FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM embeddings), (VALUES ('c_svc', 0.0), ('nu_svc', 0.0), ('one_class', 0.1), ('epsilon_svr', 0.0), ('nu_svr', 0.0)) k(kind, total)""")
+def svm_dual_sums(spark, d):
+    """What each kind's coefficients must keep: their sum, and that none is beyond its bound."""
+    p = stored(embeddings(spark, d), "points")
+    n, out = p.count(), []
+    for kind, bound, more in (("c_svc", 2.0, {"c": 2.0}), ("nu_svc", None, {"nu": 0.1}), ("one_class", 1.0, {"nu": 0.1}), ("epsilon_svr", 2.0, {"c": 2.0}), ("nu_svr", 2.0, {"c": 2.0, "nu": 0.2})):
+        m = svm.train(p, kind, **more)
+        top = F.lit(True) if bound is None else F.max(F.abs("coef")) <= bound + 1e-9
+        out.append(m.agg(rnd(F.sum("coef"), 6).alias("total"), top.alias("bounded")).select(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), "total", "bounded"))
+    return stats.union_all(out)
+
+
+
 @query("""WITH r AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
 SELECT id, label, CAST(least(r // greatest(n // 5, 1), 4) AS BIGINT) AS fold FROM r""")
 def folds(spark, d):
@@ -453,6 +514,52 @@ def perplexity(spark, d):
     return networks.perplexity(l, "cost", "steps").select(rnd("perplexity", 8).alias("perplexity"))
 
 
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _small_model() -> tuple:
+    """Embedding, two layers of two cells, softmax and its bias: numbers from a sine."""
+    w = np.round(np.sin(np.arange(1, 200)), 3)
+    take = iter(np.split(w, np.cumsum([10, 32, 8, 32, 8, 10, 5])))
+    e = next(take).reshape(5, 2)
+    layers = [(next(take).reshape(4, 8), next(take)) for _ in range(2)]
+    return e, layers, next(take).reshape(2, 5), next(take)
+
+
+def _lstm_sql() -> str:
+    e, layers, softmax, bias = _small_model()
+    num, sig = lambda x: f"CAST({float(x)!r} AS DOUBLE)", lambda x: f"(1 / (1 + exp(-({x}))))"
+    pick = lambda k: "CASE x " + " ".join(f"WHEN {i} THEN {num(e[i, k])}" for i in range(5)) + " END"
+    names = [f"{s}{k}{n}" for k in range(2) for s in "hc" for n in range(2)]
+    src = f"SELECT s.r, t.p, t.y, {', '.join(names)}, {', '.join(f'{pick(k)} AS v{k}' for k in range(2))} FROM s JOIN t ON t.r = s.r AND t.p = s.p + 1 WHERE t.y IS NOT NULL"
+    for k, (kernel, b) in enumerate(layers):
+        into = [f"v{2 * k}", f"v{2 * k + 1}", f"h{k}0", f"h{k}1"]
+        gate = lambda j: " + ".join([num(b[j]), *(f"{num(kernel[i, j])} * {into[i]}" for i in range(4))])
+        src = f"SELECT *, {', '.join(f'{gate(j)} AS g{j}' for j in range(8))} FROM ({src})"
+        src = f"SELECT * EXCLUDE (g0, g1, g2, g3, g4, g5), {', '.join(f'c{k}{n} * {sig(f'g{4 + n}')} + {sig(f'g{n}')} * tanh(g{2 + n}) AS d{k}{n}' for n in range(2))} FROM ({src})"
+        src = f"SELECT * EXCLUDE (g6, g7), {', '.join(f'tanh(d{k}{n}) * {sig(f'g{6 + n}')} AS v{2 * k + 2 + n}' for n in range(2))} FROM ({src})"
+    z = [" + ".join([num(bias[j]), *(f"{num(softmax[n, j])} * v{4 + n}" for n in range(2))]) for j in range(5)]
+    loss = "ln(" + " + ".join(f"exp({x})" for x in z) + ") - CASE y " + " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(z)) + " END"
+    state = "v2, v3, d00, d01, v4, v5, d10, d11"
+    code = "CASE c_mktsegment " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(_SEGMENTS)) + " END"
+    return (
+        f"WITH RECURSIVE t AS (SELECT r, p, x, lead(x) OVER (PARTITION BY r ORDER BY p) AS y FROM (SELECT CAST(c_nationkey AS BIGINT) AS r, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS p, {code} AS x FROM customer)), "
+        f"s(r, p, {', '.join(names)}, loss) AS (SELECT DISTINCT r, CAST(-1 AS BIGINT), {', '.join('CAST(0 AS DOUBLE)' for _ in names)}, CAST(0 AS DOUBLE) FROM t UNION ALL SELECT r, p, {state}, {loss} FROM ({src})) "
+        "SELECT r AS row, CAST(count(*) - 1 AS BIGINT) AS steps, round(sum(loss), 6) AS loss FROM s GROUP BY r"
+    )
+
+
+@query(_lstm_sql())
+def lstm_language_model(spark, d):
+    """Customers' segments as tokens, a nation a row, in windows of eight steps; two layers of two cells."""
+    code = F.array_position(F.array(*map(F.lit, _SEGMENTS)), F.col("c_mktsegment")) - 1
+    w = Window.partitionBy("row").orderBy("c_custkey")  # 25 rows of the batch
+    t = table(spark, d, "customer").select(F.col("c_nationkey").alias("row"), "c_custkey", F.when(code >= 0, code).alias("x"))
+    t = t.withColumn("p", F.row_number().over(w) - 1).withColumn("y", F.lead("x").over(w)).filter("y IS NOT NULL")
+    found = networks.lstm_losses(t.select(F.expr("p div 8").alias("batch"), "row", (F.col("p") % 8).alias("step"), "x", "y"), *_small_model())
+    return found.groupBy("row").agg(F.count("*").alias("steps"), rnd(F.sum("loss"), 6).alias("loss"))
+
+
 @query("""SELECT a.p_partkey, round(CAST(levenshtein(a.p_name, b.p_name) AS DOUBLE) / length(b.p_name), 8) AS error FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def edit_error(spark, d):
     p = table(spark, d, "part")
@@ -594,6 +701,16 @@ _UNITS = [[((u * 7 + k * 3) % 5 - 2) / 4 for k in range(18)] for u in range(3)]
 _ROWS = ", ".join(f"({u}, {k}, CAST({_UNITS[u][k]} AS DOUBLE))" for u in range(3) for k in range(18))
 
 
+@query("""SELECT n, 2.0 AS weights, CASE WHEN n > 1 THEN round(CAST(2 AS DOUBLE) / 3, 10) ELSE 0.0 END AS second, CASE WHEN n > 1 THEN round(CAST(2 AS DOUBLE) / (2 * n - 1), 10) ELSE 2.0 END AS highest FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS n FROM lineitem)""")
+def legendre_orders(spark, d):
+    """Rules of all orders that quantities name: the integrals of 1, x^2 and x^(2n-2), which they give exactly."""
+    rules = signals.legendre_rules(table(spark, d, "lineitem").select(F.col("l_quantity").alias("n")))
+    x, w = F.col("x"), F.col("w")
+    power = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.pow(F.abs(x), 2.0 * F.col("n") - 2))
+    return rules.groupBy(F.col("n").cast("long").alias("n")).agg(rnd(F.sum(w), 10).alias("weights"), rnd(F.sum(w * x * x), 10).alias("second"), rnd(F.sum(w * power), 10).alias("highest"))
+
+
+
 def images(spark, d) -> DataFrame:
     """The 64 numbers of an embedding as an 8 x 8 map."""
     p = table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("k", "v"))
