@@ -17,8 +17,7 @@ Counts of parts and of longer phrases are joined by the words themselves; scores
 
 Null lang: ``und``. Null and empty texts hold no words. A text counts as often as it has rows, with the same id or
 not. A language or a phrase in a third of all rows is counted in the tasks before anything is shuffled, and a language
-is no key of any grouping but the last, whose ranking keeps ``top`` rows of a partition before they meet. Extra columns
-play no part.
+is no key of any grouping but the last, which ranks the first ``top`` of 32 parts of it. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kernelweave.llm.text import chunks, column_bytes, mix, powers
@@ -36,6 +35,7 @@ from kernelweave.session import discard, prepare, release, stored, table
 
 BLOCK = 2_000_000  # runs that a task holds before it adds up equal ones
 BATCH = 1 << 17  # rows of a batch that it passes on
+PARTS = 32  # parts of a language that are ranked by themselves first
 MAX_BITS = 1 << 28  # bits of a table of frequent runs: 32 MB
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -314,10 +314,10 @@ def collocations(documents: DataFrame, least: int = 10, longer_share: int = 50,
     three = counts.filter("n = 3").select("lang", "a", F.split("phrase", " ").alias("w"))
     inner = three.select("lang", F.explode(F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 2, 2), " "))).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     kept = best.join(inner, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < longer_share * F.col("a")))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), "phrase")
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))  # the first of a language are among the first of its parts
+    near = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best_first))).filter(F.col("rank") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     total = counts.filter("n = 0").select("lang", F.col("a").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
