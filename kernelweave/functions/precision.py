@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,3 +125,45 @@ def join_e3m13(codes: DataFrame, exceptions: DataFrame, n: int) -> DataFrame:
     e = F.when(e == 7, F.col("exponent")).otherwise(e + low)
     v = F.when(F.col("code") == 0, 0.0).otherwise((1 + F.col("code") % 8192 / 8192) * F.pow(F.lit(2.0), e))
     return codes.join(exceptions, "i", "left").select("i", v.alias("v"))
+
+
+def wrapped(c: Column, bits: int = 16) -> Column:
+    """A whole number as a signed one of so many bits: what is beyond comes in again at the other end."""
+    half = 1 << (bits - 1)
+    return F.pmod(c.cast("long") + half, F.lit(1 << bits)) - half
+
+
+def piecewise(x: Column, points: list[int], values: list[int], slopes: list[int], q: int) -> Column:
+    """Whole-number interpolation: below the first point its value, from the last point on the last value, and between
+    two points value + (slope * distance >> q). The piece is found by halving, so its cost is the log of their number.
+
+    ``slopes`` has one entry fewer than ``points``; a null x gives null.
+    """
+
+    def piece(low: int, high: int) -> Column:
+        if low == high:
+            if low < 0:
+                return F.lit(values[0]).cast("long")
+            if low == len(points) - 1:
+                return F.lit(values[-1]).cast("long")
+            return F.lit(values[low]) + F.shiftright(F.lit(slopes[low]) * (x.cast("long") - points[low]), q)
+        mid = (low + high + 1) // 2
+        return F.when(x < points[mid], piece(low, mid - 1)).otherwise(piece(mid, high))
+
+    return F.when(x.isNotNull(), piece(-1, len(points) - 1))
+
+
+def _quarters(f, q: int) -> tuple[list[int], list[int], list[int]]:
+    """Points at quarters from -1 to .75, f there, and the slopes between them, in Q format, cut towards zero."""
+    at = [k / 4 for k in range(-4, 4)]
+    return [k << (q - 2) for k in range(-4, 4)], [int(f(a) * (1 << q)) for a in at], [int((f(b) - f(a)) * 4 * (1 << q)) for a, b in zip(at, at[1:])]
+
+
+def exp_fixed(x: Column, q: int) -> Column:
+    """exp of a number in Q format by straight pieces over [-1, .75], constant outside, as a signed 16-bit number."""
+    return wrapped(piecewise(x, *_quarters(math.exp, q), q))
+
+
+def tanh_fixed(x: Column, q: int) -> Column:
+    """tanh of a number in Q format, as ``exp_fixed``."""
+    return wrapped(piecewise(x, *_quarters(math.tanh, q), q))

@@ -48,6 +48,20 @@ def fast_tanh(x: Column) -> Column:
     return (e - 1) / (e + 1)
 
 
+def fast_log(x: Column) -> Column:
+    """Logarithm by reading the exponent field of a float: (upper 16 bits - 16249) / 184; null where x isn't positive."""
+    x = x.cast("float").cast("double")
+    e = F.floor(F.log2(x))  # one off next to a power of two, mended below
+    e = F.when(x < F.pow(F.lit(2.0), e), e - 1).when(x >= F.pow(F.lit(2.0), e + 1), e + 1).otherwise(e)
+    upper = (e + 127) * 128 + F.floor((x / F.pow(F.lit(2.0), e) - 1) * 128)
+    return F.when(x > 0, (upper - 16249.0) / 184.0)
+
+
+def fast_pow(base: Column, power: Column) -> Column:
+    """exp(log(base) * power), both by the exponent field."""
+    return fast_exp(fast_log(base) * power)
+
+
 def edit_error(guess: Column, truth: Column) -> Column:
     """Edit distance in characters over the length of the truth; null where the truth is empty."""
     return F.try_divide(F.levenshtein(guess, truth).cast("double"), F.length(truth).cast("double"))

@@ -578,6 +578,22 @@ def fixed_point(spark, d):
     return q.groupBy("l_returnflag").agg(precision.dot_fixed(a, b).alias("dot"), F.sum(precision.mul_fixed(a, b)).alias("muls"), F.sum(precision.div_fixed(a, b)).alias("divs"))
 
 
+_QUARTERS = """WITH x AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) - 25 AS a FROM lineitem), q AS (SELECT unnest(range(8, 15)) AS q), t AS (SELECT q, k, CAST(k AS BIGINT) << 0 AS kk,
+CAST(trunc(exp(CAST(k AS DOUBLE) / 4) * (1 << q)) AS BIGINT) AS ev, CAST(trunc((exp(CAST(k + 1 AS DOUBLE) / 4) - exp(CAST(k AS DOUBLE) / 4)) * 4 * (1 << q)) AS BIGINT) AS es,
+CAST(trunc(tanh(CAST(k AS DOUBLE) / 4) * (1 << q)) AS BIGINT) AS tv, CAST(trunc((tanh(CAST(k + 1 AS DOUBLE) / 4) - tanh(CAST(k AS DOUBLE) / 4)) * 4 * (1 << q)) AS BIGINT) AS ts FROM q, (SELECT unnest(range(-4, 4)) AS k)),
+v AS (SELECT q.q, CAST(floor(CAST(a * (1 << q.q) AS DOUBLE) / 16) AS BIGINT) AS x FROM x, q), p AS (SELECT v.q, x, least(greatest(CAST(floor(CAST(x AS DOUBLE) / (1 << (v.q - 2))) AS BIGINT), -4), 3) AS k FROM v),
+y AS (SELECT p.q, x, ev + CASE WHEN x < -(1 << p.q) OR p.k = 3 THEN 0 ELSE (es * (x - p.k * (1 << (p.q - 2)))) >> p.q END AS e, tv + CASE WHEN x < -(1 << p.q) OR p.k = 3 THEN 0 ELSE (ts * (x - p.k * (1 << (p.q - 2)))) >> p.q END AS t FROM p JOIN t ON t.q = p.q AND t.k = p.k)
+SELECT CAST(q AS BIGINT) AS q, x, ((e + 32768) & 65535) - 32768 AS e, ((t + 32768) & 65535) - 32768 AS t FROM y"""
+
+
+@query(_QUARTERS)
+def fixed_tables(spark, d):
+    """exp and tanh by straight pieces in each Q format, of quantities brought to -1.5 .. 1.6."""
+    a = table(spark, d, "lineitem").select((F.col("l_quantity").cast("long") - 25).alias("a")).distinct()
+    each = [a.select(F.lit(q).cast("long").alias("q"), F.floor(F.col("a") * (1 << q) / 16).cast("long").alias("x")) for q in range(8, 15)]
+    return stats.union_all([x.select("q", "x", precision.exp_fixed(F.col("x"), q).alias("e"), precision.tanh_fixed(F.col("x"), q).alias("t")) for q, x in zip(range(8, 15), each)])
+
+
 @query("""SELECT event_id, round(exp(value / 100) / sum(exp(value / 100)) OVER (PARTITION BY user_id), 8) AS p FROM events""")
 def softmax(spark, d):
     return table(spark, d, "events").select("event_id", rnd(scalar.softmax(F.col("value") / 100, ["user_id"]), 8).alias("p"))

@@ -267,3 +267,70 @@ def sensors(spark: SparkSession, path: str) -> DataFrame:
 def uniform(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """i, v: uniform numbers."""
     return spark.range(n).select(F.col("id").alias("i"), F.rand(seed).alias("v"))
+
+
+def _register_steps(state: int, taps: int, n: int) -> np.ndarray:
+    """The next ``n`` states of a shift register: one step shifts right and, where a one falls out, flips the taps."""
+    out = np.empty(n, np.int64)
+    for k in range(n):
+        state = (state >> 1) ^ (taps if state & 1 else 0)
+        out[k] = state
+    return out
+
+
+def register_after(state: int, steps: int, taps: int, bits: int = 32) -> int:
+    """The state after any number of steps. A step is linear over GF(2): a matrix of bits, whose columns are what it makes
+    of each bit; its powers of two are found by squaring, so ``steps`` costs its logarithm."""
+    column = [(1 << k >> 1) ^ (taps if k == 0 else 0) for k in range(bits)]
+
+    def apply(matrix: list[int], v: int) -> int:
+        out = 0
+        while v:
+            low = v & -v
+            out ^= matrix[low.bit_length() - 1]
+            v ^= low
+        return out
+
+    while steps:
+        if steps & 1:
+            state = apply(column, state)
+        column, steps = [apply(column, v) for v in column], steps >> 1
+    return state
+
+
+def shift_register(spark: SparkSession, n: int, seed: int = 1, taps: int = 0xB4BCD35C, bits: int = 32, tasks: int | None = None, block: int = 1 << 16) -> DataFrame:
+    """i, v of the first ``n`` states behind ``seed`` of a linear feedback shift register; v is signed where bit 31 is set.
+
+    Blocks start at states that are jumped to, so tasks need nothing of each other and their number changes nothing.
+    """
+    prepare(spark)
+
+    def run(parts):
+        for p in parts:
+            for b in p["id"]:
+                first = int(b) * block
+                v = _register_steps(register_after(seed, first, taps, bits), taps, min(block, n - first))
+                yield pd.DataFrame({"i": np.arange(first, first + len(v)), "v": np.where(v >= 1 << 31, v - (1 << 32), v)})
+
+    return spark.range(0, -(-n // block), 1, tasks).mapInPandas(run, "i long, v long")
+
+
+def step_signal(spark: SparkSession, n: int, at: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """i, v: ``low`` before place ``at`` and ``high`` from it on."""
+    return spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") < at, F.lit(float(low))).otherwise(F.lit(float(high))).alias("v"))
+
+
+def box_grid(spark: SparkSession, shape: tuple[int, ...], inner: float = 0.0, outer: float = 1.0, top: float | None = None, bottom: float | None = None) -> DataFrame:
+    """i, j (, k), v of a grid with one value inside and one on its faces; ``top`` and ``bottom`` are those of the first axis."""
+    axes, place, size = "ijk"[: len(shape)], F.col("id"), int(np.prod(shape))
+    cols = []
+    for a, n in zip(axes[::-1], shape[::-1]):
+        cols.append((place % n).cast("long").alias(a))
+        place = F.floor(place / n)
+    cells = spark.range(size).select(*cols[::-1])
+    face = F.lit(False)
+    for a, n in zip(axes, shape):
+        face = face | (F.col(a) == 0) | (F.col(a) == n - 1)
+    value = F.when(face, float(outer)).otherwise(float(inner))
+    value = F.when(F.col("i") == shape[0] - 1, float(bottom)).otherwise(value) if bottom is not None else value
+    return cells.withColumn("v", F.when(F.col("i") == 0, float(top)).otherwise(value) if top is not None else value)
