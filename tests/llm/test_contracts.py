@@ -137,7 +137,7 @@ def test_op8(spark):
         fit = [(len(a + b), a + b, v) for a, b, v in op08_urls.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
         assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (h, p, max(fit)[1] if fit else None)
         fixed[k] = max(fit)[2] if fit else None
-    rules = brute_rules([(tokens[k], v) for k, v in fixed.items() if v], 0.005, 0.8, 1.25, 2)
+    rules = brute_rules([(tokens[k], v) for k, v in fixed.items() if v], 0.005, 0.8, 1.25)
     for k, v in fixed.items():
         assert got[k]["verdict"] == (v or ("block" if any(x <= tokens[k] for x in rules) else "allow"))
 
