@@ -24,6 +24,7 @@ rows get equal results, each its own row. Without training texts the base is 0 a
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from kernelweave.session import prepare, release, stored, table
 HELD = 1 << 19
 MIN_SLOTS, MAX_SLOTS = 16, 22
 SLICES = 64
+MERGED = 64  # groups of tasks whose counts of a slice are added up first
 ORDERS = 3
 SEGMENT = 1 << 13
 EARLY = 4
@@ -48,6 +50,7 @@ UNIT = 15.0  # a byte holds logistics from -8 to 8, so that the tables stay in t
 PAIRS = 1 << 16  # hashes below it stand for pairs of bytes in the table of counts
 END = PAIRS  # hash of the end
 END_BYTE = 0x0A  # no word has it
+BLANKS = b" \t\n\x0b\x0c\r"
 PIECE = 4 << 20  # bytes of text whose segments are mixed at once
 SLICE = 1 << 18  # bits that are laid out at a time: what numpy works on stays in the cache
 START = (0.30, 0.45, 0.30)  # weights at the start of a segment
@@ -240,7 +243,13 @@ class Coded:
 
 
 def count_bits(training: DataFrame, coder) -> DataFrame:
-    """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice."""
+    """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice.
+
+    A task's counts of a slice are one row; rows of a slice are added up in ``MERGED`` groups by task first and then
+    together. A group's rows pass one by one, so what it holds is the counts of one slice, however many tasks there are.
+    """
+    from pyspark import TaskContext
+
     slots = 1 << coder.value.slots
     width = ORDERS * slots // SLICES
 
@@ -249,17 +258,29 @@ def count_bits(training: DataFrame, coder) -> DataFrame:
         for b in batches:
             for _, part in chunks(column_bytes(b), PIECE):
                 count(n, Coded(part, own), own)
-        pack = zstandard.ZstdCompressor(level=1)
         for s, x in enumerate(n.reshape(SLICES, 2 * width)):
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([pack.compress(x.tobytes())], pa.binary())], names=["slice", "counts"])
+            yield row(s, TaskContext.get().partitionId() % MERGED, x.astype(np.uint64))
+
+    def row(s, group, x):
+        packed = zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([group], pa.int64()), pa.array([packed], pa.binary())], names=["slice", "merged", "counts"])
+
+    def added(batches):
+        out = np.zeros(2 * width, np.uint64)
+        for b in batches:
+            for x in b.column(b.schema.get_field_index("counts")):
+                out += np.frombuffer(zstandard.decompress(x.as_py()), np.uint64)
+        return out
+
+    def some(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield row(key[0].as_py(), key[1].as_py(), added(batches))
 
-    def total(key, found):
-        out = np.zeros(2 * width, np.float64)
-        for x in found["counts"]:
-            out += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        return pa.table([pa.array([key[0].as_py()]), pa.array([stretched(out).tobytes()], pa.binary())], names=["slice", "stretch"])
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([stretched(added(batches).astype(np.float64)).tobytes()], pa.binary())], names=["slice", "stretch"])
 
-    return training.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(total, "slice long, stretch binary")
+    kind = "slice long, merged long, counts binary"
+    counts = training.select("text").mapInArrow(run, kind).groupBy("slice", "merged").applyInArrow(some, kind)
+    return counts.groupBy("slice").applyInArrow(total, "slice long, stretch binary")
 
 
 def count(n: np.ndarray, coded: Coded, coder: Coder) -> None:
@@ -382,7 +403,7 @@ def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndar
 
 
 def score(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (those that are coded) of each row."""
     spark = prepare(documents.sparkSession)
     training = documents.filter(~held_out())
     counts = stored(count_words(training), "words")
@@ -420,7 +441,7 @@ def score(documents: DataFrame) -> DataFrame:
                 known = (times > 0).take(coded.word)
                 base = np.bincount(text, weights=np.where(times > 0, np.log10(times + 0.5), 0).take(coded.word), minlength=n)
                 n_known = np.bincount(text[known], minlength=n)
-                size = np.fromiter(map(len, part), np.int64, n)
+                size = np.fromiter((len(x.translate(None, BLANKS)) for x in part), np.int64, n) + coded.n_tokens  # a byte behind each word, and the end
                 odd = np.flatnonzero(~known)
                 pair, times = np.unique(text[odd] * len(coded.words) + coded.word[odd], return_counts=True)
                 owner, word = np.divmod(pair, len(coded.words))
