@@ -12,8 +12,8 @@ Suffixes of all bytes of a corpus can't be exchanged, so only those are sorted t
 3. Decision. Windows that start f bytes before their anchors are equal where the suffixes share SPAN - f bytes, that is,
    where no neighbour in the merged order between them shares less, and where the f bytes before are equal, read off the
    common prefixes of the reversed bytes in the same way. Of equal windows all but the first by place are repeated.
-   Bytes decide; hashes don't. A gram with more than ``GROUP`` suffixes is not held: its windows, as bytes, go through a
-   keyed aggregate instead, which splits it.
+   Bytes decide; hashes don't. A gram with more than ``GROUP`` suffixes is not decided in one piece: its windows leave the
+   task as Arrow batches while the runs are still being merged, and a keyed aggregate, which Spark splits, decides them.
 4. The repeated windows are joined with the texts and cut out.
 
 Order: doc_id (null first), then a hash of the text, then the start; so rows of one id with other texts are ordered
@@ -320,6 +320,8 @@ def suffix_runs(asked: DataFrame, parts: int) -> DataFrame:
             index = [np.frombuffer(x, "<u4") for x in b.column(3).to_pylist()]
             for i, texts in chunks(column_bytes(b)):
                 a = Anchors(texts)
+                for j, m in enumerate(np.diff(a.first).tolist()):  # a text with the same 64 bits can ask for more anchors
+                    index[i + j] = index[i + j][index[i + j] < m]
                 n = np.fromiter(map(len, index[i : i + len(texts)]), np.int64, len(texts))
                 doc = np.repeat(np.arange(len(texts)), n)
                 if not len(doc):
@@ -395,15 +397,39 @@ def repeated_windows(runs: DataFrame, parts: int, group: int = GROUP) -> tuple[D
     Bit f of a mask is set where the window that starts f bytes before an anchor is repeated.
     """
 
-    def combine(key, found):
-        coded = [(lcp.as_py(), sizes.as_py(), zstandard.decompress(rests.as_py())) for lcp, sizes, rests in zip(*(found[k] for k in ("lcp", "sizes", "rests")))]
-        infos = [np.frombuffer(x, INFO) for x in found["info"].to_pylist()]
+    kinds = {"part": pa.int64(), "places": pa.binary(), "masks": pa.binary(), "d": pa.int64(), "t": pa.int64(), "i": pa.int64(), "f": pa.int32(), "window": pa.binary()}
+
+    def row(n, **cols):
+        return pa.RecordBatch.from_arrays([cols.get(k, pa.nulls(n, t)) for k, t in kinds.items()], names=list(kinds))
+
+    def handed_on(own, suffixes, left, info):
+        """The windows of suffixes as bytes, a batch for some suffixes and each distance."""
+        for s in range(0, len(own), 4096):
+            x = own[s : s + 4096]
+            right = np.frombuffer(b"".join(y.ljust(SPAN, b"\0") for y in suffixes[s : s + 4096]), np.uint8).reshape(-1, SPAN)
+            before = left[x][:, ::-1]
+            for f in range(SHIFT + 1):
+                at = np.flatnonzero((info["near"][x] <= f) & (info["far"][x] >= f))
+                if len(at):
+                    windows = np.hstack((before[at, SHIFT - f :], right[at, : SPAN - f]))
+                    place = info["place"][x[at]]
+                    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, SPAN * (len(at) + 1), SPAN, np.int32)), pa.py_buffer(np.ascontiguousarray(windows))])
+                    yield row(len(at), **{k: pa.array(np.ascontiguousarray(place[k]).astype(np.int64)) for k in "dti"}, f=pa.array(np.full(len(at), f, np.int32)), window=data)
+
+    def combine(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {k: [] for k in _RUN}
+        for b in batches:
+            for k in _RUN:
+                found[k] += b.column(b.schema.get_field_index(k)).to_pylist()
+        coded = [(lcp, sizes, zstandard.decompress(rests)) for lcp, sizes, rests in zip(*(found[k] for k in ("lcp", "sizes", "rests")))]
+        infos = [np.frombuffer(x, INFO) for x in found["info"]]
         info = np.concatenate(infos)
         left = np.zeros((len(info), SHIFT), np.uint8)
-        left[np.arange(SHIFT) < info["far"][:, None]] = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in found["lefts"]), np.uint8)
+        left[np.arange(SHIFT) < info["far"][:, None]] = np.frombuffer(b"".join(map(zstandard.decompress, found["lefts"])), np.uint8)
         start = np.cumsum([0, *map(len, infos)]).tolist()
-        told = np.frombuffer(b"".join(found["copies"].to_pylist()), INFO)
-        places, masks, windows = [told["place"]], [_full(told)], []
+        told = np.frombuffer(b"".join(found["copies"]), INFO)
+        del found
+        places, masks = [told["place"]], [_full(told)]
         at, lcps, right, grams = [], [], [], []
 
         def solve(a, z):
@@ -412,43 +438,49 @@ def repeated_windows(runs: DataFrame, parts: int, group: int = GROUP) -> tuple[D
             places.append(info["place"][own[mask != 0]])
             masks.append(mask[mask != 0])
 
-        def hand_on(a, z):
-            for x, suffix in zip(at[a:z], right[a:z]):
-                row, before = info[x], left[x].tobytes()
-                for f in range(int(row["near"]), int(row["far"]) + 1):
-                    windows.append((*(int(v) for v in row["place"].item()), f, before[:f][::-1] + suffix[: SPAN - f]))
-
         def flush():
-            """Grams up to the last bound: several at once, and one that is too large alone."""
+            """Grams up to the last bound: several at once, and one that is too large by its windows."""
             a = 0
             for i, z in enumerate([*grams, len(at)]):
                 end = grams[i - 1] if i else 0
                 if z - end > group:
                     if end > a:
                         solve(a, end)
-                    hand_on(end, z)
+                    yield from handed_on(np.array(at[end:z], np.int64), right[end:z], left, info)
                     a = z
             if len(at) > a:
                 solve(a, len(at))
             at.clear(), lcps.clear(), right.clear(), grams.clear()
 
+        large = False  # the gram at hand has handed on windows already
         for r, i, suffix, lcp in merged(coded):
             if lcp < GRAM and at:  # a new gram
-                if len(at) > group:
-                    flush()
+                if large:
+                    yield from handed_on(np.array(at, np.int64), right, left, info)
+                    at.clear(), lcps.clear(), right.clear()
+                elif len(at) > group:
+                    yield from flush()
                 else:
                     grams.append(len(at))
+                large = False
+            elif lcp < GRAM:
+                large = False
             at.append(start[r] + i)
             lcps.append(lcp)
             right.append(suffix)
-        flush()
-        packed = list(_by_part(np.concatenate(places), np.concatenate(masks), parts))
-        kinds = {"part": pa.int64(), "places": pa.binary(), "masks": pa.binary(), "d": pa.int64(), "t": pa.int64(), "i": pa.int64(), "f": pa.int32(), "window": pa.binary()}
-        cols = [*zip(*packed)] if packed else [(), (), ()]
-        more = [*zip(*windows)] if windows else [()] * 5
-        rows = [pa.table([pa.array(c, kinds[k]) for k, c in zip(("part", "places", "masks"), cols)], names=["part", "places", "masks"])]
-        rows.append(pa.table([pa.array(c, kinds[k]) for k, c in zip(("d", "t", "i", "f", "window"), more)], names=["d", "t", "i", "f", "window"]))
-        return pa.concat_tables(rows, promote_options="default").select(list(kinds)).cast(pa.schema(kinds))
+            begun = grams[-1] if grams else 0
+            if len(at) - begun > group:  # no more of it is held
+                if begun:
+                    solve(0, begun)
+                yield from handed_on(np.array(at[begun:], np.int64), right[begun:], left, info)
+                at.clear(), lcps.clear(), right.clear(), grams.clear()
+                large = True
+        if large:
+            yield from handed_on(np.array(at, np.int64), right, left, info)
+        else:
+            yield from flush()
+        for p, x, y in _by_part(np.concatenate(places), np.concatenate(masks), parts):
+            yield row(1, part=pa.array([p]), places=pa.array([x], pa.binary()), masks=pa.array([y], pa.binary()))
 
     both = runs.groupBy("part").applyInArrow(combine, "part long, places binary, masks binary, d long, t long, i long, f int, window binary")
     both = stored(both, "windows")
@@ -465,6 +497,8 @@ def repeated_windows(runs: DataFrame, parts: int, group: int = GROUP) -> tuple[D
 def _covered(a: Anchors, k: int, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Flags of the removed bytes of text k of a chunk."""
     edge = np.zeros(int(a.size[k]) + 1, np.int32)
+    known = index < a.first[k + 1] - a.first[k]
+    index, mask = index[known], mask[known]
     at = a.at[int(a.first[k]) + index.astype(np.int64)] - int(a.start[k])
     row, f = np.nonzero((mask[:, None] >> np.arange(SHIFT + 1)) & 1)
     np.add.at(edge, at[row] - f, 1)
