@@ -281,13 +281,14 @@ def test_quality_bands(spark):
     assert len(left) > 300 and sum(r["kept"] for r in left) > 0.98 * len(left)
 
 
-def brute_perplexity(texts, units, first):
-    """-log10 probability a byte of each text under modified Kneser-Ney of order 4 over what two texts share, with plain dictionaries."""
-    of = lambda t, f: [tuple(([0] * 3 + [f(x) for x in t.encode()])[i : i + 4]) for i in range(len(t.encode()))]
-    unit = op10_quality._UNIT.tolist().__getitem__
-    shared = {k for k, v in Counter(k for t in texts for k in set(of(t, unit))).items() if v > 1}
-    levels = [Counter(k for t in texts for k, u in zip(of(t, units), of(t, unit)) if u in shared)]
-    texts = [[units(x) for x in t.encode()] for t in texts]
+def brute_perplexity(texts, told, first):
+    """-log10 probability a unit of each sequence under modified Kneser-Ney of order 4, with plain dictionaries.
+
+    Runs count where two texts share those of ``told``, the sequences that the units were made from.
+    """
+    of = lambda t: [tuple(([0] * 3 + t)[i : i + 4]) for i in range(len(t))]
+    shared = {k for k, v in Counter(k for t in told for k in set(of(t))).items() if v > 1}
+    levels = [Counter(k for t, u in zip(texts, told) for k, x in zip(of(t), of(u)) if x in shared)]
     for _ in range(3):
         levels.append(Counter(k[1:] for k in levels[-1]))
     levels = {4 - i: x for i, x in enumerate(levels)}
@@ -326,20 +327,23 @@ def test_quality_against_brute_force(spark, docs, monkeypatch):
     for x, own in by_lang.items():
         unit = op10_quality._UNIT.tolist().__getitem__
         kind = lambda b: int(op10_quality._CLASS[unit(b)])
-        both = [brute_perplexity([t for _, t in own], f, 64) for f in (unit, kind)]
+        units, kinds = ([[f(b) for b in t.encode()] for _, t in own] for f in (unit, kind))
+        words = [[c & 63 for c in brute_word_codes(t)] for _, t in own]
+        both = [brute_perplexity(a, b, 64) for a, b in ((units, units), (kinds, units), (words, words))]
         worded = [k for k, (_, t) in enumerate(own) if brute_quality(t)[0]]
         bands = []
-        for p, least in zip(both, (0.005, 0.005)):
+        for p, least in zip(both, (0.005, 0.005, 0.03)):
             mid = statistics.median(round(p[k], 4) for k in worded) if worded else 0
             bands.append((mid, max(1.4826 * statistics.median(round(abs(p[k] - mid), 4) for k in worded), least) if worded else 1))
         for k, (i, t) in enumerate(own):
             q = brute_quality(t)
-            a, c = ((p[k] - m) / s for p, (m, s) in zip(both, bands))
-            want[(i, x)] = (both[0][k], both[1][k], q[0] >= 50 and 100 * q[4] <= 50 * q[0] and -8 <= a <= 16 and c <= 8)
+            a, c, w = ((p[k] - m) / s for p, (m, s) in zip(both, bands))
+            fine = -8 <= a <= 16 and c <= 8 and w <= 3 + 0.7 / math.sqrt(max(1, q[0])) / bands[2][1]
+            want[(i, x)] = (both[0][k], both[1][k], both[2][k], q[0] >= 50 and 100 * q[4] <= 50 * q[0] and fine)
     assert len(got) == len(rows)
     for r in got:
-        p, c, kept = want[(r["doc_id"], r["language"] or None)]
-        assert abs(r["log_perplexity"] - p) < 1e-4 and abs(r["log_class_perplexity"] - c) < 1e-4 and r["kept"] == kept
+        p, c, w, kept = want[(r["doc_id"], r["language"] or None)]
+        assert abs(r["log_perplexity"] - p) < 1e-4 and abs(r["log_class_perplexity"] - c) < 1e-4 and abs(r["log_word_perplexity"] - w) < 1e-4 and r["kept"] == kept
     monkeypatch.setattr(op10_quality, "HELD", 0)
     monkeypatch.setattr(op10_quality, "PART", 5000)
     parts = op10_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
@@ -354,7 +358,7 @@ def test_kneser_ney_sums_to_one(spark, docs):
 
     models = {r["language"]: pickle.loads(r["model"]) for r in op10_quality.fit(docs).collect()}
     assert set(models) >= {"=en", "=de", ""}
-    for by_unit, _ in models.values():
+    for by_unit, _, _ in models.values():
         for context in (b"the", b"on ", b"zzz", b"\0\0\0"):
             c = [int(op10_quality._UNIT[x]) if x else 0 for x in context]
             code = np.arange(64) + sum(u << 6 * (3 - j) for j, u in enumerate(c))
@@ -373,6 +377,37 @@ def test_empty_tables(spark):
     assert op04_warc.read(spark, path).count() == 0 and op08_urls.judge(pages).count() == 0
 
 
+def test_quality_by_word_order(spark):
+    """Texts with shuffled words are rejected, and what was kept stays so beside them."""
+    r = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = {v["doc_id"] for v in op10_quality.judge(docs).filter("kept").select("doc_id").collect()}
+    own = [v for v in docs.orderBy("doc_id").collect() if v["doc_id"] in before][:60]
+    mixed = [(10_000 + v["doc_id"], " ".join(r.sample(w := v["text"].split(), len(w))), v["lang"]) for v in own]
+    got = {v["doc_id"] for v in op10_quality.judge(docs.unionByName(spark.createDataFrame(mixed, docs.schema))).filter("kept").select("doc_id").collect()}
+    assert sum(k in got for k, _, _ in mixed) <= 6
+    assert len(before & got) >= 0.99 * len(before)
+
+
+def brute_word_codes(text):
+    """Classes of the words of a text, one after another, and their runs as codes."""
+    units = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        a, z = w[0], w[-1]
+        begin = 0 if "a" <= a <= "z" or "ß" <= a else 1 if "A" <= a <= "Z" or "À" <= a <= "Þ" else 2 if "0" <= a <= "9" else 3
+        finish = 1 if z == "," else 2 if z in ".!?" else 3 if z in ";:)\"'" else 0
+        n = len(w.encode())
+        units.append(1 + (begin * 4 + finish) * 3 + (n >= 4) + (n >= 8))
+    return [sum(u << 6 * k for k, u in enumerate(reversed(([0, 0, 0] + units)[i : i + 4]))) for i in range(len(units))]
+
+
+def test_word_codes():
+    texts = ["", "One two, three. Four?", "\n Éa élan ßx ÷ 9th ***  (so)  b:", "a", "end\ud7ff" * 3]
+    codes, first = op10_quality.word_codes([t.encode() for t in texts])
+    assert [codes[a:b].tolist() for a, b in zip(first, first[1:])] == [brute_word_codes(t) for t in texts]
+    assert len(op10_quality.word_codes([b"", b" "])[0]) == 0
+
+
 def test_clashing_columns(spark):
     """Extra columns that share names with an operator's own are passed by or, where they name a result, replaced."""
     docs = spark.createDataFrame([(1, "mail a@b.c the words " * 30, "en", "s", 1, "x", 2, 3.0)], "doc_id long, text string, lang string, t string, n long, spans string, kept int, score double")

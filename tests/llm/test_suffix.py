@@ -111,3 +111,17 @@ def test_loser_tree():
         for a, b in zip(out, out[1:]):
             assert b[3] == op09_suffix.shared_prefix(a[2], b[2], 0)
         assert all(runs[i][j] == s for i, j, s, _ in out)
+
+
+def test_texts_of_one_hash(spark):
+    """Two texts under one 64-bit hash ask for each other's anchors: those that a text doesn't have are left out."""
+    passage = "".join(chr(97 + i * i % 26) for i in range(140))
+    texts = [(1, passage + " short"), (2, "x" * 300 + passage + "".join(chr(97 + i * 7 % 26) for i in range(3000)))]
+    keyed = spark.createDataFrame([(d, d, d, t) for d, t in texts], "d long, t long, k long, text string")
+    asked = spark.createDataFrame([(1, np.arange(200, dtype="<u4").tobytes()), (2, np.arange(200, dtype="<u4").tobytes())], "k long, at binary")
+    runs = op09_suffix.suffix_runs(keyed.join(asked, "k").select("d", "t", "text", "at"), 4)
+    packed, late = op09_suffix.repeated_windows(runs, 4)
+    assert runs.count() > 0 and packed.count() > 0 and late.count() == 0
+    a = op09_suffix.Anchors([t.encode() for _, t in texts])
+    n = int(a.first[1])
+    assert not op09_suffix._covered(a, 0, np.array([n, n + 5], np.uint32), np.array([1, 1])).any()
