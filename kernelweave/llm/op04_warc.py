@@ -9,7 +9,7 @@ Reading: files are split at the version line, wherever it stands, also inside pa
 candidate its offset and the offset of the successor that its Content-Length gives; pointer jumping over (file, offset,
 successor) rows from each file's start keeps what can be reached, in a number of joins that is logarithmic in the
 records of a file. Pieces that a false boundary cut off are put back into their record. Offsets come from one pass,
-which is stored; where texts are read once more, they are found by file and 128 bits of hash, never by their place in a
+which is stored; where texts are read once more, they are found by file, size and 64 bits of hash, never by their place in a
 partition, so files may be packed into other partitions by then. A length that is negative, no number or beyond the file
 leads to no successor; the chain of its file ends there, and what follows belongs to that record. A last record that is
 cut off gives the payload that is left.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from kernelweave.session import discard, prepare, scratch, stored, table
 
 LONGEST = 1 << 60  # a length beyond it is no length
+FEW = 100_000  # hashes that are broadcast
 MAGIC, EOL, GAP = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 
 
@@ -93,16 +94,23 @@ def _parsed(value: Column) -> dict[str, Column]:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces between version lines with their file and two hashes."""
+    """Pieces between version lines with their file, hash and size."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.xxhash64("value").alias("h"), F.xxhash64(F.lit(1), "value").alias("g"), "value")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.xxhash64("value").alias("h"), F.octet_length("value").alias("size"), "value")
 
 
 def _values(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """file, off, record, value of (file, off, record, h, g): another scan, of which only texts that are wanted move."""
-    which = wanted.select("file", "h", "g").distinct()
-    found = _lines(spark, path).join(which, ["file", "h", "g"]).groupBy("file", "h", "g").agg(F.first("value").alias("value"))  # equal texts are alike
-    return wanted.join(found, ["file", "h", "g"]).select("file", "off", "record", "value")
+    """file, off, record, value of (file, off, record, h, size): another scan, of which only texts that are wanted move.
+
+    Where they are few, their hashes go to the scan; where there are none, there is no scan.
+    """
+    key = ["file", "h", "size"]
+    which = stored(wanted.select(*key).distinct(), "wanted")
+    n = which.count()
+    if not n:
+        return wanted.select("file", "off", "record", F.lit(None).cast("string").alias("value")).limit(0)
+    found = _lines(spark, path).join(F.broadcast(which) if n <= FEW else which, key).groupBy(*key).agg(F.first("value").alias("value"))  # equal texts are alike
+    return wanted.join(found, key).select("file", "off", "record", "value")
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
@@ -131,7 +139,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     parse = lambda c: [_parsed(c)[k].alias(k) for k in names]
     in_file = Window.partitionBy("file").orderBy("block", "n")
     # small rows only: lengths and header fields
-    pieces = lines.select("file", "block", "n", "h", "g", F.octet_length("value").alias("size"), *parse(F.col("value")))
+    pieces = lines.select("file", "block", "n", "h", "size", *parse(F.col("value")))
     after = F.sum(F.col("size") + len(MAGIC)).over(in_file)
     pieces = stored(pieces.withColumn("off", after - F.col("size") - 2 * len(MAGIC)).filter("off >= 0"), "pieces")
     true = reachable(pieces.select("file", "off", (F.col("off") + F.col("span")).alias("next")))
@@ -139,11 +147,11 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     owner = F.last(F.when(F.col("true"), F.col("off")), ignorenulls=True).over(Window.partitionBy("file").orderBy("off"))
     marked = stored(marked.withColumn("record", owner).filter("record IS NOT NULL").withColumn("parts", F.count("*").over(Window.partitionBy("file", "record"))), "records")
     whole = marked.filter("parts = 1")
-    cut = marked.filter("parts > 1").select("file", "off", "record", "h", "g")
+    cut = marked.filter("parts > 1").select("file", "off", "record", "h", "size")
     joined = _values(spark, path, cut).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("v"))
     joined = joined.select("file", F.col("record").alias("off"), F.array_join("v.value", MAGIC).alias("value"))
     if payloads:
-        own = _values(spark, path, whole.select("file", "off", "record", "h", "g")).select("file", "off", "value").unionByName(joined)
+        own = _values(spark, path, whole.select("file", "off", "record", "h", "size")).select("file", "off", "value").unionByName(joined)
         records = own.select("file", "off", *parse(F.col("value")), _parsed(F.col("value"))["payload"].alias("payload"))
     else:
         records = whole.select("file", "off", *names).unionByName(joined.select("file", "off", *parse(F.col("value"))))
