@@ -73,6 +73,109 @@ def crop(pixels: DataFrame, low: int, high: int) -> DataFrame:
     return pixels.filter(inside).select("img", (F.col("h") - low).alias("h"), (F.col("w") - low).alias("w"), "c", "v")
 
 
+def _same(n: int, size: int, stride: int) -> tuple[int, int, int]:
+    """Outputs of a window walked over n places so that every stride has one, and what is added before and after."""
+    out = -(-n // stride)
+    add = max((out - 1) * stride + size - n, 0)
+    return out, add // 2, add - add // 2
+
+
+def _windows(x: np.ndarray, size: int, stride: int, fill: float) -> np.ndarray:
+    """(images, rows, columns, channels, size, size) of maps (images, rows, columns, channels) with edges filled."""
+    (h, t, b), (w, l, r) = (_same(n, size, stride) for n in x.shape[1:3])  # noqa: E741
+    padded = np.pad(x, ((0, 0), (t, b), (l, r), (0, 0)), constant_values=fill)
+    return np.lib.stride_tricks.sliding_window_view(padded, (size, size), (1, 2))[:, ::stride, ::stride][:, :h, :w]
+
+
+def layer_conv(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Every place has an output; weights (rows, columns, inputs, outputs) as they lie over the map. One matrix product."""
+    size, _, n_in, n_out = weights.shape
+    at = _windows(x, size, 1, 0.0)
+    return at.reshape(*at.shape[:3], -1) @ weights.transpose(2, 0, 1, 3).reshape(n_in * size * size, n_out) + bias
+
+
+def layer_pool(x: np.ndarray, size: int = 3, stride: int = 2) -> np.ndarray:
+    """Largest value of windows that may overlap and reach beyond the edge."""
+    return _windows(x, size, stride, -np.inf).max((4, 5))
+
+
+def layer_normalise(x: np.ndarray, radius: int = 4, bias: float = 1.0, alpha: float = 0.001 / 9, beta: float = 0.75) -> np.ndarray:
+    """x / (bias + alpha * sum of squares of the channels within ``radius``) ^ beta."""
+    total = np.concatenate((np.zeros((*x.shape[:3], 1)), np.cumsum(x * x, 3)), 3)
+    c = np.arange(x.shape[3])
+    near = total[..., np.minimum(c + radius + 1, x.shape[3])] - total[..., np.maximum(c - radius, 0)]
+    return x / (bias + alpha * near) ** beta
+
+
+def layer_dense(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return x.reshape(len(x), -1) @ weights + bias
+
+
+#: layers by name; ``flatten`` isn't needed, dense layers take maps row by row with channels last
+LAYERS = {"conv": layer_conv, "pool": layer_pool, "normalise": layer_normalise, "dense": layer_dense, "relu": lambda x: np.maximum(x, 0.0)}
+
+
+def image_net(images: DataFrame, shape: tuple[int, int, int], layers: list[tuple], block: int = 64) -> DataFrame:
+    """img, scores of images (img, pixels in height, width, channel order) through ``layers``: (name, arguments...) of LAYERS.
+
+    A map without a shuffle: images go through all layers ``block`` at a time, each a matrix product or a window
+    operation over arrays, so a task holds the maps of one block. The model is broadcast. Null pixels or pixels of another
+    size give null scores.
+    """
+    spark = prepare(images.sparkSession)
+    held = spark.sparkContext.broadcast(layers)
+    n = int(np.prod(shape))
+
+    def run(batches):
+        for b in batches:
+            ids, rows = b.column(0), b.column(1).to_pylist()
+            out: list = [None] * len(rows)
+            good = [k for k, v in enumerate(rows) if v is not None and len(v) == n and None not in v]
+            for s in range(0, len(good), block):
+                own = good[s : s + block]
+                x = np.array([rows[k] for k in own], float).reshape(-1, *shape)
+                for name, *arguments in held.value:
+                    x = LAYERS[name](x, *arguments)
+                for k, v in zip(own, x.reshape(len(own), -1).tolist()):
+                    out[k] = v
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.float64()))], names=["img", "scores"])
+
+    return images.select("img", "pixels").mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, scores array<double>")
+
+
+def distort(images: DataFrame, shape: tuple[int, int, int], cut: int, seed: int = 0, brightness: float = 63.0, contrast: tuple[float, float] = (0.2, 1.8), standard: bool = True) -> DataFrame:
+    """img, pixels: a random part of ``cut`` x ``cut``, mirrored or not, with brightness and contrast changed, then standardised.
+
+    What is drawn follows from the seed and the image's id by hashes, so a row gives the same picture in every run. The
+    contrast is changed around each channel's mean. Null pixels stay null; repeated rows are alike.
+    """
+    prepare(images.sparkSession)
+    h, w, _ = shape
+    draw = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "img"), F.lit(1 << 52)) / float(1 << 52)).alias(f"u{k}")
+    rows = images.select("img", "pixels", *(draw(k) for k in range(5)))
+
+    def run(batches):
+        for b in batches:
+            u = np.array([b.column(2 + k).to_numpy() for k in range(5)]) if b.num_rows else np.zeros((5, 0))
+            out = []
+            for k, v in enumerate(b.column(1).to_pylist()):
+                if v is None:
+                    out.append(None)
+                    continue
+                top, left = int(u[0, k] * (h - cut + 1)), int(u[1, k] * (w - cut + 1))
+                x = np.array(v, float).reshape(shape)[top : top + cut, left : left + cut]
+                x = x[:, ::-1] if u[2, k] < 0.5 else x
+                x = x + (2 * u[3, k] - 1) * brightness
+                mean = x.mean((0, 1), keepdims=True)
+                x = (x - mean) * (contrast[0] + u[4, k] * (contrast[1] - contrast[0])) + mean
+                if standard:
+                    x = (x - x.mean()) / max(x.std(), 1 / np.sqrt(x.size))
+                out.append(x.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["img", "pixels"])
+
+    return rows.mapInArrow(run, f"img {images.schema['img'].dataType.simpleString()}, pixels array<double>")
+
+
 def mirror(columns: DataFrame) -> DataFrame:
     """(img, col, px) with the column order of each image reversed."""
     last = F.max("col").over(Window.partitionBy("img"))

@@ -746,6 +746,26 @@ def convolution_net(spark, d):
     return out.select("img", F.col("unit").cast("int").alias("unit"), rnd("v").alias("v"))
 
 
+_SAME = [[[0.5, -0.25], [0.25, 0.5], [0.125, 0.25]], [[-0.5, 0.125], [1.0, 0.5], [0.25, -1.0]], [[0.75, 0.25], [-0.25, 0.5], [0.5, 0.125]]]
+_SAME_SQL = ", ".join(f"({o}, {a}, {b}, {_SAME[a][b][o]})" for o in range(2) for a in range(3) for b in range(3))
+
+
+@query(f"""WITH t(o, a, b, w) AS (VALUES {_SAME_SQL}), x AS (SELECT vec_id AS img, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS k FROM embeddings),
+c AS (SELECT img, o, k // 8 + 1 - a AS i, k % 8 + 1 - b AS j, sum(v * w) AS s FROM x, t WHERE k // 8 + 1 - a BETWEEN 0 AND 7 AND k % 8 + 1 - b BETWEEN 0 AND 7 GROUP BY ALL),
+r AS (SELECT img, o, i, j, greatest(s + CASE WHEN o = 0 THEN 0.125 ELSE -0.25 END, 0) AS v FROM c),
+p AS (SELECT img, o, y.i, y.j, max(v) AS v FROM r, (SELECT unnest(range(0, 4)) AS i) y0, LATERAL (SELECT y0.i AS i, unnest(range(0, 4)) AS j) y WHERE r.i BETWEEN 2 * y.i AND 2 * y.i + 2 AND r.j BETWEEN 2 * y.j AND 2 * y.j + 2 GROUP BY ALL),
+n AS (SELECT img, o, i, j, v / pow(1 + CAST(0.001 AS DOUBLE) / 9 * sum(v * v) OVER (PARTITION BY img, i, j), CAST(0.75 AS DOUBLE)) AS v FROM p)
+SELECT img, round(sum(v * (i * 8 + j * 2 + o + 1)), 5) + 0 AS score, round(sum(v), 6) + 0 AS total FROM n GROUP BY img""")
+def image_layers(spark, d):
+    """Convolution with an output for every place, rectifier, overlapping pooling, normalisation over channels, a dense layer."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    weights = np.array(_SAME)[:, :, None, :]
+    last = np.stack((np.arange(1.0, 33.0), np.ones(32)), 1)
+    layers = [("conv", weights, np.array([0.125, -0.25])), ("relu",), ("pool", 3, 2), ("normalise",), ("dense", last, np.zeros(2))]
+    out = networks.image_net(rows, (8, 8, 1), layers)
+    return out.select("img", rnd(F.col("scores")[0], 5).alias("score"), rnd(F.col("scores")[1], 6).alias("total"))
+
+
 @query(_CONV.format(value="CAST(greatest(least(floor(v * 8192 + 0.5), 32767), -32768) AS BIGINT)", weight="CAST(w * 8192 AS BIGINT)") + """
 SELECT img, CAST(ch AS INTEGER) AS ch, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(greatest(least(floor((s + CASE WHEN ch = 0 THEN 1024 ELSE -2048 END * 8192) / 8192.0), 32767), -32768) AS BIGINT) AS v FROM c""")
 def convolution_fixed(spark, d):
