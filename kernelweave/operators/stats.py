@@ -52,14 +52,13 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 
 def order_stats(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Smallest, upper-middle (position n div 2 of the sorted values) and largest value of each key.
+    """Smallest, upper-middle (position n div 2 of the sorted values) and largest value of each key; null values count first.
 
-    Ranks come from a window and one filter, so no group is gathered into an array.
+    Ranks come from a sort over all tasks, so a key of any size is no task's alone, and one filter.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(w.orderBy(value, order)).alias("r"), F.count("*").over(w).alias("n"))
-    mid = F.expr("n div 2") + 1
-    return ranked.groupBy(*keys).agg(F.min(value).alias("low"), F.max(F.when(F.col("r") == mid, F.col(value))).alias("median"), F.max(value).alias("high"))
+    ranked = places(df.select(*keys, value, *([order] if order not in (*keys, value) else [])), keys, value, order)
+    mid = F.max(F.when(F.col("place") == F.expr("size div 2"), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.min(value).alias("low"), mid.alias("median"), F.max(value).alias("high"))
 
 
 def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
@@ -71,6 +70,18 @@ def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
     return rows.withColumn("_t", task).join(F.broadcast(before), "_t").withColumn(name, F.col("_b") + place).drop("_m", "_t", "_b")
 
 
+def places(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Rows with their ``place`` (from 0) within their keys in the given order, and the keys' ``size``.
+
+    One sort of all rows by keys and order; a key's first number is an aggregate of one row a key, joined back. So no
+    window holds a key's rows. Null keys are keys.
+    """
+    rows = numbered(df, *keys, *order, name="_n")
+    sizes = rows.groupBy(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys))).agg(F.min("_n").alias("_first"), F.count("*").alias("size"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    return rows.join(sizes, on).withColumn("place", F.col("_n") - F.col("_first")).drop("_n", "_first", *(f"_{i}" for i in range(len(keys))))
+
+
 def prefix_sum(df: DataFrame, order: str, value: str, name: str = "before", block: int = 1 << 16) -> DataFrame:
     """Rows with the sum of ``value`` over all rows before them by the whole number ``order``.
 
@@ -114,15 +125,13 @@ def group_classes(df: DataFrame, label: str, order: str) -> DataFrame:
     """Rows with their class code (first seen), place within the class and place in class order."""
     codes = first_seen_codes(df, label, order)
     own = prefix_sum(codes, "code", "n", "start").select(label, F.col("code").cast("long").alias("code"), "start")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order)).cast("long") - 1
-    return df.withColumn("place", place).join(own, label).withColumn("position", F.col("start") + F.col("place")).drop("start")
+    return places(df, [label], order).drop("size").join(own, label).withColumn("position", F.col("start") + F.col("place")).drop("start")
 
 
 def folds(df: DataFrame, label: str, order: str, k: int) -> DataFrame:
     """Contiguous folds within each class, the last takes the remainder, nothing is shuffled."""
-    w = Window.partitionBy(label)
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("fold", F.least(F.floor(r / F.greatest(F.floor(n / k), F.lit(1))), F.lit(k - 1)).cast("long"))
+    fold = F.least(F.floor(F.col("place") / F.greatest(F.floor(F.col("size") / k), F.lit(1))), F.lit(k - 1)).cast("long")
+    return places(df, [label], order).withColumn("fold", fold).drop("place", "size")
 
 
 def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -33,17 +33,32 @@ def pagerank(
     m = edges.groupBy("src", "dst").agg(F.sum(w).alias("v"))
     nodes = m.select(F.col("src").alias("i")).union(m.select(F.col("dst").alias("i"))).distinct()
     out = linalg.row_sums(m.select(F.col("src").alias("i"), "v")).withColumnRenamed("v", "out")
-    nodes = stored(nodes.join(out, "i", "left").select("i", (F.coalesce("out", F.lit(0.0)) == 0).alias("loose")), "nodes")
+    spark = edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a source of many edges is dealt in copies of at most a quarter of a task's share; few nodes have more than one
+    limit = m.count() / (4 * tasks) + 1
+    copies = F.greatest(F.ceil(F.col("edges") / limit), F.lit(1)).cast("int")
+    degree = m.groupBy(F.col("src").alias("i")).agg(F.count("*").alias("edges")).select("i", copies.alias("copies"))
+    nodes = nodes.join(out, "i", "left").join(degree, "i", "left")
+    nodes = stored(nodes.select("i", (F.coalesce("out", F.lit(0.0)) == 0).alias("loose"), F.coalesce("copies", F.lit(1)).alias("copies")), "nodes")
     n = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
     share = linalg.normalise_rows(m.select(F.col("src").alias("i"), F.col("dst").alias("j"), "v"))
-    a = stored(linalg.transpose(share), "edges")
+    # edges are dealt by source once and kept so: in a step only the ranks move. What is lost is dealt again from the stored table
+    a = stored(linalg.transpose(share), "edges").join(nodes.select(F.col("i").alias("j"), "copies"), "j")
+    a = a.select("i", "j", F.pmod(F.hash("i"), F.col("copies")).alias("copy"), "v").repartition(tasks, "j", "copy").persist()
+
+    def received(rank: DataFrame) -> DataFrame:
+        """i, v: what each node gets over its edges."""
+        sent = rank.select(F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("v").alias("r"))
+        return a.join(sent, ["j", "copy"]).groupBy("i").agg(F.sum(F.col("v") * F.col("r")).alias("v"))
+
     n_nodes = nodes.count()
     # ranks carry whether their node is loose, so the lost mass of a step is a filter and a sum
-    rank = stored(nodes.crossJoin(n).select("i", "loose", (1 / F.col("n")).alias("v")), "rank")
+    rank = stored(nodes.crossJoin(n).select("i", "loose", "copies", (1 / F.col("n")).alias("v")), "rank")
     for _ in range(iterations if iterations is not None else max_iter):
         lost = F.broadcast(rank.filter("loose").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost")))
-        new = nodes.join(linalg.spmv(a, rank), "i", "left").crossJoin(lost).crossJoin(n)
-        new = new.select("i", "loose", (damping * (F.coalesce("v", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("v"))
+        new = nodes.join(received(rank), "i", "left").crossJoin(lost).crossJoin(n)
+        new = new.select("i", "loose", "copies", (damping * (F.coalesce("v", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("v"))
         if redistribute_leak:
             new = stored(new, "rank")
             if codec:  # the leak is the small rest of a large sum
@@ -51,10 +66,10 @@ def pagerank(
                 total = F.broadcast(exact.crossJoin(n.select(F.col("n").alias("c"))))  # one row each
             else:
                 total = F.broadcast(new.agg(F.sum("v").alias("s"), F.count("*").alias("c")))
-            new = new.crossJoin(total).select("i", "loose", (F.col("v") + (1 - F.col("s")) / F.col("c")).alias("v"))
+            new = new.crossJoin(total).select("i", "loose", "copies", (F.col("v") + (1 - F.col("s")) / F.col("c")).alias("v"))
             # every rank got the same part, so the new total is known without another pass
             spread = F.broadcast(total.select((F.col("s") + (1 - F.col("s"))).alias("t")))
-            new = new.crossJoin(spread).select("i", "loose", (F.col("v") / F.col("t")).alias("v"))
+            new = new.crossJoin(spread).select("i", "loose", "copies", (F.col("v") / F.col("t")).alias("v"))
         if codec == "e3m13":
             codes, exceptions = split_e3m13(stored(new, "rank"), n_nodes)
             new = join_e3m13(stored(codes, "codes"), stored(exceptions, "exceptions"), n_nodes).join(nodes, "i")
@@ -63,7 +78,9 @@ def pagerank(
         new = stored(new, "rank")
         if iterations is None:
             if (linalg.deltas(new, rank).first()[norm] or 0.0) <= eps:
+                a.unpersist()
                 return new.select("i", "v")
         discard(rank)
         rank = new
+    a.unpersist()
     return rank.select("i", "v")

@@ -69,34 +69,44 @@ def kmeans_steps(points: DataFrame, k: int, steps: int) -> DataFrame:
     raise ValueError("steps must be at least 1")
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, k: int, block: int = 1 << 16, block_bytes: int = 16 << 20) -> DataFrame:
     """query, id, dist, rank (from 0) of the k + 1 nearest points of each query row, by (dist, id).
 
-    Queries come in blocks of ``block`` rows, each broadcast (bounded) to one pass over all points; a task keeps its own
-    best k + 1 of each query, so k + 1 rows a task and query are shuffled and no pair table is made.
+    Queries are numbered by a sort over all tasks and come in blocks of at most ``block`` rows and ``block_bytes``, each broadcast to one pass
+    over all points; the driver sees one block at a time and no list of ids. A task keeps its own best k + 1 of each query
+    as arrays, so k + 1 rows a task and query are shuffled and no table of pairs is made. Null coords are nobody's
+    neighbour and get no rows; coords of another length are an error.
     """
     spark = prepare(points.sparkSession)
-    rows = queries.select("id", "coords").orderBy("id")
+    rows = stats.numbered(queries.filter("coords IS NOT NULL").select("id", F.col("coords").cast("array<double>").alias("coords")), "id")
+    n, width = rows.agg(F.count("*"), F.max(F.size("coords"))).first()
     out: DataFrame | None = None
-    ids = [r["id"] for r in rows.select("id").collect()]
-    for s in range(0, len(ids), block):
-        part = rows.filter(F.col("id").between(ids[s], ids[min(s + block, len(ids)) - 1])).collect()
-        held = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), np.array([r["coords"] for r in part], np.float64)))
+    step = max(1, min(block, block_bytes // (8 * max(1, width or 1))))
+    for s in range(0, n, step):
+        part = rows.filter(F.col("n").between(s, s + step - 1)).select("id", "coords").toPandas()  # one block
+        held = spark.sparkContext.broadcast((part["id"].to_numpy(), np.stack(part["coords"].to_numpy())))
 
         def run(batches, held=held):
             name, q = held.value
-            best: list[pd.DataFrame] = []
+            ids, dist = np.zeros((len(name), k + 1), np.int64), np.full((len(name), k + 1), np.inf)
             for b in batches:
-                x = np.stack(b["coords"].to_numpy()).astype(np.float64)
-                own = b["id"].to_numpy()
+                own = [v for v in zip(b["id"], b["coords"]) if v[1] is not None]
+                if not own:
+                    continue
+                x, at = np.stack([v[1] for v in own]).astype(np.float64), np.array([v[0] for v in own], np.int64)
                 for i in range(len(name)):
                     d = ((x - q[i]) ** 2).sum(1)
-                    top = np.lexsort((own, d))[: k + 1]
-                    best.append(pd.DataFrame({"query": name[i], "id": own[top], "dist": d[top]}))
-                held_rows = pd.concat(best).sort_values(["query", "dist", "id"])
-                best = [held_rows.groupby("query").head(k + 1)]
-            if best:
-                yield best[0]
+                    near = np.flatnonzero(d <= dist[i, -1])  # ties with the last are looked at too
+                    if len(near) > k + 1:
+                        near = near[d[near] <= np.partition(d[near], k)[k]]
+                    if len(near):
+                        kept = np.isfinite(dist[i])
+                        both, who = np.concatenate((dist[i, kept], d[near])), np.concatenate((ids[i, kept], at[near]))
+                        best = np.lexsort((who, both))[: k + 1]
+                        dist[i, : len(best)], ids[i, : len(best)] = both[best], who[best]
+            found = np.isfinite(dist)
+            if found.any():
+                yield pd.DataFrame({"query": np.repeat(name, found.sum(1)), "id": ids[found], "dist": dist[found]})
 
         found = points.select("id", "coords").mapInPandas(run, "query long, id long, dist double")
         out = found if out is None else out.unionByName(found)
