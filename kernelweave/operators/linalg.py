@@ -1,6 +1,10 @@
 """Matrices as (i, j, v) rows, vectors as (i, v) rows; every operator is joins, aggregates and column expressions.
 
 ``precision='single'`` stores values as FLOAT; sums run in DOUBLE and are narrowed once at the end.
+
+A null key meets no other in a join; a null value adds nothing to a sum, and where two vectors are put together it counts
+as 0, like an absent one. Repeated entries are added up by products and sums and kept by the others. Empty tables give
+empty tables, and forms that return one row give 0 (``dot``, ``exact_sum``) or null (norms).
 """
 
 from __future__ import annotations

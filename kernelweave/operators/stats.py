@@ -1,4 +1,9 @@
-"""Aggregates, votes, encodings and window-shaped helpers."""
+"""Aggregates, votes, encodings and window-shaped helpers.
+
+Null values are left out of sums, means and extremes; a null key is a key of its own where rows are grouped, and meets no
+other where tables are joined (so a null label has a fold but no class code). Sorts put nulls first. Empty tables give
+empty tables; forms that return one row give counts of 0 and null ratios.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernelweave.operators import stats
-from kernelweave.session import prepare, stored
+from kernelweave.session import discard, prepare, stored
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -49,6 +49,8 @@ def kmeans(points: DataFrame, k: int, threshold: float = 0.001, max_iter: int =
         old = dict(centres)
         for r in centroids(own).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("c")).collect():
             old[r["cluster"]] = [x["v"] for x in r["c"]]
+        if before is not None:
+            discard(before)
         centres, before = sorted(old.items()), own
         if not total or changed / total <= threshold:
             break

@@ -1,4 +1,9 @@
-"""Principal components, wavelets, Fourier transforms and quadrature."""
+"""Principal components, wavelets, Fourier transforms and quadrature.
+
+Signals are rows (key, pos, v): a null v adds nothing, as an absent sample does, a null key is a key. Points with null
+coords are left out of scatter matrices and factors, and get null coords when projected. Ends of intervals that are null
+give a null integral. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
