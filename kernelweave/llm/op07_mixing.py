@@ -24,6 +24,7 @@ rows get equal results, each its own row. Without training texts the base is 0 a
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ from kernelweave.session import prepare, release, stored, table
 HELD = 1 << 19
 MIN_SLOTS, MAX_SLOTS = 16, 22
 SLICES = 64
-MERGED = 64  # groups of tasks whose counts of a slice are added up first
 ORDERS = 3
 SEGMENT = 1 << 13
 EARLY = 4
@@ -245,38 +245,38 @@ class Coded:
 def count_bits(training: DataFrame, coder) -> DataFrame:
     """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice.
 
-    A task's counts of a slice are one row; rows of a slice are added up in ``MERGED`` groups by task first and then
-    together. A group's rows pass one by one, so what it holds is the counts of one slice, however many tasks there are.
+    A task's counts of a slice are one row; rows of a slice are added up in groups of tasks first, as many as the root of
+    their number, and then together. A group's rows pass one by one, so what it holds is the counts of one slice, however many tasks there are.
     """
     from pyspark import TaskContext
 
     slots = 1 << coder.value.slots
-    width = ORDERS * slots // SLICES
+    width, groups = ORDERS * slots // SLICES, math.isqrt(training.rdd.getNumPartitions()) + 1
 
     def run(batches):
         n, own = np.zeros((ORDERS, 2 * slots), np.uint32), coder.value
         for b in batches:
-            for _, part in chunks(column_bytes(b), PIECE):
+            for _, part in chunks(column_bytes(b), PIECE >> 1):
                 count(n, Coded(part, own), own)
         for s, x in enumerate(n.reshape(SLICES, 2 * width)):
-            yield row(s, TaskContext.get().partitionId() % MERGED, x.astype(np.uint64))
+            yield row(s, TaskContext.get().partitionId() % groups, x)
 
     def row(s, group, x):
         packed = zstandard.ZstdCompressor(level=1).compress(x.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([group], pa.int64()), pa.array([packed], pa.binary())], names=["slice", "merged", "counts"])
 
-    def added(batches):
+    def added(batches, kind):
         out = np.zeros(2 * width, np.uint64)
         for b in batches:
             for x in b.column(b.schema.get_field_index("counts")):
-                out += np.frombuffer(zstandard.decompress(x.as_py()), np.uint64)
+                out += np.frombuffer(zstandard.decompress(x.as_py()), kind)
         return out
 
     def some(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield row(key[0].as_py(), key[1].as_py(), added(batches))
+        yield row(key[0].as_py(), key[1].as_py(), added(batches, np.uint32))
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([stretched(added(batches).astype(np.float64)).tobytes()], pa.binary())], names=["slice", "stretch"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([stretched(added(batches, np.uint64).astype(np.float64)).tobytes()], pa.binary())], names=["slice", "stretch"])
 
     kind = "slice long, merged long, counts binary"
     counts = training.select("text").mapInArrow(run, kind).groupBy("slice", "merged").applyInArrow(some, kind)
