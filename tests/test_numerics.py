@@ -7,7 +7,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from kernelweave.functions import scalar
 from kernelweave.operators import linalg
