@@ -434,7 +434,7 @@ def score(documents: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, t = b.column(0), b.column(2)
-            for i, part in chunks(column_bytes(b), PIECE):
+            for i, part in chunks(column_bytes(b), PIECE >> 1):
                 n, coded = len(part), Coded(part, coder.value)
                 model, text = text_scores(coder.value, tables.value, coded), coded.text
                 times = frequent.value.find(coded.words)
