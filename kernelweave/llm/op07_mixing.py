@@ -25,7 +25,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,10 @@ PAIRS = 1 << 16  # hashes below it stand for pairs of bytes in the table of coun
 END = PAIRS  # hash of the end
 END_BYTE = 0x0A  # no word has it
 BLANKS = b" \t\n\x0b\x0c\r"
-PIECE = 4 << 20  # bytes of text whose segments are mixed at once
+PIECE = 4 << 20
+TOGETHER = 2  # pieces whose segments are mixed at once: a step costs the less a bit the more it has, until its state leaves the cache
+BATCH = 16 << 20  # bits of segments that are mixed at once, four bytes each
+RUN = 16  # steps of the mixing that are laid out at a time
 SLICE = 1 << 18  # bits that are laid out at a time: what numpy works on stays in the cache
 START = (0.30, 0.45, 0.30)  # weights at the start of a segment
 RATE = 0.03
@@ -189,7 +193,11 @@ class Coded:
         is_word[last] = False
         self.token = np.full(total, END, np.uint64)
         self.token[is_word] = w.hashes()
-        self.words, at, self.word = np.unique(self.token, return_index=True, return_inverse=True)
+        order = np.argsort(self.token)  # np.unique takes twice the time for the first of equal ones, and any will do
+        token = self.token.take(order)
+        new = np.append(True, token[1:] != token[:-1])
+        self.words, at, self.word = token[new], order[new], np.empty(total, np.int64)
+        self.word[order] = np.cumsum(new) - 1
         start, size = np.zeros(total, np.int64), np.ones(total, np.int64)
         start[is_word], size[is_word] = w.start, w.end - w.start + 1
         start, size = start[at], size[at]
@@ -211,10 +219,15 @@ class Coded:
         pair[1:] = np.where(place[1:] > 0, data[1:].astype(np.int64) | data[:-1].astype(np.int64) << 8, pair[1:])
         length = coder.length.take(pair)
         ends = np.cumsum(length)
-        path = np.arange(int(ends[-1])) + np.repeat(coder.first.take(pair) - ends + length, length)
+        byte = np.repeat(np.arange(n), length)
+        path = (coder.first.take(pair) - ends + length).take(byte)
+        path += np.arange(len(path))
         node = coder.node.take(path)
-        self.kind = coder.kind.take(path) + np.repeat(np.where(place == 0, np.int8(2 * DEPTHS), np.int8(0)), length)
-        self.near, self.so_far = np.repeat(near, length) ^ node, np.repeat(so_far, length) ^ node
+        self.kind = coder.kind.take(path)
+        self.kind += np.where(place == 0, np.int8(2 * DEPTHS), np.int8(0)).take(byte)
+        self.near, self.so_far = near.take(byte), so_far.take(byte)
+        self.near ^= node
+        self.so_far ^= node
         self.size = np.diff(ends[stop - 1], prepend=0)
         self.first = np.cumsum(self.size) - self.size
         self.early = ends[np.minimum(stop, stop - size + EARLY) - 1] - self.first
@@ -224,23 +237,6 @@ class Coded:
         before[self.begin] = 0
         self.before = (before >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(7)
 
-    def bits(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the bits from a to z of all tokens: places among the bits of words; of those that stand early in a word:
-        their place behind a, place among the bits of words, and hash with the word before."""
-        own, size = _within(self.stop, a, z)
-        word, begin = self.word[own], self.stop[own]
-        begin = begin - self.size.take(word)
-        path = np.arange(a, z) + np.repeat(self.first.take(word) - begin, size)
-        early = self.early.take(word)
-        stop = np.cumsum(early)
-        nth = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - stop + early - a, early)
-        before = np.repeat(self.before[own], early)
-        if len(nth) and (nth[0] < 0 or nth[-1] >= z - a):  # a token that is cut
-            inside = (nth >= 0) & (nth < z - a)
-            nth, before = nth[inside], before[inside]
-        at = path.take(nth)
-        return path, nth, at, self.so_far.take(at) ^ before
-
 
 def count_bits(training: DataFrame, coder) -> DataFrame:
     """slice, stretch (packed int8, in 1/UNIT): the logistic of how often bit 1 came in each slot of a slice.
@@ -290,11 +286,22 @@ def count(n: np.ndarray, coded: Coded, coder: Coder) -> None:
     bit = (coded.kind & 1).view(np.uint8)
     for k, x in enumerate((coded.near, coded.so_far)):
         np.add.at(n[k], coder.slot(x.copy()) << one | bit, times)
-    for a in range(0, int(coded.stop[-1]), SLICE):
-        *_, at, x = coded.bits(a, min(a + SLICE, int(coded.stop[-1])))
+    both = np.empty((len(bit), 2), np.uint32)
+    both[:, 0], both[:, 1] = coded.so_far, bit
+    both = both.view(np.int64).reshape(-1)
+    for a in range(0, len(coded.word), SLICE >> 3):
+        word = coded.word[a : a + (SLICE >> 3)]
+        early = coded.early.take(word)
+        stop = np.cumsum(early)
+        at = np.repeat(coded.first.take(word) - stop + early, early)
+        at += np.arange(len(at))
+        row = both.take(at).view(np.uint32).reshape(-1, 2)
+        x = np.repeat(coded.before[a : a + len(word)], early)
+        x ^= row[:, 0]
         x = coder.slot(x)
         x <<= one
-        x |= bit.take(at)
+        x |= row[:, 1]
+        x.sort()  # neighbours in memory are read together
         np.add.at(n[2], x, one)
 
 
@@ -302,103 +309,155 @@ def stretched(n: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(np.log((n[1::2] + 0.4) / (n[0::2] + 0.4)), -8, 8) * UNIT).astype(np.int8)
 
 
-def text_scores(coder: Coder, stretch: np.ndarray, coded: Coded) -> np.ndarray:
-    """log10 probability of each text."""
-    stop = coded.stop[coded.begin + coded.n_tokens - 1]
-    n_parts = -(-np.diff(stop, prepend=0) // SEGMENT)
-    text = np.repeat(np.arange(len(stop)), n_parts)
-    part = np.arange(len(text)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-    end = np.minimum((stop - np.diff(stop, prepend=0))[text] + (part + 1) * SEGMENT, stop[text])
-    known = np.empty((len(coded.kind), ORDERS + 1), np.int8)  # what a word's bits have in any place
-    known[:, 0] = stretch[0].take(coder.slot(coded.near.copy()))
-    known[:, 1] = stretch[1].take(coder.slot(coded.so_far.copy()))
-    known[:, 2] = 0
-    known[:, ORDERS] = coded.kind
-    out, i = np.zeros(len(stop)), 0
-    while i < len(text):
-        base = int(end[i - 1]) if i else 0
-        j = max(i + 1, int(np.searchsorted(end, base + 4 * PIECE, "right")))
-        out += np.bincount(text[i:j], weights=_mixed(*_laid_out(coder, stretch, coded, known.view(np.int32).reshape(-1), base, end[i:j])), minlength=len(out))
-        i = j
-    return out / np.log(10)
+def text_scores(coder: Coder, stretch: np.ndarray, pieces: Coded | Iterable[Coded]) -> np.ndarray:
+    """log10 probability of each text of the pieces, one piece after another.
 
+    Of a piece only the laid out bits are kept; segments of several pieces are mixed together, up to BATCH bits.
+    """
+    packed, filled = np.empty(BATCH + RUN, np.int32), 0
+    texts, sizes, found, n_texts = [], [], [], 0
+
+    def mixed():
+        text, size = np.concatenate(texts), np.concatenate(sizes)
+        order = np.argsort(-size, kind="stable")  # longer segments first
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        active = len(size) - np.cumsum(np.bincount(size, minlength=int(size.max()) + 1))[:-1]  # segments with more than n bits
+        bounds = np.concatenate(([0], np.cumsum(active)))
+        found.append((text, _mixed(packed[: filled + RUN].view(np.int8).reshape(-1, ORDERS + 1), bounds, place, (np.cumsum(size) - size)[order])))
+        texts.clear()
+        sizes.clear()
+
+    for coded in [pieces] if isinstance(pieces, Coded) else pieces:
+        known = _known(coder, stretch, coded)
+        stop = coded.stop[coded.begin + coded.n_tokens - 1]
+        start = stop - np.diff(stop, prepend=0)
+        n_parts = -(-(stop - start) // SEGMENT)
+        text = np.repeat(np.arange(len(stop)), n_parts)
+        begin = start[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)) * SEGMENT
+        end = np.minimum(begin + SEGMENT, stop[text])
+        i = 0
+        while i < len(text):
+            j = int(np.searchsorted(end, begin[i] + BATCH - filled, "right"))
+            if j > i:
+                _laid_out(coder, stretch, coded, known, int(begin[i]), int(end[j - 1]), packed[filled : filled + int(end[j - 1] - begin[i])])
+                filled += int(end[j - 1] - begin[i])
+                texts.append(text[i:j] + n_texts)
+                sizes.append((end - begin)[i:j])
+                i = j
+            else:
+                mixed()
+                filled = 0
+        n_texts += len(stop)
+        del coded, known
+    if texts:
+        mixed()
+    out = np.zeros(n_texts)
+    for text, x in found:
+        out += np.bincount(text, weights=x, minlength=n_texts)
+    return out / np.log(10)
 
-def _laid_out(coder: Coder, stretch: np.ndarray, coded: Coded, known: np.ndarray, base: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of the segments that end at ``end``: the n-th bits of all together and longer segments first.
 
-    For each bit three stretches and a byte of gate and value; also the bounds of the n-th bits, and the place of each
-    segment among them.
+def _known(coder: Coder, stretch: np.ndarray, coded: Coded) -> np.ndarray:
+    """What the bits of words have in any place: two stretches, a mask of early bits, gate and value; and the hash for the third."""
+    known = np.empty((len(coded.kind), 2), np.uint32)
+    parts = known.view(np.int8)
+    parts[:, 0] = stretch[0].take(coder.slot(coded.near.copy()))
+    parts[:, 1] = stretch[1].take(coder.slot(coded.so_far.copy()))
+    early = np.zeros(len(known) + 1, np.int8)
+    early[coded.first] = -1
+    np.add.at(early, coded.first + coded.early, np.int8(1))
+    parts[:, 2] = np.cumsum(early[:-1], dtype=np.int8)
+    parts[:, ORDERS] = coded.kind
+    known[:, 1] = coded.so_far
+    return known.view(np.int64).reshape(-1)
+
+
+def _laid_out(coder: Coder, stretch: np.ndarray, coded: Coded, known: np.ndarray, base: int, end: int, packed: np.ndarray) -> None:
+    """Bits from ``base`` to ``end`` of a piece, one after another: of each three stretches and a byte of gate and value."""
+    for a in range(base, end, SLICE):
+        z = min(a + SLICE, end)
+        own, size = _within(coded.stop, a, z)
+        word = coded.word[own]
+        path = np.repeat(coded.first.take(word) - coded.stop[own] + coded.size.take(word), size)
+        path += np.arange(a, z)
+        row = known.take(path).view(np.uint32).reshape(-1, 2)
+        x = np.repeat(coded.before[own], size)
+        x ^= row[:, 1]
+        out = packed[a - base : z - base]
+        out[:] = row[:, 0].view(np.int32)
+        out.view(np.int8)[2 :: ORDERS + 1] &= stretch[2].take(coder.slot(x))
+
+
+def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of the probability of each segment: one bit of each at a time.
+
+    Segments are ordered by falling length, ``place`` is that of each, and the n-th bits of all make up the n-th of
+    ``bounds``. Bits lie in that order, or those of a segment one after another from its ``start`` and RUN more behind all. RUN steps have the
+    segments that the first has: what a segment does behind its end changes nothing but its own weights and counts as 1.
+    Weights and bits are scaled so that their product is in bins of the map, and that a weight moves by error times bit.
     """
-    size = np.diff(end, prepend=base)
-    order = np.argsort(-size, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    active = len(size) - np.cumsum(np.bincount(size, minlength=int(size.max()) + 1))[:-1]  # segments with more than n bits
-    bounds = np.concatenate(([0], np.cumsum(active)))
-    packed = np.empty(int(bounds[-1]), np.int32)
-    for a in range(base, int(end[-1]), SLICE):
-        z = min(a + SLICE, int(end[-1]))
-        path, nth, _, x = coded.bits(a, z)
-        row = known.take(path)
-        nth *= ORDERS + 1
-        nth += 2
-        row.view(np.int8)[nth] = stretch[2].take(coder.slot(x))
-        own, n = _within(end, a, z)
-        at = bounds.take(np.arange(a, z) - np.repeat((end - size)[own], n))
-        at += np.repeat(place[own], n)
-        packed[at] = row
-    return packed.view(np.int8).reshape(-1, ORDERS + 1), bounds, place
-
-
-def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each segment: one bit of each at a time."""
-    n = len(place)
-    weights = [np.full(GATES * n, x / UNIT, np.float32) for x in START]
-    centres = np.linspace(-8, 8, BINS, dtype=np.float32)
-    refined = np.tile(1 / (1 + np.exp(-centres)), n).astype(np.float32)
-    shift, own = (np.arange(GATES) * n).repeat(2), np.arange(n)
-    cells, out, odds = own * BINS, np.zeros(n), np.ones(n, np.float32)
+    n, lanes, active = len(place), ORDERS + 1, np.diff(bounds)
+    size = np.searchsorted(-active, -np.arange(n))
+    bins = (BINS - 1) / 16
+    unit, even = np.float32(math.sqrt(bins * RATE) / UNIT), np.float32(math.exp(-BINS / 2 / bins))
+    weights = np.tile(np.array([*(x * math.sqrt(bins / RATE) for x in START), BINS / 2], np.float32), GATES * n).view(np.complex128)  # four lanes each, the last is the middle of the map
+    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BINS, dtype=np.float32))), n).astype(np.float32)
+    own, out, words = np.arange(n), np.zeros(n), packed.view(np.int32).reshape(-1)
+    windows = None if start is None else np.lib.stride_tricks.sliding_window_view(words, RUN)
     # whole arrays, for numpy is slower with a number and an array
-    low, high, one, half, scale, off, rate, slow = (np.full(n, x, np.float32) for x in (-8, 8, 1, 0.5, (BINS - 1) / 16, BINS / 2, RATE / UNIT / UNIT, 1 / 32))
-    for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        m = z - a
-        kind = packed[a:z, ORDERS]
+    arrays = [np.full(n, x, np.float32) for x in (BINS / 2 - 8 * bins, BINS / 2 + 8 * bins, -1 / bins, even, 31 / 32)]
+    arrays += [own * BINS, np.empty(n, np.complex128), np.empty((n, lanes), np.float32), np.zeros((n, lanes), np.float32), np.empty(n, np.complex64), *np.empty((3, n), np.float32), np.empty(n, np.int64)]
+    for first in range(0, len(active), RUN):
+        m, k = int(active[first]), min(RUN, len(active) - first)
+        low, high, steep, middle, slow, cells, ws, product, error, half, dot, p, r, cell = (x[:m] for x in arrays)
+        w, left, right = ws.view(np.float32).reshape(m, lanes), product.view(np.complex64)[:, 0], product.view(np.complex64)[:, 1]
+        real, imag, errors = half.real, half.imag, [error[:, j] for j in range(ORDERS)]
+        if start is None:
+            word = words.take(bounds[first : first + k, None] + own[:m], mode="clip")
+        else:
+            word = np.ascontiguousarray(windows[start[:m] + first].T[:k])
+        x = word.view(np.int8).reshape(k, m, lanes) * unit
+        x[:, :, ORDERS] = 1
+        kind = word >> 24
         y = (kind & 1).astype(np.float32)
-        row = shift.take(kind)
-        row += own[:m]
-        xs = [packed[a:z, k].astype(np.float32) for k in range(ORDERS)]
-        ws = [w.take(row) for w in weights]
-        dot = ws[0] * xs[0]
-        for k in range(1, ORDERS):
-            dot += ws[k] * xs[k]
-        np.maximum(dot, low[:m], out=dot)
-        np.minimum(dot, high[:m], out=dot)
-        p = np.exp(np.negative(dot))
-        p += one[:m]
-        np.reciprocal(p, out=p)
-        dot *= scale[:m]
-        dot += off[:m]
-        cell = dot.astype(np.int32) + cells[:m]
-        r = refined.take(cell)
-        q = p + r
-        q *= half[:m]
+        rows = (kind >> 1).astype(np.int64)
+        rows *= n
+        rows += own[:m]
+        part, q = y / np.float32(32), np.empty((k, m), np.float32)
+        for xs, row, ys, ps, qs in zip(x, rows, y, part, q):
+            weights.take(row, out=ws, mode="clip")
+            np.multiply(w, xs, out=product)
+            np.add(left, right, out=half)
+            np.add(real, imag, out=dot)
+            np.maximum(dot, low, out=dot)
+            np.minimum(dot, high, out=dot)
+            np.multiply(dot, steep, out=p)
+            np.exp(p, out=p)
+            np.add(p, middle, out=p)
+            np.divide(middle, p, out=p)
+            np.copyto(cell, dot, casting="unsafe")
+            np.add(cell, cells, out=cell)
+            refined.take(cell, out=r, mode="clip")
+            np.add(p, r, out=qs)
+            np.subtract(ys, p, out=p)
+            for e in errors:
+                e[:] = p
+            np.multiply(error, xs, out=product)
+            np.add(w, product, out=w)
+            weights[row] = ws
+            np.multiply(r, slow, out=r)
+            np.add(r, ps, out=r)
+            refined[cell] = r
+        q *= np.float32(0.5)
         q += y
-        q -= one[:m]
-        odds[:m] *= np.abs(q, out=q)  # q where the bit is 1, 1 - q where it is 0
-        if i % 8 == 7:  # the product of eight can't vanish
-            out += np.log(odds)
-            odds.fill(1)
-        np.subtract(y, p, out=p)
-        p *= rate[:m]
-        for k in range(ORDERS):
-            xs[k] *= p
-            xs[k] += ws[k]
-            weights[k][row] = xs[k]
-        y -= r
-        y *= slow[:m]
-        r += y
-        refined[cell] = r
-    out += np.log(odds)
+        q -= np.float32(1)
+        np.abs(q, out=q)  # of 1's and 0's what the bit has
+        over = int(np.searchsorted(-size, -(first + k), "right"))
+        if over < m:
+            q[:, over:][np.arange(first, first + k)[:, None] >= size[over:m]] = 1
+        for i in range(0, k, 8):  # the product of eight can't vanish
+            out[:m] += np.log(np.multiply.reduce(q[i : i + 8], axis=0))
     return out[place]
 
 
@@ -431,26 +490,42 @@ def score(documents: DataFrame) -> DataFrame:
     floor = float(np.log10(n_all + 0.5 * (n_kinds + 1)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
+    def base(part, coded, first):
+        """Columns of whole texts, and places, hashes and counts of their words that aren't frequent."""
+        n, text = len(part), coded.text
+        times = frequent.value.find(coded.words)
+        known = (times > 0).take(coded.word)
+        score = np.bincount(text, weights=np.where(times > 0, np.log10(times + 0.5), 0).take(coded.word), minlength=n)
+        n_known = np.bincount(text[known], minlength=n)
+        size = np.fromiter((len(x.translate(None, BLANKS)) for x in part), np.int64, n) + coded.n_tokens  # a byte behind each word, and the end
+        odd = np.flatnonzero(~known)
+        pair, times = np.unique(text[odd] * len(coded.words) + coded.word[odd], return_counts=True)
+        owner, word = np.divmod(pair, len(coded.words))
+        return (coded.n_tokens, n_known, score), size, owner + first, coded.words[word].view(np.int64), times, first
+
     def run(batches):
         for b in batches:
-            ids, t = b.column(0), b.column(2)
-            for i, part in chunks(column_bytes(b), PIECE >> 1):
-                n, coded = len(part), Coded(part, coder.value)
-                model, text = text_scores(coder.value, tables.value, coded), coded.text
-                times = frequent.value.find(coded.words)
-                known = (times > 0).take(coded.word)
-                base = np.bincount(text, weights=np.where(times > 0, np.log10(times + 0.5), 0).take(coded.word), minlength=n)
-                n_known = np.bincount(text[known], minlength=n)
-                size = np.fromiter((len(x.translate(None, BLANKS)) for x in part), np.int64, n) + coded.n_tokens  # a byte behind each word, and the end
-                odd = np.flatnonzero(~known)
-                pair, times = np.unique(text[odd] * len(coded.words) + coded.word[odd], return_counts=True)
-                owner, word = np.divmod(pair, len(coded.words))
-                rows, m = pa.array(np.concatenate((np.arange(n), owner)) + i), len(pair)
-                zero = np.zeros(m, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(rows), t.take(rows), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(coded.words[word].view(np.int64))]), *(pa.array(np.concatenate(x)) for x in ((np.zeros(n, np.int64), times), (np.ones(n, np.int64), zero), (coded.n_tokens, zero), (n_known, zero), (base, zero.astype(float)), (model, zero.astype(float)), (size, zero)))],
-                    names=["doc_id", "t", "hash", "k", "rows", "n_tokens", "n_known", "base", "model", "n_bytes"],
-                )
+            ids, t, held = b.column(0), b.column(2), []
+
+            def pieces(parts):
+                for i, part in parts:
+                    coded = Coded(part, coder.value)
+                    held.append(base(part, coded, i))
+                    yield coded
+                    del coded
+
+            parts = chunks(column_bytes(b), PIECE >> 1)
+            while some := list(islice(parts, TOGETHER)):
+                model = text_scores(coder.value, tables.value, pieces(some))
+                for whole, size, owner, words, times, first in held:
+                    n, m = len(size), len(owner)
+                    rows, zero = pa.array(np.concatenate((np.arange(n) + first, owner))), np.zeros(m, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(rows), t.take(rows), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(words)]), *(pa.array(np.concatenate(x)) for x in ((np.zeros(n, np.int64), times), (np.ones(n, np.int64), zero), (whole[0], zero), (whole[1], zero), (whole[2], zero.astype(float)), (model[:n], zero.astype(float)), (size, zero)))],
+                        names=["doc_id", "t", "hash", "k", "rows", "n_tokens", "n_known", "base", "model", "n_bytes"],
+                    )
+                    model = model[n:]
+                held.clear()
 
     found = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
     rows = found.select("doc_id", "text", "t").mapInArrow(lambda bs: run(b.select(["doc_id", "text", "t"]) for b in bs), f"doc_id {kind}, t long, hash long, k long, rows long, n_tokens long, n_known long, base double, model double, n_bytes long")
