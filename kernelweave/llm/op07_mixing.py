@@ -53,8 +53,8 @@ END = PAIRS  # hash of the end
 END_BYTE = 0x0A  # no word has it
 BLANKS = b" \t\n\x0b\x0c\r"
 PIECE = 4 << 20
-TOGETHER = 2  # pieces whose segments are mixed at once: a step costs the less a bit the more it has, until its state leaves the cache
-BATCH = 16 << 20  # bits of segments that are mixed at once, four bytes each
+TOGETHER = 3  # pieces whose segments are mixed at once: a step costs the less a bit the more it has, until its state leaves the cache
+BATCH = 24 << 20  # bits of segments that are mixed at once, four bytes each
 RUN = 16  # steps of the mixing that are laid out at a time
 SLICE = 1 << 18  # bits that are laid out at a time: what numpy works on stays in the cache
 START = (0.30, 0.45, 0.30)  # weights at the start of a segment
@@ -395,32 +395,32 @@ def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray, start: np.
     Segments are ordered by falling length, ``place`` is that of each, and the n-th bits of all make up the n-th of
     ``bounds``. Bits lie in that order, or those of a segment one after another from its ``start`` and RUN more behind all. RUN steps have the
     segments that the first has: what a segment does behind its end changes nothing but its own weights and counts as 1.
-    Weights and bits are scaled so that their product is in bins of the map, and that a weight moves by error times bit.
+    Probabilities p are held as 2p - 1, the tanh of half their logistic, and weights and stretches are scaled so that their
+    product is that half and a weight moves by error times stretch.
     """
     n, lanes, active = len(place), ORDERS + 1, np.diff(bounds)
     size = np.searchsorted(-active, -np.arange(n))
-    bins = (BINS - 1) / 16
-    unit, even = np.float32(math.sqrt(bins * RATE) / UNIT), np.float32(math.exp(-BINS / 2 / bins))
-    weights = np.tile(np.array([*(x * math.sqrt(bins / RATE) for x in START), BINS / 2], np.float32), GATES * n).view(np.complex128)  # four lanes each, the last is the middle of the map
-    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, BINS, dtype=np.float32))), n).astype(np.float32)
+    unit = np.float32(math.sqrt(RATE) / UNIT / 2)
+    weights = np.tile(np.array([*(x / math.sqrt(RATE) for x in START), 0], np.float32), GATES * n).view(np.complex128)  # four lanes each
+    refined = np.tile(np.tanh(np.linspace(-4, 4, BINS)).astype(np.float32), n)
     own, out, words = np.arange(n), np.zeros(n), packed.view(np.int32).reshape(-1)
     windows = None if start is None else np.lib.stride_tricks.sliding_window_view(words, RUN)
     # whole arrays, for numpy is slower with a number and an array
-    arrays = [np.full(n, x, np.float32) for x in (BINS / 2 - 8 * bins, BINS / 2 + 8 * bins, -1 / bins, even, 31 / 32)]
+    arrays = [np.full(n, x, np.float32) for x in (-4, 4, (BINS - 1) / 8, BINS / 2, 31 / 32)]
     arrays += [own * BINS, np.empty(n, np.complex128), np.empty((n, lanes), np.float32), np.zeros((n, lanes), np.float32), np.empty(n, np.complex64), *np.empty((3, n), np.float32), np.empty(n, np.int64)]
     for first in range(0, len(active), RUN):
         m, k = int(active[first]), min(RUN, len(active) - first)
-        low, high, steep, middle, slow, cells, ws, product, error, half, dot, p, r, cell = (x[:m] for x in arrays)
+        low, high, bins, middle, slow, cells, ws, product, error, half, dot, p, r, cell = (x[:m] for x in arrays)
         w, left, right = ws.view(np.float32).reshape(m, lanes), product.view(np.complex64)[:, 0], product.view(np.complex64)[:, 1]
-        real, imag, errors = half.real, half.imag, [error[:, j] for j in range(ORDERS)]
+        real, imag, error_0, error_1, error_2 = half.real, half.imag, *error[:, :ORDERS].T
         if start is None:
             word = words.take(bounds[first : first + k, None] + own[:m], mode="clip")
         else:
             word = np.ascontiguousarray(windows[start[:m] + first].T[:k])
         x = word.view(np.int8).reshape(k, m, lanes) * unit
-        x[:, :, ORDERS] = 1
+        x[:, :, ORDERS] = 0
         kind = word >> 24
-        y = (kind & 1).astype(np.float32)
+        y = ((kind & 1) * 2 - 1).astype(np.float32)
         rows = (kind >> 1).astype(np.int64)
         rows *= n
         rows += own[:m]
@@ -432,27 +432,25 @@ def _mixed(packed: np.ndarray, bounds: np.ndarray, place: np.ndarray, start: np.
             np.add(real, imag, out=dot)
             np.maximum(dot, low, out=dot)
             np.minimum(dot, high, out=dot)
-            np.multiply(dot, steep, out=p)
-            np.exp(p, out=p)
-            np.add(p, middle, out=p)
-            np.divide(middle, p, out=p)
+            np.tanh(dot, out=p)
+            np.multiply(dot, bins, out=dot)
+            np.add(dot, middle, out=dot)
             np.copyto(cell, dot, casting="unsafe")
             np.add(cell, cells, out=cell)
             refined.take(cell, out=r, mode="clip")
             np.add(p, r, out=qs)
-            np.subtract(ys, p, out=p)
-            for e in errors:
-                e[:] = p
+            np.subtract(ys, p, out=error_0)
+            error_1[:] = error_0
+            error_2[:] = error_0
             np.multiply(error, xs, out=product)
             np.add(w, product, out=w)
             weights[row] = ws
             np.multiply(r, slow, out=r)
             np.add(r, ps, out=r)
             refined[cell] = r
-        q *= np.float32(0.5)
-        q += y
-        q -= np.float32(1)
-        np.abs(q, out=q)  # of 1's and 0's what the bit has
+        q *= y
+        q += np.float32(2)
+        q *= np.float32(0.25)  # probability of what the bit is
         over = int(np.searchsorted(-size, -(first + k), "right"))
         if over < m:
             q[:, over:][np.arange(first, first + k)[:, None] >= size[over:m]] = 1

@@ -143,3 +143,19 @@ def test_empty(spark):
     assert op07_mixing.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(2, "held out"), (6, "also")], "doc_id long, text string").filter(op07_mixing.held_out())
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in op07_mixing.score(only).collect())
+
+
+def test_mixed_together(monkeypatch):
+    """Texts of several pieces are mixed in the same steps, and score as they do alone, also where a batch takes no more."""
+    pairs = np.ones(op07_mixing.PAIRS, np.int64)
+    coder = op07_mixing.Coder(pairs, 16)
+    stretch = np.random.default_rng(2).integers(-90, 90, size=(3, 1 << 16)).astype(np.int8)
+    pieces = [[b"the cat sat", b"", b"x" * 700], [b"mat " * 300, b"a"], [b"the hat"]]
+    alone = [op07_mixing.text_scores(coder, stretch, op07_mixing.Coded([t], coder))[0] for p in pieces for t in p]
+    mixed, calls = op07_mixing._mixed, []
+    monkeypatch.setattr(op07_mixing, "_mixed", lambda *a: calls.append(len(a[2])) or mixed(*a))
+    for batch, most in ((1 << 20, 1), (op07_mixing.SEGMENT, 99)):
+        monkeypatch.setattr(op07_mixing, "BATCH", batch)
+        calls.clear()
+        got = op07_mixing.text_scores(coder, stretch, (op07_mixing.Coded(p, coder) for p in pieces))
+        assert np.allclose(got, alone, rtol=1e-5) and (len(calls) == 1 if most == 1 else 1 < len(calls) < most)
