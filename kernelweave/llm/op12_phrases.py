@@ -37,6 +37,7 @@ BLOCK = 2_000_000  # runs that a task holds before it adds up equal ones
 BATCH = 1 << 17  # rows of a batch that it passes on
 PARTS = 32  # parts of a language that are ranked by themselves first
 MAX_BITS = 1 << 28  # bits of a table of frequent runs: 32 MB
+PAGE = 1 << 13  # 64-bit words of it that are put together at a time: 64 KB
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
@@ -194,14 +195,23 @@ def _frequent(counted: DataFrame, least: int, name: str) -> DataFrame:
 
 
 def _bits(frequent: DataFrame) -> tuple[bytes, int]:
-    """Bits of the frequent fingerprints: 16 a fingerprint, ``MAX_BITS`` at most, so its size has a bound."""
+    """Bits of the frequent fingerprints: 16 a fingerprint, ``MAX_BITS`` at most, so its size has a bound.
+
+    Tasks put the words of the table into pages of ``PAGE``, so the driver gets bytes and no row for each word.
+    """
     size = min(MAX_BITS, max(1 << 10, 1 << (16 * frequent.count()).bit_length()))
+    page = min(PAGE, size >> 6)
     slot = F.col("k").bitwiseAND(F.lit(size - 1))
     words = frequent.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
-    out = np.zeros(max(1, size >> 6), np.int64)
-    got = words.toPandas()
-    out[got.i.to_numpy()] = got.w.to_numpy()
-    return out.tobytes(), size
+
+    def pack(own: pa.Table) -> pa.Table:
+        out = np.zeros(page, np.int64)
+        out[own["i"].to_numpy() & (page - 1)] = own["w"].to_numpy()
+        return pa.table({"p": pa.array(own["p"][:1].to_numpy()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    paged = words.withColumn("p", F.floor(F.col("i") / page)).groupBy("p").applyInArrow(pack, "p long, bits binary")
+    got = {r["p"]: r["bits"] for r in paged.toArrow().to_pylist()}
+    return b"".join(got.get(p, bytes(page << 3)) for p in range((size >> 6) // page)), size
 
 
 def _looked_up(rows: DataFrame, frequent: DataFrame, sizes: tuple[int, ...], mask: int) -> DataFrame:
@@ -281,7 +291,7 @@ def frequent_phrases(documents: DataFrame, least: int = 10, mask: int = -1) -> D
             bits = (held, n)
         levels.append(_frequent(_counted(rows, size, bits, mask), least, f"runs-{size}"))
         if held is not None:
-            held.unpersist()
+            held.destroy()  # what it let through is stored
         release(spark)
     frequent = levels[0].unionByName(levels[1]).unionByName(levels[2])
     found = stored(_looked_up(rows, frequent, (1, 2, 3), mask), "phrases")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -144,6 +145,24 @@ def test_phrases_under_colliding_fingerprints(spark):
     assert found
 
 
+def test_bits_come_as_pages(spark):
+    """The driver gets the bytes of the table, not a row for each word of it."""
+    frequent = spark.range(200_000).select(F.xxhash64("id").alias("k")).cache()
+    k = frequent.toPandas().k.to_numpy()
+    tracemalloc.start()
+    try:
+        bits, size = op12_phrases._bits(frequent)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size == 1 << 22 and len(bits) == size >> 3 and peak < 8 * len(bits)
+    want = np.zeros(size, bool)
+    want[k & (size - 1)] = True
+    assert (np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little") == want).all()
+    assert op12_phrases._bits(frequent.limit(0)) == (bytes(128), 1024)
+    frequent.unpersist()
+
+
 def test_fingerprints_by_their_definition():
     """Prefix differences give the polynomial of the run itself, wherever it stands."""
     r = op12_phrases.Runs([b"Ab cd  ef.", b"ab\tcd gh"])
